@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from registrum.llm import mixing, ngram_join, packing, substring_dedup
+from registrum.llm import mixing, ngram_join, packing, substring_dedup, toxicity
 from registrum.llm.common import cut
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least doc_id, of each group that five-word shingles link at a similarity of 0.8."""
     return ngram_join.keep_one(docs, 5, 80)
@@ -28,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("substrings", substrings), ("mix", mix), ("pack", pack)]
+STAGES = [("toxicity", clean), ("near_duplicates", near_duplicates), ("substrings", substrings), ("mix", mix), ("pack", pack)]
 ORACLE_SQL = None
 
 

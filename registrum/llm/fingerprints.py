@@ -3,8 +3,8 @@
 The lexicon holds the terms (lower-cased words) whose document frequency lies in a band, LOW to HIGH of all documents.
 At most (mean number of distinct terms in a document) / LOW terms can reach the lower end, so its size is bounded
 whatever the corpus holds; the bound is checked before the lexicon is sent to executors inside the plan. SUBSETS
-are random parts of the lexicon, drawn by a hash of term and number: some hold one term in 16, some one in 64, for
-short and for long texts. A fingerprint is a hash of the document's sorted distinct terms in each subset, ``-`` where
+are random parts of the lexicon, drawn by a hash of term and number: some hold one term in 16, some in 64 or 256,
+for short and for long texts. A fingerprint is a hash of the document's sorted distinct terms in each subset, ``-`` where
 there are none. Texts without any such term are hashed as they are.
 
 Likeness: of the subsets in which either text has terms, the share with equal hashes. Null text is the empty text.
@@ -21,7 +21,7 @@ from .common import narrow
 #: Band of document frequency, as one in so many documents.
 LOW, HIGH = 100, 5
 #: Each subset keeps one lexicon term in so many.
-SUBSETS = (16,) * 8 + (64,) * 8
+SUBSETS = (16,) * 8 + (64,) * 8 + (256,) * 8
 #: More terms than this are refused: LOW = 100 and documents of 2,000 distinct terms each stay below.
 MAX_TERMS = 200_000
 _SPACE = r"[\x20\x09-\x0D]+"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import Hasher, narrow, prepare, texts_of
 
 #: Bytes from which a band holds, least ratio, greatest ratio.
-BANDS = ((0, 0.25, 9.0), (256, 0.46, 0.82), (512, 0.43, 0.76), (1024, 0.40, 0.70), (2048, 0.385, 0.64), (4096, 0.375, 0.60), (8192, 0.36, 0.58), (16384, 0.345, 0.56), (65536, 0.33, 0.55))
+BANDS = ((0, 0.25, 9.0), (256, 0.50, 0.82), (512, 0.465, 0.76), (1024, 0.435, 0.70), (2048, 0.425, 0.64), (4096, 0.405, 0.60), (8192, 0.39, 0.58), (16384, 0.38, 0.56), (65536, 0.355, 0.55))
 CHUNK_BYTES = 2048
 CHUNK_BAND = (0.25, 0.66)
 CHUNK_SHARE = 0.25
