@@ -6,8 +6,12 @@ Two documents link when ``100 * |A & B| >= threshold * |A | B|`` over distinct w
    a global order, rare n-grams first; results do not depend on it.
 2. Documents with equal sets collapse to the least doc_id. A set of s n-grams can only reach the threshold with
    another when they share one of its first ``s - ceil(t*s) + 1`` n-grams in that order, so these alone are indexed.
-3. Inverted lists with one document go. In a list each document meets the least one first; after that only
-   pairs which are not yet in one component are searched, so true groups of copies do not square.
+3. Inverted lists with one document go. In a list each document meets the least one of about its size first; after
+   that only pairs which are not yet in one component are searched, so true groups of copies do not square. Pairs of short
+   lists are joined; a long list is cut into blocks whose pairs are compared inside a task, each pair in the
+   least long list that both documents are in.
+   A pair is dropped unseen when the sets provably differ too much: each set is dealt by hash into parts with a
+   16-bit exclusive-or each, and every part that differs stands for an n-gram that only one of them has.
 4. A query gathers its candidates' sets and counts occurrences by DivideSkip: the L longest inverted lists are
    put aside, the short ones are merged on a heap, candidates with T - L hits are looked up in the long lists by
    binary search; those with T occurrences are links.
@@ -36,6 +40,10 @@ from .components import components
 #: Counters of the frequency sketch: 4 MB, of any corpus.
 SLOTS = 1 << 20
 _PIECE = 1 << 12
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_IDS = 200_000
+#: Lists above this are searched in blocks of so many by so many documents.
+LONG, BLOCK = 64, 256
 #: Candidates whose sets one search holds at once; a query with more runs several searches.
 FANOUT = 256
 
@@ -108,19 +116,39 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def parts_of(size: int, threshold: int) -> int:
+    """Parts of a set's profile: a power of two, four for each n-gram that a partner may lack."""
+    return 1 << max(3, (4 * (2 * size * (100 - threshold) // (100 + threshold)) - 1).bit_length())
+
+
+def profile(grams: np.ndarray, parts: int) -> np.ndarray:
+    out = np.zeros(parts, np.uint16)
+    np.bitwise_xor.at(out, (grams & np.uint64(parts - 1)).astype(np.int64), (grams >> np.uint64(48)).astype(np.uint16))
+    return out
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of n-grams that only one set has, from profiles of any two lengths."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.count_nonzero(a != b))
+
+
 def prefix_length(size: int, threshold: int) -> int:
     """How many first n-grams of a set must be indexed to lose no partner."""
     return size - -(-size * threshold // 100) + 1
 
 
 def _index(docs: DataFrame, n: int, threshold: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit halves of a set signature, the indexed n-grams."""
+    """doc_id, n_shingles, two 64-bit halves of a set signature, the indexed n-grams, the profile."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, df = Hasher(lower=True), held.value
         for batch in batches:
-            size, one, two, first = [], [], [], []
+            size, one, two, first, shape = [], [], [], [], []
             for _, words in hasher.chunks(texts_of(batch.column("text"))):
                 grams = shingle_set(hasher, words, n)
                 size.append(len(grams))
@@ -129,12 +157,13 @@ def _index(docs: DataFrame, n: int, threshold: int, sketch: np.ndarray) -> DataF
                 k = prefix_length(len(grams), threshold) if len(grams) else 0
                 order = np.lexsort((grams, df[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]))[:k]
                 first.append(signed(grams[order]))
+                shape.append(profile(grams, parts_of(len(grams), threshold)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), pa.array(first, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "one", "two", "first"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), pa.array(first, pa.list_(pa.int64())), pa.array(shape, pa.binary())],
+                ["doc_id", "n_shingles", "one", "two", "first", "profile"],
             )
 
-    return docs.mapInArrow(build, "doc_id long, n_shingles long, one long, two long, first array<long>")
+    return docs.mapInArrow(build, "doc_id long, n_shingles long, one long, two long, first array<long>, profile binary")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -147,6 +176,67 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(build, "doc_id long, grams binary")
 
 
+def _possible(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose profiles allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, n, x, y in zip(*[batch.column(c).to_pylist() for c in ("size_a", "size_b", "profile_a", "profile_b")], strict=True):
+                fits = min(m, n) * 100 >= max(m, n) * threshold
+                keep.append(fits and differing(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) * (100 + threshold) <= (m + n) * (100 - threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(profiles.toDF("a", "size_a", "profile_a"), "a").join(profiles.toDF("b", "size_b", "profile_b"), "b").select("a", "b", "size_a", "size_b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
+
+
+def _blocks(long: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components in the long lists whose profiles allow a link."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left = group[group["side"] == 0]
+        right = group[group["side"] == 1] if (group["side"] == 1).any() else left
+        gram, out = group["gram"].iloc[0], []
+        by_length: dict[int, list[int]] = {}
+        shapes = [np.frombuffer(x, np.uint16) for x in right["profile"]]
+        for k, x in enumerate(shapes):
+            by_length.setdefault(len(x), []).append(k)
+        stacks = {m: (np.array(ks), np.stack([shapes[k] for k in ks])) for m, ks in by_length.items()}
+        ids, sizes, parts, grams = right["doc_id"].to_numpy(), right["n_shingles"].to_numpy(), right["component"].to_numpy(), [set(g) for g in right["grams"]]
+        for row in left.itertuples(index=False):
+            x, own = np.frombuffer(row.profile, np.uint16), list(row.grams)
+            for m, (ks, stack) in stacks.items():
+                fold, other = x, stack
+                while len(fold) > m:
+                    fold = fold[: len(fold) // 2] ^ fold[len(fold) // 2 :]
+                while other.shape[1] > len(fold):
+                    other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
+                n = sizes[ks]
+                fits = (np.count_nonzero(other != fold, axis=1) * (100 + threshold) <= (n + row.n_shingles) * (100 - threshold)) & (np.minimum(n, row.n_shingles) * 100 >= np.maximum(n, row.n_shingles) * threshold)
+                fits &= parts[ks] != row.component
+                if left is right:
+                    fits &= ids[ks] > row.doc_id
+                for k in ks[fits]:
+                    if min(g for g in own if g in grams[k]) == gram:  # in other lists too: named once
+                        out.append((min(row.doc_id, ids[k]), max(row.doc_id, ids[k])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    cuts = long.groupBy("gram").agg(F.ceil(F.max("members") / BLOCK).alias("cuts"))
+    own = long.groupBy("doc_id").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
+    rows = long.join(cuts, "gram").withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts")).join(own, "doc_id").join(profiles.select("doc_id", "profile"), "doc_id")
+    # a block meets itself and all others: of the pair (i, j) with i < j, i is side 0
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
+    rows = rows.select("gram", "doc_id", "n_shingles", "component", "grams", "profile", "cut", other)
+    rows = rows.select("gram", "doc_id", "n_shingles", "component", "grams", "profile", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
+    return rows.groupBy("gram", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _fetched(known: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The sets of the documents that stand in pairs. Few ids are broadcast, after a count; many are joined."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    return cut(_sets(known.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), n))
+
+
 def _search(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) that link, with their overlap."""
     part = Fraction(threshold, 100 + threshold)
@@ -181,25 +271,30 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[Dat
     classes = cut(classes)
     # one row of the index for each class; a doc_id that stands on several rows keeps those of its own classes
     postings = index.join(classes.withColumn("doc_id", F.col("class_id")), ["n_shingles", "one", "two", "doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("first").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min(F.struct("doc_id", "n_shingles")).alias("lead"), F.max("doc_id").alias("last"))
-    shared = shared.where("lead.doc_id < last").select("gram", F.col("lead.doc_id").alias("leader"), F.col("lead.n_shingles").alias("size"))
-    lists = cut(postings.join(shared, "gram").distinct())
-    members = lists.select("doc_id").distinct()
-    sets = cut(_sets(known.join(members, "doc_id", "left_semi"), n).dropDuplicates(["doc_id"]))
-    fits = f"least({{0}}, {{1}}) * 100 >= greatest({{0}}, {{1}}) * {threshold}"
-    stars = lists.where("doc_id > leader AND " + fits.format("n_shingles", "size"))
-    first = cut(stars.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(_search(first, sets, threshold))
+    shared = postings.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("gram", "leader")
+    lists = cut(postings.join(shared, "gram"))
+    profiles = index.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "profile").dropDuplicates(["doc_id"])
+    # leaders of about the member's size: in one bucket sizes differ by less than the threshold allows
+    bucket = F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / threshold)) or 1.0)) if threshold < 100 else F.col("n_shingles")
+    lists = lists.drop("leader").withColumn("bucket", bucket)
+    leaders = lists.groupBy("gram", "bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
+    first = cut(lists.join(leaders, ["gram", "bucket"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct())
+    possible = cut(_possible(first, profiles, threshold))
+    sets = _fetched(known, possible, n)
+    links = cut(_search(possible, sets, threshold))
     joined = cut(components(links))
     # what the first round left apart: lists that hold more than one component
     comp = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     comp = cut(comp.select("gram", "doc_id", "n_shingles", "component"))
-    split = comp.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    rest = comp.join(split, "gram", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.doc_id < y.doc_id AND x.component <> y.component").where(fits.format("x.n_shingles", "y.n_shingles"))
+    split = comp.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("gram", "members")
+    rest = cut(comp.join(split, "gram"))
+    short, long = rest.where(F.col("members") <= LONG), rest.where(F.col("members") > LONG)
+    x, y = short.alias("x"), short.alias("y")
+    fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {threshold}"
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.doc_id < y.doc_id AND x.component <> y.component").where(fits)
     pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(_search(cut(pairs), sets, threshold)))
+    possible = cut(_possible(pairs, profiles, threshold).unionByName(_blocks(long, profiles, threshold)).distinct())
+    links = cut(links.unionByName(_search(possible, _fetched(known, possible, n), threshold)))
     joined = cut(components(links))
     out = index.join(classes, ["n_shingles", "one", "two"], "left").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
