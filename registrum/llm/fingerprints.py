@@ -13,6 +13,8 @@ Equal texts have equal fingerprints. Repeated ids are ordered by text; a null id
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ MAX_TERMS = 200_000
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Documents whose neighbours one window finds.
 _BUCKET = 2048
+#: Bucket heads (16 bytes each) that may be broadcast; more are joined.
+BROADCAST_HEADS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -36,10 +40,12 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame) -> list[list[str]]:
     """The terms of each subset."""
     total = docs.count()
-    df = docs.select(F.explode(terms(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").count()
-    band = df.where((F.col("count") * LOW >= total) & (F.col("count") * HIGH <= total)).select("term")
+    # explode_outer: for explode, the optimiser filters by the array first and so computes it several times
+    df = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").count()
+    band = df.where((F.col("count") * LOW >= total) & (F.col("count") * HIGH <= total)).select("term").limit(MAX_TERMS + 1)
+    # the limit also keeps the draws below from being pushed to the words of all documents
     draws = [(F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{k}"))), 1, 4), 16, 10).cast("int") * one_in < 65536).alias(f"k{k}") for k, one_in in enumerate(SUBSETS)]
-    drawn = band.select("term", *draws).where(" OR ".join(f"k{k}" for k in range(len(SUBSETS)))).limit(MAX_TERMS + 1).collect()
+    drawn = band.select("term", *draws).collect()
     if len(drawn) > MAX_TERMS:
         raise ValueError("the lexicon exceeds its bound; raise LOW")
     return [sorted(r["term"] for r in drawn if r[f"k{k}"]) for k in range(len(SUBSETS))]
@@ -67,8 +73,9 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.startswith("text:") | b.startswith("text:"), (a == b).cast("double")).otherwise(equal / either)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_text and next_print, of the next row by descending doc_id; after the last comes the first."""
+def with_next(docs: DataFrame, printed: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, text and print (its fingerprint), with next_text and next_print, of the next row by descending doc_id;
+    after the last comes the first."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, ((high or 0) - (low or 0) + 1) * _BUCKET // max(n, 1))
     docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
@@ -76,12 +83,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     turn = Window.orderBy(F.desc("bucket"))
     # a row for each bucket, 1 / 2048 of the documents
     heads = heads.select("doc_id", F.coalesce(F.lag("bucket").over(turn), F.min("bucket").over(Window.partitionBy())).alias("head_of"))
-    same = docs["doc_id"].eqNullSafe(heads["doc_id"])
-    heads = docs.join(heads, same).groupBy("head_of").agg(F.max(F.struct("text", "print")).alias("head"))
+    if n // _BUCKET <= BROADCAST_HEADS:
+        heads = F.broadcast(heads)
+    heads = docs.join(heads.withColumnRenamed("doc_id", "head_id"), F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("head_of").agg(F.max("text").alias("head_text"))
+    heads = heads.withColumn("head_print", printed(F.col("head_text")))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = docs.withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_print", F.lead("print").over(order))
+    rows = docs.withColumn("print", printed(F.col("text"))).withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_print", F.lead("print").over(order))
     rows = rows.join(heads, rows["bucket"] == heads["head_of"], "left")
-    return rows.select("doc_id", "text", "print", F.coalesce("lead_text", "head.text").alias("next_text"), F.coalesce("lead_print", "head.print").alias("next_print"))
+    return rows.select("doc_id", "text", "print", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_print", "head_print").alias("next_print"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_edited and near_next, the likeness to the edited text's and to the next document's fingerprint."""
     docs = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     subsets = lexicon(docs)
-    rows = with_next(docs.withColumn("print", fingerprint(F.col("text"), subsets)))
+    rows = with_next(docs, lambda text: fingerprint(text, subsets))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.length("text") - half), F.substring("next_text", 1, half))
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited"))
