@@ -63,6 +63,8 @@ class Block:
 
 def _named(attributes: str) -> tuple[str, bool]:
     """Classes for the stream, and whether the element names itself boilerplate."""
+    if not attributes.strip():
+        return "", False
     found = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), next((g for g in m.groups()[1:] if g is not None), ""))
@@ -159,13 +161,17 @@ def fold(tokens: list[str]) -> tuple[list[str], list[int]]:
     items: list[tuple[str, list[int]]] = [(t, [i]) for i, t in enumerate(tokens)]
     for size in range(1, _LONGEST_GROUP + 1):
         out: list[tuple[str, list[int]]] = []
+        names = [t for t, _ in items]
+        if not any(map(str.__eq__, names, names[size:])):
+            continue
         i = 0
         while i < len(items):
-            group = [t for t, _ in items[i : i + size]]
             times = 1
-            while len(group) == size and [t for t, _ in items[i + times * size : i + (times + 1) * size]] == group:
-                times += 1
-            if times == 1 or group[0][0] not in "<#(" or group[0].startswith("</"):
+            if i + size < len(items) and names[i] == names[i + size] and (names[i][0] in "#(" or names[i][0] == "<" and names[i][1] != "/"):
+                group = names[i : i + size]
+                while names[i + times * size : i + (times + 1) * size] == group:
+                    times += 1
+            if times == 1:
                 out.append(items[i])
                 i += 1
                 continue
@@ -218,8 +224,17 @@ def _text_hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def extract(page: str | None, wrapper: Wrapper | None) -> str:
-    """Main text of a page of the wrapper's host."""
+def _slots_of(wrapper: Wrapper, folded: list[str]) -> dict[int, int]:
+    """The wrapper's token for each token of a page's folded stream."""
+    slot = {}
+    for kind, a0, a1, b0, _ in SequenceMatcher(None, wrapper[0], folded, autojunk=False).get_opcodes():
+        if kind == "equal":
+            slot |= {b0 + k: a0 + k for k in range(a1 - a0)}
+    return slot
+
+
+def extract(page: str | None, wrapper: Wrapper | None, aligned: dict | None = None) -> str:
+    """Main text of a page of the wrapper's host. aligned: keeps the alignments of the wrapper's streams for the next page."""
     if not page:
         return ""
     tokens, blocks = read(page)
@@ -229,10 +244,13 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
     kept = [b for b in open_blocks if b.main == region]
     if wrapper:
         folded, place = fold(tokens)
-        slot = {}
-        for kind, a0, a1, b0, _ in SequenceMatcher(None, wrapper[0], folded, autojunk=False).get_opcodes():
-            if kind == "equal":
-                slot |= {b0 + k: a0 + k for k in range(a1 - a0)}
+        aligned = {} if aligned is None else aligned
+        key = tuple(folded)
+        if key not in aligned:
+            if len(aligned) >= 256:
+                aligned.clear()
+            aligned[key] = _slots_of(wrapper, folded)
+        slot = aligned[key]
         known = {id(b): wrapper[1].get(slot.get(place[b.token], -1)) for b in kept}
         template = {k for k, s in known.items() if s and s[0] == s[1] and s[2] >= 3}
         if not any(k not in template and s for k, s in known.items()):
@@ -299,13 +317,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     wrappers = infer(rows.select("host", "html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, wrapper = None, None
+        last, wrapper, aligned = None, None, {}
         for batch in batches:
             texts = []
             for page, stream, slots in zip(*[batch.column(c).to_pylist() for c in ("html", "stream", "slots")], strict=True):
                 if stream and (stream, slots) != last:
-                    last, wrapper = (stream, slots), _load(stream, slots)
-                texts.append(extract(page, wrapper if stream else None))
+                    last, wrapper, aligned = (stream, slots), _load(stream, slots), {}
+                texts.append(extract(page, wrapper if stream else None, aligned))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "stream", "slots")
