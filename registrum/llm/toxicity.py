@@ -46,14 +46,18 @@ PATTERNS = ("several", "dense", "pointed", "cluster", "disguised", "stretched",
 VOTERS = len(LEXICON) + len(PATTERNS)
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_TRAIN = 20_000
+#: P(label 0 or 1 | class 0 or 1). Held fixed: left to itself the model would rather doubt labels than voters.
+LABEL_TRUST = np.array([[0.99, 0.01], [0.03, 0.97]])
 #: A pair of voters is modelled jointly from this correlation within a class.
 CORRELATED = 0.15
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _LEET = bytes(dict(zip(b"013457@$!", b"oieastasi", strict=True)).get(c, c if c >= 128 or chr(c).isalpha() else 32) for c in range(256))
-FEATURES = len(WORDS) + VOTERS + 5
+FEATURES = len(WORDS) + VOTERS + 6
 #: Entries of a learnt lexicon, at most, and what they need: labelled texts, and standard errors above the base rate.
 MAX_LEARNT, LEAST_TEXTS, LEAST_Z = 2000, 4, 4.0
 _BEGINNINGS = (4, 5, 6, 7)
+#: Log odds from which a learnt word counts as strong.
+STRONG = 4.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,9 +75,9 @@ def _squeeze(word: bytes) -> bytes:
 _SQUEEZED = {_squeeze(w): i for w, i in _INDEX.items() if len(w) > 3}
 
 
-def read(text: str | None, learnt: dict[bytes, float]) -> tuple[int, list[int], float, float, int, float]:
+def read(text: str | None, learnt: dict[bytes, float]) -> tuple[int, list[int], float, float, int, float, int]:
     """Votes as bits, distinct lexicon words, lexicon hits for each 100 words, the logarithm of the hits, the number of
-    distinct words of the learnt lexicon and the sum of their log odds."""
+    distinct words of the learnt lexicon, the sum of their log odds, and how many of them are strong."""
     raw = (text or "").lower().encode("utf-8", "replace")
     words = raw.translate(_PLAIN).split()
     at = [i for i, w in enumerate(words) if w in _INDEX]
@@ -105,18 +109,18 @@ def read(text: str | None, learnt: dict[bytes, float]) -> tuple[int, list[int],
         if i is not None:
             stretched = True
             found.add(i)
-    several, odds, strongest = 0, 0.0, 0.0
+    several, odds, strong = 0, 0.0, 0
     if learnt:
         for w in set(words):
             weight = weigh(w, learnt)
             if weight is not None:
                 several += 1
                 odds += weight
-                strongest = max(strongest, weight)
+                strong += weight >= STRONG
     shouted = bool(hits) and any(WORDS[i].upper() in (text or "") for i in set(hits))
-    for k, yes in enumerate([*checks, disguised, stretched, shouted, several >= 1, several >= 2, odds >= 4]):
+    for k, yes in enumerate([*checks, disguised, stretched, shouted, strong >= 1, strong >= 2, odds >= 8]):
         votes |= int(bool(yes)) << (base + k)
-    return votes, sorted(found), dense, float(np.log1p(len(hits))), several, odds
+    return votes, sorted(found), dense, float(np.log1p(len(hits))), several, odds, strong
 
 
 def parts(word: bytes) -> list[bytes]:
@@ -206,8 +210,7 @@ def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray
             # smoothing towards abstaining, as most voters do on most texts
             table += 0.5 * 0.1 ** np.array([bin(s).count("1") for s in range(1 << len(voters))])
             factors.append((voters, table / table.sum(1, keepdims=True)))
-        label = np.stack([np.bincount(labels[known], w[known], 2) + 1 for w in weight])
-        return LabelModel(float(np.clip(weight[1].sum() / max(counts.sum(), 1), 1e-4, 0.9)), factors, label / label.sum(1, keepdims=True))
+        return LabelModel(float(np.clip(weight[1].sum() / max(counts.sum(), 1), 1e-4, 0.9)), factors, LABEL_TRUST)
 
     def estimate(q: np.ndarray, groups: list[tuple[int, ...]]) -> tuple[LabelModel, np.ndarray]:
         for _ in range(rounds):
@@ -250,8 +253,8 @@ def features(rows: list[tuple]) -> np.ndarray:
     for i, ws in enumerate(words):
         out[i, ws] = 1
     out[:, len(WORDS) : len(WORDS) + VOTERS] = (votes[:, None] >> np.arange(VOTERS)) & 1
-    for k, values in enumerate(([min(r[2], 5) for r in rows], [r[3] for r in rows], [min(len(ws), 6) for ws in words], [min(r[4], 6) for r in rows], [min(r[5], 12) for r in rows])):
-        out[:, k - 5] = values
+    for k, values in enumerate(([min(r[2], 5) for r in rows], [r[3] for r in rows], [min(len(ws), 6) for ws in words], [min(r[4], 10) for r in rows], [min(r[5], 30) for r in rows], [min(r[6], 8) for r in rows])):
+        out[:, k - 6] = values
     return out
 
 
@@ -281,9 +284,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features(rows) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-_FEATS = "doc_id long, votes int, words array<int>, dense double, hits double, several int, odds double"
-_COLUMNS = ("votes", "words", "dense", "hits", "several", "odds")
-_KINDS = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.int32(), pa.float64())
+_FEATS = "doc_id long, votes int, words array<int>, dense double, hits double, several int, odds double, strong int"
+_COLUMNS = ("votes", "words", "dense", "hits", "several", "odds", "strong")
+_KINDS = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32())
 
 
 def extract(docs: DataFrame, learnt: dict[bytes, float]) -> DataFrame:
