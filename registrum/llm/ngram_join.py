@@ -269,8 +269,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[Dat
     index = cut(_index(docs, n, threshold, _sketch(docs, n)))
     classes = index.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("class_id"))
     classes = cut(classes)
-    # one row of the index for each class; a doc_id that stands on several rows keeps those of its own classes
-    postings = index.join(classes.withColumn("doc_id", F.col("class_id")), ["n_shingles", "one", "two", "doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("first").alias("gram"))
+    # only the least document of each class is indexed; few other ids are broadcast, after a count, many are joined
+    keys = ["n_shingles", "one", "two"]
+    others = cut(index.select("doc_id", *keys).join(classes, keys).where("doc_id <> class_id").select("doc_id").distinct())
+    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    postings = index.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "first").join(others, "doc_id", "left_anti").select("doc_id", "n_shingles", F.explode("first").alias("gram"))
     shared = postings.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("gram", "leader")
     lists = cut(postings.join(shared, "gram"))
     profiles = index.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "profile").dropDuplicates(["doc_id"])
@@ -306,4 +309,5 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     Documents without words and rows without an id stay."""
     members, _ = ngram_jaccard(docs, n, threshold)
     gone = members.where("class_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = cut(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")

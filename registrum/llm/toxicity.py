@@ -208,7 +208,7 @@ def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray
             state = sum(((patterns >> v) & 1) << k for k, v in enumerate(voters))
             table = np.stack([np.bincount(state, w, 1 << len(voters)) for w in weight])
             # smoothing towards abstaining, as most voters do on most texts
-            table += 0.5 * 0.1 ** np.array([bin(s).count("1") for s in range(1 << len(voters))])
+            table = table + 0.5 * 0.1 ** np.array([bin(s).count("1") for s in range(1 << len(voters))])
             factors.append((voters, table / table.sum(1, keepdims=True)))
         return LabelModel(float(np.clip(weight[1].sum() / max(counts.sum(), 1), 1e-4, 0.9)), factors, LABEL_TRUST)
 
