@@ -1,4 +1,5 @@
-"""Correction memory: what officers changed, looked up exactly, then by similarity."""
+"""Correction memory: what officers changed, looked up exactly, then by similarity; how corrections are learned and
+how a verification changes records. The memory is a reference table that officers fill by hand."""
 
 from __future__ import annotations
 
@@ -11,6 +12,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import normal
 
+#: Least similarity of a suggestion and of a correction worth learning, least length of both texts.
+SUGGEST_FROM, LEARN_FROM, SHORTEST = 0.88, 0.55, 3
+
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -18,16 +22,20 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def not_known(values: DataFrame, memory: DataFrame) -> DataFrame:
+    """Values that are not themselves corrections of their field."""
+    good = memory.select("field_name", normal(F.col("corrected_value")).alias("key")).distinct()
+    return values.withColumn("key", normal(F.col("value"))).join(good, ["field_name", "key"], "left_anti").drop("key")
+
+
 def suggest_exact(values: DataFrame, memory: DataFrame) -> DataFrame:
-    """values: field_name, value. The first correction (least id) of the same field and normalised text; values that
-    are themselves corrections stay."""
+    """values: field_name, value. The first correction (least id) of the same field and normalised text; an exact
+    match comes before the test whether the value is itself a correction."""
     keyed = memory.withColumn("key", normal(F.col("raw_value"))).groupBy("field_name", "key").agg(F.min_by("corrected_value", "id").alias("suggestion"))
-    good = memory.select("field_name", normal(F.col("corrected_value")).alias("key")).distinct()
-    rows = values.withColumn("key", normal(F.col("value"))).join(good, ["field_name", "key"], "left_anti")
-    return rows.join(keyed, ["field_name", "key"]).drop("key")
+    return values.withColumn("key", normal(F.col("value"))).join(keyed, ["field_name", "key"]).where(normal(F.col("suggestion")) != F.col("key")).drop("key")
 
 
-def suggest_fuzzy(values: DataFrame, memory: DataFrame, least: float = 0.88) -> DataFrame:
+def suggest_fuzzy(values: DataFrame, memory: DataFrame, least: float = SUGGEST_FROM) -> DataFrame:
     """The most similar raw value of the same field; length bands make the theta join an equi-join."""
     width = 4
     m = memory.select("field_name", "id", F.col("corrected_value").alias("suggestion"), normal(F.col("raw_value")).alias("raw"))
@@ -42,3 +50,35 @@ def bump(memory: DataFrame, used: DataFrame) -> DataFrame:
     """times_applied grown by the uses of each (field_name, corrected_value)."""
     counts = used.groupBy("field_name", "corrected_value").agg(F.count("*").alias("uses"))
     return memory.join(counts, ["field_name", "corrected_value"], "left").withColumn("times_applied", F.col("times_applied") + F.coalesce("uses", F.lit(0))).drop("uses")
+
+
+def learnable(corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """corrections: field_name, raw_value, corrected_value. Those worth remembering: of a learnable field, both long
+    enough, different, and alike enough to be a misreading rather than other data."""
+    c = corrections.where(F.col("field_name").isin(*fields)).select("field_name", normal(F.col("raw_value")).alias("raw_value"), F.trim(F.regexp_replace(F.coalesce("corrected_value", F.lit("")), r"\s+", " ")).alias("corrected_value"))
+    c = c.where((F.length("raw_value") >= SHORTEST) & (F.length("corrected_value") >= SHORTEST) & (F.col("raw_value") != normal(F.col("corrected_value")))).distinct()
+    return c.where(ratio("raw_value", normal(F.col("corrected_value"))) >= LEARN_FROM)
+
+
+def record_corrections(memory: DataFrame, corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The memory with new corrections appended; ids go on in the order of field, raw and corrected text."""
+    new = learnable(corrections, fields).join(memory.select("field_name", "raw_value", "corrected_value"), ["field_name", "raw_value", "corrected_value"], "left_anti")
+    # ids only have to rise and be unique, so no global sort is needed
+    top = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    new = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.monotonically_increasing_id()).drop("top")
+    return memory.unionByName(new.withColumn("times_applied", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def changed_fields(fields: DataFrame, edits: DataFrame) -> DataFrame:
+    """fields: record_id, field_name, value; edits the same with what the officer wrote. The change set: old and new."""
+    e = edits.select("record_id", "field_name", F.trim(F.coalesce("value", F.lit(""))).alias("new_value"))
+    return fields.join(e, ["record_id", "field_name"]).where("coalesce(value, '') <> new_value").select("record_id", "field_name", F.coalesce("value", F.lit("")).alias("old_value"), "new_value")
+
+
+def verified_fields(fields: DataFrame, edits: DataFrame) -> DataFrame:
+    """Field rows after a verification: changed ones are manual, of confidence 0.97, and need no review."""
+    change = changed_fields(fields, edits).select("record_id", "field_name", "new_value")
+    hit = F.col("new_value").isNotNull()
+    out = fields.join(change, ["record_id", "field_name"], "left")
+    sets = {"value": F.coalesce("new_value", "value"), "confidence": F.when(hit, 0.97).otherwise(F.col("confidence")), "source": F.when(hit, "manual").otherwise(F.col("source")), "needs_review": ~hit & F.col("needs_review")}
+    return out.withColumns(sets).drop("new_value")

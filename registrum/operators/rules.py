@@ -1,4 +1,5 @@
-"""The validation rules: an array of issues for each record, exploded once. Each rule reads its row only."""
+"""The validation rules: an array of issues for each record, exploded once. Each row rule reads its row only; the
+duplicate rule counts owners of an identifier before it joins, so a plot named by many records does not square."""
 
 from __future__ import annotations
 
@@ -7,39 +8,74 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Required fields, identifiers and dates that are checked, and the form of an identifier.
 REQUIRED = ("owner_name", "survey_number", "plot_area", "village", "district")
+IDENTIFIERS, DATES = ("survey_number", "khasra_number", "khata_number"), ("mutation_date", "registration_date")
+IDENTIFIER = r"^[0-9A-Za-zऀ-෿]+([/\-][0-9A-Za-zऀ-෿]+)*\Z"
 
 
 def _issue(when: Column, rule: str, field: str, severity: str) -> Column:
     return F.when(when, F.struct(F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity")))
 
 
-def row_issues(as_of: str) -> Column:
-    """Issues of one record; as_of is the day that dates must not pass."""
+def row_issues(as_of: str, columns: list[str]) -> Column:
+    """Issues of one record, of the fields that it has; as_of is the day that dates must not pass."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     area = X.hectares(F.col("plot_area"), F.col("area_unit"))
-    known = F.col("area_unit").isin(*X.HECTARES)
-    day = X.date_parts(F.col("mutation_date"))
-    found = [_issue(blank(c), "REQUIRED_FIELD", c, "error") for c in REQUIRED]
-    for c in ("survey_number", "khasra_number"):
-        found.append(_issue(~blank(c) & ~F.regexp_replace(c, " ", "").rlike(r"^[A-Za-z]{0,4}-?\p{Nd}+([/\-][\p{Nd}A-Za-z]+)*\z"), "ID_FORMAT", c, "warning"))
-    found += [
+    known = F.coalesce(F.nullif(F.col("area_unit"), F.lit("")), F.lit("hectare")).isin(*X.HECTARES)
+    issues = [_issue(blank(c), "REQUIRED_FIELD", c, "error") for c in REQUIRED]
+    issues += [_issue(~blank(c) & ~F.regexp_replace(c, " ", "").rlike(IDENTIFIER), "ID_FORMAT", c, "warning") for c in IDENTIFIERS if c in columns]
+    issues += [
         _issue(F.col("plot_area").isNotNull() & ~known, "AREA_UNIT", "area_unit", "warning"),
         _issue((area <= 0.0001) | (area > 60000), "AREA_RANGE", "plot_area", "error"),
         _issue(~blank("pincode") & ~F.col("pincode").rlike(r"^[1-9]\p{Nd}{5}\z"), "PINCODE_FORMAT", "pincode", "error"),
-        _issue(~blank("mutation_date") & day.isNull(), "DATE_FORMAT", "mutation_date", "error"),
-        _issue(day > F.lit(as_of).cast("date"), "DATE_FUTURE", "mutation_date", "error"),
     ]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    for c in DATES:
+        if c in columns:
+            day = X.date_parts(F.col(c))
+            issues += [_issue(~blank(c) & day.isNull(), "DATE_FORMAT", c, "error"), _issue(day > F.lit(as_of).cast("date"), "DATE_FUTURE", c, "error")]
+    return F.filter(F.array(*issues), lambda x: x.isNotNull())
 
 
 def issues(records: DataFrame, as_of: str) -> DataFrame:
-    return records.select("record_id", F.explode(row_issues(as_of)).alias("i")).select("record_id", "i.*")
+    return records.select("record_id", F.explode(row_issues(as_of, records.columns)).alias("i")).select("record_id", "i.*")
 
 
-def district_issues(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Known state, district not listed under it. gazetteer: state, district, a bounded reference table."""
-    states = gazetteer.select(X.normal(F.col("state")).alias("s")).distinct()
-    listed = gazetteer.select(X.normal(F.col("state")).alias("s"), X.normal(F.col("district")).alias("d"))
-    rows = records.where("state <> '' AND district <> ''").withColumn("s", X.normal(F.col("state"))).withColumn("d", X.normal(F.col("district")))
+def district_issues(records: DataFrame, gazetteer: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Known state (after its aliases), district not listed under it. gazetteer: state, district, a bounded table."""
+    state = F.col("state")
+    if aliases:
+        state = F.coalesce(F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv])[state], state)
+    states = gazetteer.select(F.col("state").alias("s")).distinct()
+    listed = gazetteer.select(F.col("state").alias("s"), X.normal(F.col("district")).alias("d"))
+    rows = records.where("state <> '' AND district <> ''").withColumn("s", state).withColumn("d", X.normal(F.col("district")))
     return rows.join(states, "s", "left_semi").join(listed, ["s", "d"], "left_anti").select("record_id", "state", "district")
+
+
+def duplicates(records: DataFrame) -> DataFrame:
+    """For each record: how many others, not rejected, in the same village and district carry one of its identifiers
+    (links, counted for each identifier), and how many of its identifiers are shared (ids)."""
+    ids = F.array_distinct(F.filter(F.array(F.upper("survey_number"), F.upper("khasra_number")), lambda x: x != ""))
+    rows = records.where("village <> '' AND district <> ''").select("record_id", F.lower("village").alias("v"), F.lower("district").alias("d"), (F.col("status") != "REJECTED").alias("live"), F.explode(ids).alias("id"))
+    owners = rows.where("live").groupBy("v", "d", "id").agg(F.count("*").alias("n"))
+    met = rows.join(owners, ["v", "d", "id"]).withColumn("others", F.col("n") - F.col("live").cast("int")).where("others > 0")
+    return met.groupBy("record_id").agg(F.sum("others").alias("links"), F.count("*").alias("ids"))
+
+
+def revalidated(records: DataFrame, as_of: str, gazetteer: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """All record issues anew: rows of record_id, rule_code, field_name, severity."""
+    named = lambda df, rule, field, severity: df.select("record_id", F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity"))
+    out = issues(records, as_of).unionByName(named(duplicates(records), "DUPLICATE_PLOT", "survey_number", "error"))
+    return out if gazetteer is None else out.unionByName(named(district_issues(records, gazetteer, aliases), "STATE_DISTRICT", "district", "warning"))
+
+
+def after_verification(records: DataFrame, found: DataFrame) -> DataFrame:
+    """Records with is_duplicate, n_errors and status: verified if no error is left, else pending."""
+    state = found.groupBy("record_id").agg(F.count_if(F.col("severity") == "error").alias("n_errors"), F.bool_or(F.col("rule_code") == "DUPLICATE_PLOT").alias("is_duplicate"))
+    out = records.drop("n_errors", "is_duplicate", "status").join(state, "record_id", "left").fillna({"n_errors": 0, "is_duplicate": False})
+    return out.withColumn("status", F.when(F.col("n_errors") == 0, "VERIFIED").otherwise("PENDING"))
+
+
+def merged_issues(first: DataFrame, more: DataFrame, key: tuple[str, ...] = ("record_id", "rule_code", "message")) -> DataFrame:
+    """The first issues, and those of more whose key they lack; one row a key among the latter."""
+    return first.unionByName(more.join(first.select(*key), list(key), "left_anti").dropDuplicates(list(key)))

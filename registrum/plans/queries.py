@@ -103,11 +103,11 @@ def review_fields_pending(spark, d):
     return R.fields(spark, d).where("needs_review AND field_name <> 'plot_area'").join(pending, "record_id", "left_semi").agg(F.count("*").alias("n"))
 
 
-_ISSUES = f""", ha AS (SELECT *, plot_area * CASE area_unit WHEN 'acre' THEN 0.40468564224 ELSE 1.0 END AS area_ha, strptime(mutation_date, '%d/%m/%Y')::DATE AS day FROM recs),
+_ISSUES = f""", ha AS (SELECT *, plot_area * CASE area_unit WHEN 'acre' THEN 0.404686 ELSE 1.0 END AS area_ha, strptime(mutation_date, '%d/%m/%Y')::DATE AS day FROM recs),
 iss AS (
  SELECT record_id, 'REQUIRED_FIELD' AS rule_code, 'owner_name' AS field_name, 'error' AS severity FROM ha WHERE owner_name = ''
  UNION ALL SELECT record_id, 'REQUIRED_FIELD', 'plot_area', 'error' FROM ha WHERE plot_area IS NULL
- UNION ALL SELECT record_id, 'AREA_UNIT', 'area_unit', 'warning' FROM ha WHERE plot_area IS NOT NULL AND area_unit = 'bigha'
+ UNION ALL SELECT record_id, 'AREA_UNIT', 'area_unit', 'warning' FROM ha WHERE plot_area IS NOT NULL AND area_unit = 'chain'
  UNION ALL SELECT record_id, 'AREA_RANGE', 'plot_area', 'error' FROM ha WHERE area_ha <= 0.0001 OR area_ha > 60000
  UNION ALL SELECT record_id, 'PINCODE_FORMAT', 'pincode', 'error' FROM ha WHERE NOT regexp_full_match(pincode, '[1-9][0-9]{{5}}')
  UNION ALL SELECT record_id, 'DATE_FUTURE', 'mutation_date', 'error' FROM ha WHERE day > DATE '{AS_OF}')"""
@@ -136,10 +136,7 @@ def state_district_issues(spark, d):
 @_query(with_views(""", ids AS (SELECT DISTINCT record_id, lower(village) v, lower(district) dd, status <> 'REJECTED' AS live, unnest([upper(survey_number), upper(khasra_number)]) AS id FROM recs)
  SELECT a.record_id, count(*) AS links, min(b.record_id) AS low_other FROM ids a JOIN ids b ON a.v = b.v AND a.dd = b.dd AND a.id = b.id AND a.record_id <> b.record_id AND b.live WHERE a.id <> '' GROUP BY 1""").replace("min(b.record_id) AS low_other", "count(DISTINCT a.id) AS ids"))
 def duplicate_plots(spark, d):
-    ids = F.array_distinct(F.filter(F.array(F.upper("survey_number"), F.upper("khasra_number")), lambda x: x != ""))
-    rows = R.records(spark, d).select("record_id", F.lower("village").alias("v"), F.lower("district").alias("d"), (F.col("status") != "REJECTED").alias("live"), F.explode(ids).alias("id"))
-    met = rows.join(rows.where("live").groupBy("v", "d", "id").agg(F.count("*").alias("n")), ["v", "d", "id"]).withColumn("others", F.col("n") - F.col("live").cast("int")).where("others > 0")
-    return met.groupBy("record_id").agg(F.sum("others").alias("links"), F.count("*").alias("ids"))
+    return rules.duplicates(R.records(spark, d))
 
 
 _W = " ".join(f"WHEN '{k}' THEN {w}" for k, (w, _) in R.FIELDS.items())
@@ -228,10 +225,10 @@ def _round_trip(spark, d):
     return r.select(F.col("record_id").alias("doc_id"), text.alias("text"))
 
 
-@_query(with_views("SELECT record_id AS doc_id, survey_number, coalesce(plot_area, 1.5) AS area, 'acre' AS unit, '6' || lpad((record_id % 100000)::VARCHAR, 5, '0') AS pin, strptime(mutation_date, '%d/%m/%Y')::DATE AS day FROM recs"))
+@_query(with_views("SELECT record_id AS doc_id, survey_number, coalesce(plot_area, 1.5) AS area, 'acre' AS unit, '6' || lpad((record_id % 100000)::VARCHAR, 5, '0') AS pin, mutation_date AS day FROM recs"))
 def typed_parsers(spark, d):
     lines = _round_trip(spark, d).withColumn("l", F.split("text", "\n"))
-    return lines.select("doc_id", X.plot_id(F.regexp_extract(F.col("l")[1], r":\s*(.*)", 1)).alias("survey_number"), X.area_value(F.col("l")[2]).alias("area"), X.area_unit(F.col("l")[2]).alias("unit"), X.pin_code(F.col("l")[3]).alias("pin"), X.date_parts(F.col("l")[4]).alias("day"))
+    return lines.select("doc_id", X.plot_id(F.regexp_extract(F.col("l")[1], r":\s*(.*)", 1)).alias("survey_number"), X.area_value(F.col("l")[2]).alias("area"), X.area_unit(F.col("l")[2]).alias("unit"), X.pin_code(F.col("l")[3]).alias("pin"), X.parse_date(F.col("l")[4]).alias("day"))
 
 
 @_query("SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber) FILTER (l_linenumber % 2 = 1))) AS kept FROM lineitem GROUP BY 1".replace("list_sort(list_distinct(list(l_linenumber) FILTER (l_linenumber % 2 = 1))) AS kept", "count(DISTINCT l_linenumber) FILTER (l_linenumber % 2 = 1) AS kept"))

@@ -37,7 +37,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("o_custkey", F.lit("/"), "c_nationkey").alias("survey_number"),
         F.when(k % 3 == 0, F.concat(F.lit("K"), (k % 5000).cast("string"))).otherwise("").alias("khasra_number"),
         F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).cast("double").alias("plot_area"),
-        F.when(k % 4 == 0, "acre").when(k % 17 == 0, "bigha").otherwise("hectare").alias("area_unit"),
+        F.when(k % 4 == 0, "acre").when(k % 17 == 0, "chain").otherwise("hectare").alias("area_unit"),
         F.col("c_mktsegment").alias("village"),
         F.col("n_name").alias("district"),
         F.when(k % 19 == 0, "EUROPE").otherwise(F.col("r_name")).alias("state"),
@@ -67,7 +67,7 @@ docs AS (SELECT o_orderkey AS document_id, 'scan-' || o_orderkey || '.pdf' AS or
   o_orderkey % 7 + 1 AS page_count, o_orderdate AS uploaded_at FROM orders JOIN customer ON o_custkey = c_custkey JOIN pl ON c_nationkey = n_nationkey),
 recs AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE c_name END AS owner_name, o_custkey || '/' || c_nationkey AS survey_number,
   CASE WHEN o_orderkey % 3 = 0 THEN 'K' || (o_orderkey % 5000) ELSE '' END AS khasra_number, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_totalprice END AS plot_area,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'acre' WHEN o_orderkey % 17 = 0 THEN 'bigha' ELSE 'hectare' END AS area_unit, c_mktsegment AS village, n_name AS district,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'acre' WHEN o_orderkey % 17 = 0 THEN 'chain' ELSE 'hectare' END AS area_unit, c_mktsegment AS village, n_name AS district,
   CASE WHEN o_orderkey % 19 = 0 THEN 'EUROPE' ELSE r_name END AS state,
   CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 100000)::VARCHAR ELSE (100000 + o_orderkey % 900000)::VARCHAR END AS pincode,
   strftime(o_orderdate, '%d/%m/%Y') AS mutation_date, (o_orderkey % 991) / 991.0::DOUBLE AS overall_confidence,

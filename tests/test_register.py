@@ -38,14 +38,22 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(tuple(_plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(_plain(r[i]) for i in at) for r in found.fetchall())
 
 
-@pytest.mark.parametrize(("text", "day"), [("Dated 05/03/2021", datetime.date(2021, 3, 5)), ("5-3-49", datetime.date(2049, 3, 5)), ("5.3.50", datetime.date(1950, 3, 5)), ("2021-03-05", datetime.date(2021, 3, 5)), ("31/02/2021", None), ("none", None), (None, None)])
-def test_dates(spark, text, day):
+@pytest.mark.parametrize(("text", "day"), [("05/03/2021", datetime.date(2021, 3, 5)), ("5-3-49", datetime.date(2049, 3, 5)), ("5.3.50", datetime.date(1950, 3, 5)), ("2021-03-05", None), ("31/02/2021", None), ("none", None), (None, None)])
+def test_stored_dates(spark, text, day):
     assert spark.createDataFrame([(text,)], "t string").select(X.date_parts(F.col("t"))).first()[0] == day
 
 
+DATES = {"Dated 05/03/2021": "05/03/2021", "5-3-49": "05/03/2049", "on 2021.3.5": "05/03/2021", "03/25/2020": "25/03/2020", "12th May, 2024": "12/05/2024", "Mar 3 99": "03/03/1999", "31/02/2021": "31/02/2021", "1/2": "", None: ""}
+
+
+def test_dates_in_text(spark):
+    rows = spark.createDataFrame([(t,) for t in DATES], "t string").select("t", X.parse_date(F.col("t")).alias("day")).collect()
+    assert {r.t: r.day for r in rows} == DATES
+
+
 def test_parsers(spark):
     row = spark.createDataFrame([("No. 123 / 4A", "2,500.5 sq ft", "PIN 221 206.")], "a string, b string, c string").select(X.plot_id(F.col("a")), X.area_value(F.col("b")), X.area_unit(F.col("b")), X.pin_code(F.col("c"))).first()
-    assert tuple(row) == ("123/4A", 2500.5, "sqft", "221206")
+    assert tuple(row) == ("123/4A", 2500.5, "sq.ft", "221206")
 
 
 def test_rules(spark):
