@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import layout, memory, rules
+from ..operators import extract, layout, memory, quality, rules, stamps
+from ..sources import files
 from ..sources import register as R
+from ..streaming import register as streams
 
 AS_OF = "1998-01-01"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,6 +288,155 @@ def village_history(spark, d):
     return R.records(spark, d).select("record_id", F.lag("overall_confidence").over(w).alias("before"), F.row_number().over(w).cast("long").alias("place"))
 
 
+def _form_texts(spark, d):
+    """A form for each record, in every layout that the extraction knows; what it must find follows from the record."""
+    r = R.records(spark, d)
+    k, area = F.col("record_id"), F.format_string("%d.%d", F.col("record_id") % 40 + 1, F.col("record_id") % 9 + 1)
+    place = F.when(k % 4 == 0, F.concat(F.lit("District\n"), "state")).when(k % 4 == 1, F.concat(F.lit("Distrct : "), "state")).otherwise(F.concat(F.lit("District : "), "state"))
+    plot = F.when(k % 3 == 0, F.concat(F.lit("SurveyNo:"), "survey_number")).otherwise(F.concat(F.lit("Survey No : "), "survey_number"))
+    deed = F.concat(F.lit("Registration No : REG-"), k.cast("string"), F.lit(" Date : "), "mutation_date")
+    text = F.concat_ws("\n", place, plot, F.concat(F.lit("Total Area : "), area, F.lit(" acres")), F.concat(F.lit("PIN Code 6"), F.lpad((k % 100000).cast("string"), 5, "0")), deed)
+    return r.select(k.alias("doc_id"), text.alias("text"))
+
+
+_FORM = """, form AS (SELECT record_id AS doc_id, (record_id % 40 + 1) || '.' || (record_id % 9 + 1) AS area, * FROM recs), want AS (
+ SELECT doc_id, unnest(['district', 'survey_number', 'plot_area', 'area_unit', 'pincode', 'registration_number', 'registration_date']) AS field_name,
+  unnest([array_to_string(list_transform(string_split(lower(state), ' '), lambda x: upper(x[1]) || x[2:]), ' '), survey_number, area, 'acre', '6' || lpad((record_id % 100000)::VARCHAR, 5, '0'), 'REG-' || record_id, mutation_date]) AS value FROM form)"""
+
+
+@_query(with_views(_FORM + " SELECT doc_id, field_name, value FROM want"))
+def extract_forms(spark, d):
+    """All fields that the extraction finds in the forms: labels exact, misread, glued to the value or above it."""
+    return extract.extract_text(_form_texts(spark, d)).where("value <> ''").select("doc_id", "field_name", "value")
+
+
+@_query(with_views(_FORM + " SELECT doc_id, count(*) AS n_found, 20 - count(*) AS n_blank FROM want GROUP BY 1"))
+def extract_summary(spark, d):
+    found = extract.extract_text(_form_texts(spark, d))
+    return found.groupBy("doc_id").agg(F.count_if(F.col("value") != "").alias("n_found"), F.count_if(F.col("value") == "").alias("n_blank"))
+
+
+def _boxes(spark, d):
+    """Pages of orders: a stamp and a word for each line item."""
+    i = R.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") - 1).alias("nth"), "l_partkey", "l_suppkey", "l_quantity")
+    stamp = i.select("page_id", "nth", (F.col("l_partkey") % 500).alias("x"), (F.col("l_suppkey") % 700).alias("y"), (F.col("l_quantity") * 8 + 100).cast("long").alias("w"), F.lit(300).cast("long").alias("h"))
+    word = i.select("page_id", (F.col("l_partkey") % 600).alias("x"), (F.col("l_suppkey") % 800).alias("y"), F.lit(60).cast("long").alias("w"), F.lit(20).cast("long").alias("h"))
+    return stamp, word
+
+
+_BOXES = """i AS (SELECT l_orderkey AS page_id, l_linenumber - 1 AS nth, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem),
+ st AS (SELECT page_id, nth, p % 500 AS x, s % 700 AS y, (q * 8 + 100)::BIGINT AS w, 300 AS h FROM i), wd AS (SELECT page_id, p % 600 AS x, s % 800 AS y, 60 AS w, 20 AS h FROM i),
+ met AS (SELECT st.page_id, st.nth, st.w * st.h AS a, 1200 AS b, greatest(0, least(st.x + st.w, wd.x + wd.w) - greatest(st.x, wd.x)) * greatest(0, least(st.y + st.h, wd.y + wd.h) - greatest(st.y, wd.y)) AS c FROM st JOIN wd USING (page_id)),
+ cov AS (SELECT page_id, nth, count(*) AS n_words FROM met WHERE c / b > 0.15 OR c / (a + b - c) > 0.15 GROUP BY ALL)"""
+
+
+@_query(f"WITH {_BOXES} SELECT page_id, nth, n_words FROM cov")
+def stamp_word_overlaps(spark, d):
+    return stamps.overlapped(*_boxes(spark, d))
+
+
+@_query(f"""WITH {_BOXES}, pg AS (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN 'Seal of the office' WHEN o_orderkey % 7 = 0 THEN 'Digitally signed' ELSE 'plain' END AS text FROM orders)
+ SELECT page_id, 'STAMP_MULTIPLE' AS rule_code, 'warning' AS severity, 1::BIGINT AS n FROM st GROUP BY 1 HAVING count(*) >= 3
+ UNION ALL SELECT page_id, 'STAMP_OVERLAP', 'error', count(*) FROM cov WHERE n_words >= 3 GROUP BY 1
+ UNION ALL SELECT page_id, 'STAMP_MISSING', 'error', 1::BIGINT FROM pg WHERE text = 'plain' AND page_id NOT IN (SELECT page_id FROM st)""")
+def stamp_issues(spark, d):
+    k = F.col("o_orderkey")
+    pages = R.table(spark, d, "orders").select(k.alias("page_id"), F.when(k % 5 == 0, "Seal of the office").when(k % 7 == 0, "Digitally signed").otherwise("plain").alias("text"))
+    return stamps.issues(pages, *_boxes(spark, d)).groupBy("page_id", "rule_code", "severity").agg(F.count("*").alias("n"))
+
+
+_MEASURES = {"short_side": "l_partkey * 7 % 1800", "dark_pct": "l_suppkey % 50 / 100.0", "bright_pct": "l_partkey % 100 / 100.0", "contrast": "(l_orderkey * 3 % 90)", "blur": "(l_orderkey % 300)", "noise": "(l_partkey % 23)", "skew": "(l_suppkey % 9 - 4)", "edge_density": "(l_orderkey + l_partkey) % 260 / 1000.0"}
+
+
+@_query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, {", ".join(f"{e} AS {n}" for n, e in _MEASURES.items())} FROM lineitem),
+ s1 AS (SELECT *, CASE WHEN short_side < 720 OR dark_pct > 0.35 OR (bright_pct > 0.55 AND contrast < 45) THEN 'heavy' WHEN contrast < 45 THEN 'moderate' ELSE 'minimal' END AS a FROM m),
+ s2 AS (SELECT *, CASE WHEN blur < 54 THEN 'heavy' WHEN a = 'minimal' AND blur < 90 THEN 'moderate' ELSE a END AS b FROM s1),
+ s3 AS (SELECT *, CASE WHEN noise > 18 THEN 'heavy' WHEN b = 'minimal' AND noise > 12 THEN 'moderate' ELSE b END AS c FROM s2),
+ s4 AS (SELECT *, CASE WHEN abs(skew) > 3 THEN 'heavy' WHEN c = 'minimal' AND abs(skew) > 1.5 THEN 'moderate' ELSE c END AS e FROM s3),
+ s5 AS (SELECT *, CASE WHEN edge_density > 0.22 THEN 'heavy' WHEN edge_density < 0.01 AND e = 'heavy' THEN 'moderate' ELSE e END AS f FROM s4)
+ SELECT l_orderkey, l_linenumber, CASE WHEN blur >= 90 AND contrast >= 45 AND noise <= 12 AND dark_pct < 0.12 AND bright_pct > 0.4 AND short_side >= 810 THEN 'minimal' ELSE f END AS level FROM s5""")
+def page_levels(spark, d):
+    m = R.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _MEASURES.items()])
+    return m.select("l_orderkey", "l_linenumber", quality.level().alias("level"))
+
+
+@_query("SELECT l_orderkey, arg_max(l_linenumber, (l_quantity, l_tax, -l_linenumber)) AS attempt, bool_or(l_quantity < 8 OR (l_quantity < 25 AND l_tax < 0.02)) AS rescued FROM lineitem GROUP BY 1")
+def ocr_rescue(spark, d):
+    i = R.table(spark, d, "lineitem")
+    rescue = F.when(F.col("l_quantity") < 8, True).otherwise((F.col("l_quantity") < 25) & (F.col("l_tax") < 0.02))
+    return i.groupBy("l_orderkey").agg(quality.kept_attempt("l_quantity", "l_tax", "l_linenumber", "l_linenumber").alias("attempt"), F.bool_or(rescue).alias("rescued"))
+
+
+@_query(with_views("SELECT record_id::VARCHAR AS \"ID\", owner_name AS \"Owner Name\", pincode AS \"PIN Code\", status AS \"Status\" FROM recs"))
+def export_register(spark, d):
+    return files.export_rows(R.records(spark, d)).select("ID", "Owner Name", "PIN Code", "Status")
+
+
+@_query(with_views("SELECT document_id, page_count, least(page_count, 3) AS processed_page_count FROM docs"))
+def page_cap(spark, d):
+    pages = R.documents(spark, d).select("document_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("page_count"))).alias("page_number"))
+    return files.capped_pages(pages, 3)[1]
+
+
+@_query("SELECT event_type AS action, event_id::VARCHAR AS object_id, props AS detail FROM events")
+def audit_log(spark, d):
+    e = R.table(spark, d, "events").select(F.col("event_type").alias("action"), F.lit("Document").alias("object_type"), F.col("event_id").alias("object_id"), F.lit(None).cast("string").alias("user_label"), F.col("props").alias("detail"), F.col("ts").alias("created_at"))
+    return files.audit_rows(e).select("action", "object_id", "detail")
+
+
+def _edits(spark, d):
+    return R.fields(spark, d).where("field_name = 'village' AND record_id % 6 = 0").select("record_id", "field_name", F.when(F.col("record_id") % 12 == 0, F.col("value")).otherwise(F.concat("value", F.lit(" Khurd"))).alias("value"))
+
+
+@_query(with_views("SELECT record_id, field_name, CASE WHEN hit THEN value || ' Khurd' ELSE value END AS value, CASE WHEN hit THEN 'manual' ELSE source END AS source, (NOT hit AND needs_review) AS needs_review FROM (SELECT *, field_name = 'village' AND record_id % 12 = 6 AS hit FROM flds)"))
+def verified_fields(spark, d):
+    rows = R.fields(spark, d).where("field_name <> 'plot_area'")
+    return memory.verified_fields(rows, _edits(spark, d)).select("record_id", "field_name", "value", "source", "needs_review")
+
+
+@_query(with_views("SELECT record_id, field_name, value AS old_value, value || ' Khurd' AS new_value FROM flds WHERE field_name = 'village' AND record_id % 12 = 6"))
+def verification_changes(spark, d):
+    return memory.changed_fields(R.fields(spark, d), _edits(spark, d))
+
+
+@_query()
+def learned_corrections(spark, d):
+    """The officers' changes that memory keeps: misread values, not replaced ones."""
+    seen = R.table(spark, d, "nation").select(F.lit("district").alias("field_name"), F.translate("n_name", "AEIO", "4310").alias("raw_value"), F.col("n_name").alias("corrected_value"))
+    return memory.record_corrections(_memory(spark, d).withColumn("times_applied", F.lit(0).cast("long")), seen, extract.LEARNABLE).select("field_name", "raw_value", "corrected_value")
+
+
+@_query(with_views(_ISSUES + """, ids AS (SELECT DISTINCT record_id, lower(village) v, lower(district) dd, status <> 'REJECTED' AS live, unnest([upper(survey_number), upper(khasra_number)]) AS id FROM recs),
+ n AS (SELECT v, dd, id, count(*) AS n FROM ids WHERE live AND id <> '' GROUP BY ALL), dup AS (SELECT DISTINCT record_id FROM ids JOIN n USING (v, dd, id) WHERE n.n - live::INT > 0),
+ e AS (SELECT record_id FROM iss WHERE severity = 'error' UNION ALL SELECT record_id FROM dup), c AS (SELECT record_id, count(*) AS n FROM e GROUP BY 1)
+ SELECT record_id, coalesce(n, 0) AS n_errors, record_id IN (SELECT record_id FROM dup) AS is_duplicate, CASE WHEN coalesce(n, 0) = 0 THEN 'VERIFIED' ELSE 'PENDING' END AS status FROM recs LEFT JOIN c USING (record_id)"""))
+def revalidated_records(spark, d):
+    r = R.records(spark, d)
+    return rules.after_verification(r, rules.revalidated(r, AS_OF)).select("record_id", "n_errors", "is_duplicate", "status")
+
+
+@_query(with_views("SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'REPROCESSED' ELSE status END AS status FROM docs"))
+def upsert_documents(spark, d):
+    docs = R.documents(spark, d).select("document_id", "status")
+    return files.upserted(docs, docs.where("document_id % 3 = 0").withColumn("status", F.lit("REPROCESSED")), ["document_id"])
+
+
+@_query("SELECT event_type, time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return streams.counts_by_window(R.table(spark, d, "events"))
+
+
+@_query("SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 minutes THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k")
+def user_sessions(spark, d):
+    return streams.sessions(R.table(spark, d, "events"))
+
+
+@_query("SELECT event_type AS original_name, user_id % 50 AS file_size, min(ts) AS uploaded_at FROM events GROUP BY ALL")
+def uploads_once(spark, d):
+    e = R.table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("original_name"), (F.col("user_id") % 50).alias("file_size"), F.lit("u").alias("user_label"), F.col("ts").alias("uploaded_at"))
+    return streams.without_running(e).select("original_name", "file_size", "uploaded_at")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
