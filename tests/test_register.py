@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.functions import text as X
-from registrum.operators import layout, rules
+from registrum.operators import extract, layout, rules
 from registrum.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +67,27 @@ def test_boxes_and_intervals(spark):
     overlap, kept = df.select(layout.iou("a", "b"), layout.non_overlapping(F.col("hits"))).first()
     assert overlap == pytest.approx(1 / 3)
     assert [k["rank"] for k in kept] == [1, 3]
+
+
+def test_extraction(spark):
+    text = "Owner Name : Ramesh Kumar\nSurvey No : 123/4A\nVillage : Rampur\nArea : 2.5 acre\nPIN 221206"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (None, text)], "doc_id long, text string")
+    rows = extract.extract_text(docs).collect()
+    found = {(r.doc_id, r.field_name): r.value for r in rows if r.value}
+    assert {k: v for k, v in found.items() if k[1] != "area_unit"} == {(1, "owner_name"): "Ramesh Kumar", (1, "survey_number"): "123/4A", (1, "village"): "Rampur", (1, "plot_area"): "2.5", (1, "pincode"): "221206"}
+    assert found[1, "area_unit"] == "acre"
+    assert sorted((r.doc_id, r.field_name) for r in rows) == sorted((d, f) for d in (1, 2, 3) for f in extract.FIELDS)
+    assert all(r.needs_review and r.confidence == 0.0 for r in rows if not r.value)
+
+
+def test_label_search_prunes_nothing():
+    labels = extract.lexicon()
+    index = extract.LabelIndex(labels)
+    for tokens in (["Owner", "Name"], ["Ownr", "Nmae"], ["Survy", "No"], ["Vilage"], ["Registratlon", "Number"], ["Distrct"], ["xyz"]):
+        folds, best = tuple(map(extract.fold, tokens)), {}
+        for field, label, weight in labels:
+            words = tuple(w for w in map(extract.fold, label.split()) if w)
+            folded = extract.fold(label)
+            score = index._score("".join(folds), folds, folded, words, extract.Counter(folded)) if folded else 0.0
+            best[field] = max(best.get(field, 0.0), score * weight)
+        assert {f: s for f, s in best.items() if s > 0} == {f: score * weight for f, _, score, weight in index.match(folds)}
