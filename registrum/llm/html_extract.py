@@ -6,11 +6,13 @@
 2. A host's distinct streams are aligned one after the other into its wrapper: what both have stays, what only one has
    becomes an optional group, and text becomes a slot. Streams are merged in bounded batches, batch results again, until each host
    has one wrapper; a host with a third of all pages brings its few distinct streams, never its pages.
-3. A slot whose text is the same on all of the host's pages (by the least and greatest text hash, aggregated before any
-   shuffle) is template; the others hold data.
+3. A slot whose text is the same wherever it stands (by the least and greatest text hash, aggregated before any
+   shuffle), on 3 pages at least and on most of the host's pages, is template; the others hold data. Pages with
+   equal text before this step count as one, so copies make no template.
 4. A page is read once more: blocks in the main region (article, else main, else body), outside parts that name
-   themselves menus, headers, footers, sidebars, notices, adverts, forms or comments, and in slots that are not template, are its
-   text. Template slots only go when the main region has data slots, so pages that are all copies keep their text.
+   themselves menus, headers, footers, sidebars, notices, adverts, forms or comments, are its text. Where the region is
+   only the body, template slots go, if it has data slots too; an article or main element is kept whole, with the
+   passages and headings that its pages share.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 Null or empty html, and html without text, give the empty text; a null url has the empty host. Broken tags end
@@ -186,7 +188,7 @@ def fold(tokens: list[str]) -> tuple[list[str], list[int]]:
     return [t for t, _ in items], place
 
 
-#: A wrapper: its tokens and, by token, what is known of its slots: least and greatest text hash, and pages.
+#: A wrapper: its tokens and, by token, what is known of its slots: least and greatest text hash, and pages of different text.
 Wrapper = tuple[list[str], dict[int, tuple[int, int, int]]]
 
 
@@ -233,16 +235,22 @@ def _slots_of(wrapper: Wrapper, folded: list[str]) -> dict[int, int]:
     return slot
 
 
-def extract(page: str | None, wrapper: Wrapper | None, aligned: dict | None = None) -> str:
-    """Main text of a page of the wrapper's host. aligned: keeps the alignments of the wrapper's streams for the next page."""
+def _region(blocks: list[Block]) -> tuple[int, list[Block]]:
+    """The main region (0 body, 1 main, 2 article) and its blocks."""
+    open_blocks = [b for b in blocks if not b.boiler]
+    region = max((b.main for b in open_blocks), default=0)
+    return region, [b for b in open_blocks if b.main == region]
+
+
+def extract(page: str | None, wrapper: Wrapper | None, aligned: dict | None = None, pages: int = 0) -> str:
+    """Main text of a page of the wrapper's host, which has so many pages of different text. aligned: keeps the alignments
+    of the wrapper's streams for the next page."""
     if not page:
         return ""
     tokens, blocks = read(page)
     template: set[int] = set()
-    open_blocks = [b for b in blocks if not b.boiler]
-    region = max((b.main for b in open_blocks), default=0)
-    kept = [b for b in open_blocks if b.main == region]
-    if wrapper:
+    region, kept = _region(blocks)
+    if wrapper and not region:
         folded, place = fold(tokens)
         aligned = {} if aligned is None else aligned
         key = tuple(folded)
@@ -252,14 +260,16 @@ def extract(page: str | None, wrapper: Wrapper | None, aligned: dict | None = No
             aligned[key] = _slots_of(wrapper, folded)
         slot = aligned[key]
         known = {id(b): wrapper[1].get(slot.get(place[b.token], -1)) for b in kept}
-        template = {k for k, s in known.items() if s and s[0] == s[1] and s[2] >= 3}
+        template = {k for k, s in known.items() if s and s[0] == s[1] and s[2] >= 3 and 2 * s[2] > pages}
         if not any(k not in template and s for k, s in known.items()):
             template = set()
     return " ".join(b.text for b in kept if id(b) not in template)
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """host, stream, and for each of its slots the least and greatest text hash and the pages: one row a stream."""
+    """host, stream, for each of its slots the least and greatest text hash and the pages, and the pages: one row a stream.
+    Pages of a host with equal text count once, for the least of their streams."""
+    kinds = {"host": pa.string(), "id": pa.int64(), "stream": pa.string(), "slot": pa.int32(), "page": pa.int64(), "low": pa.int64(), "high": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,6 +278,8 @@ def _streams(pages: DataFrame) -> DataFrame:
                 if not page:
                     continue
                 tokens, blocks = read(page)
+                if not blocks:
+                    continue
                 folded, place = fold(tokens)
                 low: dict[int, int] = {}
                 high: dict[int, int] = {}
@@ -275,12 +287,16 @@ def _streams(pages: DataFrame) -> DataFrame:
                     h, k = _text_hash(b.text), place[b.token]
                     low[k], high[k] = min(low.get(k, h), h), max(high.get(k, h), h)
                 stream = json.dumps(folded)
-                out += [(host, stream, k, low[k], high[k]) for k in low]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "stream", "slot", "low", "high"])
+                number = _text_hash(stream)
+                out += [(host, number, stream, k, None, low[k], high[k]) for k in low]
+                out.append((host, number, None, None, _text_hash(" ".join(b.text for b in _region(blocks)[1])), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
-    slots = pages.mapInArrow(run, "host string, stream string, slot int, low long, high long")
-    slots = slots.groupBy("host", "stream", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("pages"))
-    return slots.groupBy("host", "stream").agg(F.to_json(F.sort_array(F.collect_list(F.struct("slot", "low", "high", "pages")))).alias("slots"))
+    rows = pages.mapInArrow(run, "host string, id long, stream string, slot int, page long, low long, high long")
+    rows = cut(rows.groupBy("host", "id", "stream", "slot", "page").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    held = rows.where("slot IS NULL").groupBy("host", "page").agg(F.min("id").alias("id")).groupBy("host", "id").agg(F.count("*").alias("pages"))
+    slots = rows.where("slot IS NOT NULL").join(held, ["host", "id"], "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
+    return slots.groupBy("host", "stream").agg(F.to_json(F.sort_array(F.collect_list(F.struct("slot", "low", "high", "pages")))).alias("slots"), F.max("pages").alias("pages"))
 
 
 def _load(stream: str, slots: str) -> Wrapper:
@@ -288,7 +304,7 @@ def _load(stream: str, slots: str) -> Wrapper:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host, stream, slots: one wrapper for each host. pages: host, html."""
+    """host, stream, slots, pages: one wrapper for each host. pages: host, html."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("stream")
@@ -297,14 +313,14 @@ def infer(pages: DataFrame) -> DataFrame:
             other = _load(stream, slots)
             wrapper = other if wrapper is None else align(wrapper, other)
         slots = [{"slot": k, "low": v[0], "high": v[1], "pages": v[2]} for k, v in wrapper[1].items()]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": [json.dumps(wrapper[0])], "slots": [json.dumps(slots)]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": [json.dumps(wrapper[0])], "slots": [json.dumps(slots)], "pages": [int(group["pages"].sum())]})
 
     streams = cut(_streams(pages))
     while True:
         fan = streams.groupBy("host").agg(F.ceil(F.count("*") / _BATCH).alias("fan"))
         most = fan.agg(F.max("fan")).first()[0] or 0
         dealt = streams.join(fan, "host").withColumn("part", F.pmod(F.xxhash64("stream"), "fan"))
-        streams = cut(dealt.groupBy("host", "part").applyInPandas(merge, "host string, stream string, slots string"))
+        streams = cut(dealt.groupBy("host", "part").applyInPandas(merge, "host string, stream string, slots string, pages long"))
         if most <= 1:
             return streams
 
@@ -320,11 +336,11 @@ def main_text(pages: DataFrame) -> DataFrame:
         last, wrapper, aligned = None, None, {}
         for batch in batches:
             texts = []
-            for page, stream, slots in zip(*[batch.column(c).to_pylist() for c in ("html", "stream", "slots")], strict=True):
+            for page, stream, slots, n in zip(*[batch.column(c).to_pylist() for c in ("html", "stream", "slots", "pages")], strict=True):
                 if stream and (stream, slots) != last:
                     last, wrapper, aligned = (stream, slots), _load(stream, slots), {}
-                texts.append(extract(page, wrapper if stream else None, aligned))
+                texts.append(extract(page, wrapper if stream else None, aligned, n))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "stream", "slots")
+    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "stream", "slots", "pages")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

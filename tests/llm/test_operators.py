@@ -202,6 +202,26 @@ def test_html(spark):
     assert [found[k][0] for k in (8, 9, 10, 11)] == ["", "", "plain", html.unescape("a &lt; b")]
 
 
+def test_html_shared_passages_and_copies(spark):
+    def article(k):
+        quote = "<blockquote>the quoted passage</blockquote>" if k < 4 else ""
+        return f"<article><h1>Title {k}</h1>{quote}<p>Own {k}</p><h2>References</h2><ul><li>Link {k}</ul></article>"
+
+    def plain(k):
+        quote = "<blockquote>the quoted passage</blockquote>" if k < 3 else ""
+        return f"<div class=brand>The Site</div><h1>Title {k}</h1>{quote}<p>Own {k}</p>"
+
+    def copied(k):
+        return "<h3>Once</h3><table><tr><td>cell</table><dl><dt>a<dd>b</dl>" + ("<p>tail</p>" if k % 2 else "") if k < 6 else f"<h1>Title {k}</h1><p>Own {k}</p>"
+
+    rows = [(100 * h + k, f"http://h{h}.net/{k}", page(k)) for h, page in enumerate((article, plain, copied)) for k in range(8)]
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert found[k] == f"Title {k} " + "the quoted passage " * (k < 4) + f"Own {k} References Link {k}"
+        assert found[100 + k] == f"Title {k} " + "the quoted passage " * (k < 3) + f"Own {k}"
+        assert found[200 + k] == ("Once cell a b" + " tail" * (k % 2) if k < 6 else f"Title {k} Own {k}")
+
+
 def test_wrapper_alignment():
     a, b = (["<p>", "#", "</p>"], {1: (1, 1, 2)}), (["<h1>", "#", "</h1>", "<p>", "#", "</p>"], {1: (5, 5, 1), 4: (2, 2, 1)})
     tokens, slots = html_extract.align(a, b)
