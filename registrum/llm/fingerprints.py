@@ -1,8 +1,7 @@
 """Document fingerprints by I-Match, in DataFrame operations only.
 
 The lexicon holds the terms (lower-cased words) whose document frequency lies in a band, LOW to HIGH of all documents.
-At most (mean number of distinct terms in a document) / LOW terms can reach the lower end, so its size is bounded
-whatever the corpus holds; the bound is checked before the lexicon is sent to executors inside the plan. SUBSETS
+It is a table of any size, joined to the terms of the texts: broadcast if it is small, else shuffled. SUBSETS
 are random parts of the lexicon, drawn by a hash of term and number: some hold one term in 16, some in 64 or 256,
 for short and for long texts. A fingerprint is a hash of the document's sorted distinct terms in each subset, ``-`` where
 there are none. Texts without any such term are hashed as they are.
@@ -13,19 +12,17 @@ Equal texts have equal fingerprints. Repeated ids are ordered by text; a null id
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import cut, narrow
 
 #: Band of document frequency, as one in so many documents.
 LOW, HIGH = 100, 5
 #: Each subset keeps one lexicon term in so many.
 SUBSETS = (16,) * 8 + (64,) * 8 + (256,) * 8
-#: More terms than this are refused: LOW = 100 and documents of 2,000 distinct terms each stay below.
-MAX_TERMS = 200_000
+#: Bytes of lexicon terms, with 32 for each row, that may be broadcast; more are joined.
+BROADCAST_BYTES = 8 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Documents whose neighbours one window finds.
 _BUCKET = 2048
@@ -37,33 +34,40 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), _SPACE))
 
 
-def lexicon(docs: DataFrame) -> list[list[str]]:
-    """The terms of each subset."""
+def lexicon(docs: DataFrame) -> DataFrame:
+    """term, members: the terms of any subset; bit k of members stands for subset k."""
     total = docs.count()
     # explode_outer: for explode, the optimiser filters by the array first and so computes it several times
     df = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").count()
-    band = df.where((F.col("count") * LOW >= total) & (F.col("count") * HIGH <= total)).select("term").limit(MAX_TERMS + 1)
-    # the limit also keeps the draws below from being pushed to the words of all documents
-    draws = [(F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{k}"))), 1, 4), 16, 10).cast("int") * one_in < 65536).alias(f"k{k}") for k, one_in in enumerate(SUBSETS)]
-    drawn = band.select("term", *draws).collect()
-    if len(drawn) > MAX_TERMS:
-        raise ValueError("the lexicon exceeds its bound; raise LOW")
-    return [sorted(r["term"] for r in drawn if r[f"k{k}"]) for k in range(len(SUBSETS))]
+    # the cut also keeps the draws below from being pushed to the words of all documents
+    band = cut(df.where((F.col("count") * LOW >= total) & (F.col("count") * HIGH <= total)).select("term"))
+    members = F.lit(0).cast("long")
+    for k, one_in in enumerate(SUBSETS):
+        drawn = F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{k}"))), 1, 4), 16, 10).cast("int") * one_in < 65536
+        members = members + F.when(drawn, F.lit(1 << k)).otherwise(F.lit(0))
+    return cut(band.select("term", members.alias("members")).where("members <> 0"))
+
+
+def prints(texts: DataFrame, lex: DataFrame) -> DataFrame:
+    """print_id, print_md5, print: the fingerprint of each of texts (id, md5, text) that has terms of the lexicon."""
+    size = lex.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    # a lexicon too large to broadcast means long texts, of which no term is more than a small share of all
+    found = texts.select("id", "md5", F.explode_outer(terms(F.col("text"))).alias("term")).join(F.broadcast(lex) if size <= BROADCAST_BYTES else lex.hint("merge"), "term")
+    found = found.groupBy("id", "md5").agg(F.collect_set(F.struct("term", "members")).alias("found"))
 
+    def hashed(own: Column, k: int) -> Column:
+        part = F.transform(F.filter(own, lambda t: t["members"].bitwiseAND(F.lit(1 << k)) != 0), lambda t: t["term"])
+        return F.when(F.size(part) == 0, "-").otherwise(F.substring(F.md5(F.array_join(part, " ").cast("binary")), 1, 8))
 
-def fingerprint(text: Column, subsets: list[list[str]]) -> Column:
-    every = sorted({t for s in subsets for t in s})
-    if not every:
-        return F.concat(F.lit("text:"), F.md5(text.cast("binary")))
-    own = F.sort_array(F.filter(terms(text), lambda t: t.isin(every)))
+    # transform over a single element names the sorted list once, so it is not computed for each subset
+    whole = F.transform(F.array(F.sort_array("found")), lambda own: F.concat_ws(":", *[hashed(own, k) for k in range(len(SUBSETS))]))
+    return found.select(F.col("id").alias("print_id"), F.col("md5").alias("print_md5"), F.element_at(whole, 1).alias("print"))
 
-    def hashed(found: Column, s: list[str]) -> Column:
-        part = F.array_join(F.filter(found, lambda t: t.isin(s) if s else F.lit(False)), " ")
-        return F.when(part == "", "-").otherwise(F.substring(F.md5(part.cast("binary")), 1, 8))
 
-    # transform over a single element names the term list once, so it is not computed for each subset
-    joined = F.element_at(F.transform(F.array(own), lambda found: F.when(F.size(found) == 0, F.lit(None)).otherwise(F.concat_ws(":", *[hashed(found, s) for s in subsets]))), 1)
-    return F.coalesce(joined, F.concat(F.lit("text:"), F.md5(text.cast("binary"))))
+def printed(rows: DataFrame, found: DataFrame, id: str, md5: str, name: str) -> DataFrame:
+    """rows with the fingerprint of the text of this id and md5; a text without terms of the lexicon has its own hash."""
+    same = rows[id].eqNullSafe(found["print_id"]) & (rows[md5] == found["print_md5"])
+    return rows.join(found, same, "left").withColumn(name, F.coalesce("print", F.concat(F.lit("text:"), F.lower(F.hex(md5))))).drop("print_id", "print_md5", "print")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -73,9 +77,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.startswith("text:") | b.startswith("text:"), (a == b).cast("double")).otherwise(equal / either)
 
 
-def with_next(docs: DataFrame, printed: Callable[[Column], Column]) -> DataFrame:
-    """doc_id, text and print (its fingerprint), with next_text and next_print, of the next row by descending doc_id;
-    after the last comes the first."""
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with next_id and next_text of the next row by descending doc_id; after the last comes the first."""
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, ((high or 0) - (low or 0) + 1) * _BUCKET // max(n, 1))
     docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
@@ -85,25 +88,34 @@ def with_next(docs: DataFrame, printed: Callable[[Column], Column]) -> DataFrame
     heads = heads.select("doc_id", F.coalesce(F.lag("bucket").over(turn), F.min("bucket").over(Window.partitionBy())).alias("head_of"))
     if n // _BUCKET <= BROADCAST_HEADS:
         heads = F.broadcast(heads)
-    heads = docs.join(heads.withColumnRenamed("doc_id", "head_id"), F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("head_of").agg(F.max("text").alias("head_text"))
-    heads = heads.withColumn("head_print", printed(F.col("head_text")))
+    heads = docs.join(heads.withColumnRenamed("doc_id", "head_id"), F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("head_of").agg(F.max("text").alias("head_text"), F.max("head_id").alias("head_id"))
     order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
-    rows = docs.withColumn("print", printed(F.col("text"))).withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_print", F.lead("print").over(order))
+    rows = docs.withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_id", F.lead("doc_id").over(order))
     rows = rows.join(heads, rows["bucket"] == heads["head_of"], "left")
-    return rows.select("doc_id", "text", "print", F.coalesce("lead_text", "head_text").alias("next_text"), F.coalesce("lead_print", "head_print").alias("next_print"))
+    # texts are never null here, ids can be
+    last = F.col("lead_text").isNull()
+    return rows.select("doc_id", "text", F.when(last, F.col("head_id")).otherwise(F.col("lead_id")).alias("next_id"), F.coalesce("lead_text", "head_text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint, of each text, and the same of its edited text: edited_sha256, edited_fingerprint;
     near_edited and near_next, the likeness to the edited text's and to the next document's fingerprint."""
     docs = narrow(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    subsets = lexicon(docs)
-    rows = with_next(docs, lambda text: fingerprint(text, subsets))
+    lex = lexicon(docs)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.length("text") - half), F.substring("next_text", 1, half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "print", "next_print", edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", "print", "next_print", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("edited"), subsets).alias("edited_print"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    rows = with_next(docs).withColumn("edited", edited)
+
+    def md5(text: str) -> Column:
+        return F.unhex(F.md5(F.col(text).cast("binary")))
+
+    # prints go by id and text: by the text alone, all copies of one text would be one key
+    texts = docs.select(F.col("doc_id").alias("id"), md5("text").alias("md5"), "text").unionByName(rows.select(F.col("doc_id").alias("id"), md5("edited").alias("md5"), F.col("edited").alias("text")))
+    found = cut(prints(texts, lex))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "next_id", md5("text").alias("md5"), md5("next_text").alias("next_md5"), md5("edited").alias("edited_md5"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    for id, key, name in (("doc_id", "md5", "own_print"), ("doc_id", "edited_md5", "edited_print"), ("next_id", "next_md5", "next_print")):
+        rows = printed(rows, found, id, key, name)
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("own_print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), likeness(F.col("own_print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("own_print"), F.col("next_print")).alias("near_next"))
 
 
 def fingerprints_sql() -> str:

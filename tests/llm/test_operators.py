@@ -257,6 +257,37 @@ def test_fingerprints(docs):
         assert by_text.setdefault(t, rows[k].fingerprint) == rows[k].fingerprint
 
 
+def brute_prints(texts):
+    """The fingerprint of any text, over the lexicon of texts."""
+    count = Counter(t for text in texts for t in set(text.lower().split()))
+    band = {t for t, n in count.items() if n * fingerprints.LOW >= len(texts) and n * fingerprints.HIGH <= len(texts)}
+    drawn = [{t for t in band if int(hashlib.md5(f"{t}:{k}".encode()).hexdigest()[:4], 16) * n < 65536} for k, n in enumerate(fingerprints.SUBSETS)]
+
+    def fingerprint(text):
+        own = set(text.lower().split())
+        parts = [" ".join(sorted(own & s)) for s in drawn]
+        return ":".join(hashlib.md5(p.encode()).hexdigest()[:8] if p else "-" for p in parts) if any(parts) else "text:" + hashlib.md5(text.encode()).hexdigest()
+
+    return fingerprint
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_fingerprints_very_long_text(spark, monkeypatch, limit):
+    monkeypatch.setattr(fingerprints, "BROADCAST_BYTES", limit, raising=False)
+    monkeypatch.setattr(fingerprints, "MAX_TERMS", 1000, raising=False)  # the cap there once was
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choices([f"w{i}" for i in range(300)], k=40))) for k in range(12)] + [(12, " ".join(f"t{i}" for i in range(3_000))), (None, "w1 null"), (5, "w2 again"), (5, "w2 again"), (13, None)]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted(((k, t or "") for k, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]), reverse=True)
+    fingerprint = brute_prints([t for _, t in order])
+    want = []
+    for (k, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        want.append((str(k), len(text), fingerprint(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint(edited)))
+    assert sorted((str(x.doc_id), x.n_chars, x.fingerprint, x.edited_sha256, x.edited_fingerprint) for x in found) == sorted(want)
+
+
 def test_toxicity(spark):
     r, rows, labels = random.Random(4), [], []
     for k in range(900):
