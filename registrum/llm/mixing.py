@@ -82,26 +82,26 @@ def _source_key(seed: int, source: np.ndarray, epoch: np.ndarray) -> np.ndarray:
     return mix(source.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + epoch.astype(np.uint64) + np.uint64(seed))
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and first: the place of its first word in the source's stream."""
+def _placed(docs: DataFrame, key: list[str]) -> DataFrame:
+    """doc_id, source, size and first: the place of its first word in the source's stream; key: columns that stay and settle ties."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             sizes, ties = [len(t.split()) for t in texts], [len(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64()), pa.array(ties, pa.int64())], ["doc_id", "source", "size", "tie"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(sizes, pa.int64()), pa.array(ties, pa.int64()), *[batch.column(c) for c in key]], ["doc_id", "source", "size", "tie", *key])
 
-    rows = cut(narrow(docs, "doc_id", "source", "text").mapInArrow(count, "doc_id long, source string, size long, tie long"))
+    rows = cut(narrow(docs, "doc_id", "source", "text", *key).mapInArrow(count, ", ".join(["doc_id long, source string, size long, tie long", *[f"{c} binary" for c in key]])))
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, ((high or 0) - (low or 0) + 1) * _BUCKET // max(n, 1))
     rows = rows.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same = rows["source"].eqNullSafe(sums["source"]) & (rows["bucket"] == sums["bucket"])
-    return rows.join(sums, same).select("doc_id", rows["source"], "size", (F.col("inside") + F.col("before")).alias("first"))
+    return rows.join(sums, same).select("doc_id", rows["source"], "size", *key, (F.col("inside") + F.col("before")).alias("first"))
 
 
 def _drawn(quota: list[int], shard_slots: int, seed: int) -> pd.DataFrame:
@@ -121,11 +121,11 @@ def _drawn(quota: list[int], shard_slots: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["s", "shard", "start", "n"])
 
 
-def _mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placed documents, sources and segments. The sources, one row each, are planned on the driver."""
+def _mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 128, seed: int = 20, key: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Placed documents, sources and segments, each document with its key columns. The sources, one row each, are planned on the driver."""
     spark = docs.sparkSession
     prepare(spark)
-    placed = cut(_placed(docs))
+    placed = cut(_placed(docs, list(key)))
     table = placed.groupBy("source").agg(F.sum("size").alias("size")).collect()
     if len(table) > MAX_SOURCES:
         raise ValueError(f"{len(table)} sources; a mix has {MAX_SOURCES} at most")
@@ -173,11 +173,11 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     frame = spark.createDataFrame(draws.astype("int64")).where("n > 0")
     slots = _slots(frame).mapInArrow(fill, "s long, shard long, slot long, epoch long, block long, take long")
     indexed = placed.join(F.broadcast(names.select("s", "source", "blocks")), placed["source"].eqNullSafe(names["source"])).drop("source")
-    parts = indexed.where("size > 0").select("s", "doc_id", "size", "first", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).alias("block"))
+    parts = indexed.where("size > 0").select("s", "doc_id", "size", "first", *key, F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).alias("block"))
     begin = F.greatest(F.col("first"), F.col("block") * block)
-    parts = parts.select(F.col("s").cast("long").alias("s"), "block", "doc_id", "first", (begin - F.col("first")).alias("start"), (begin - F.col("block") * block).alias("position"), (F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("length"))
+    parts = parts.select(F.col("s").cast("long").alias("s"), "block", "doc_id", "first", *key, (begin - F.col("first")).alias("start"), (begin - F.col("block") * block).alias("position"), (F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("length"))
     joined = parts.join(slots, ["s", "block"]).where("position < take")
-    segments = joined.select("s", "doc_id", "first", "shard", "slot", "position", "epoch", "start", F.least("length", F.col("take") - F.col("position")).alias("length"))
+    segments = joined.select("s", "doc_id", "first", *key, "shard", "slot", "position", "epoch", "start", F.least("length", F.col("take") - F.col("position")).alias("length"))
     return placed, names, segments
 
 
@@ -218,12 +218,18 @@ def mixed_texts(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix holds them: a row for each document and epoch, its text cut to the words taken in that epoch (as it
     is where all are taken, else joined by one space) and n_chars, where there is one, recounted. What the mix leaves goes."""
     prepare(docs.sparkSession)
-    _, _, segments = _mixed(docs, **how)
-    taken = segments.groupBy("doc_id", "epoch").agg(F.sum("length").alias("words"), F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    # a row's key is its source, id and text; rows equal in all three share out their places by rank
+    source = F.coalesce(F.md5(F.col("source").cast("binary")), F.lit("-"))
+    key = F.unhex(F.md5(F.concat(source, F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary")))
+    _, _, segments = _mixed(narrow(docs, "doc_id", "source", "text").withColumn("c_key", key), key=("c_key",), **how)
+    taken = segments.groupBy("c_key", "s", "first", "epoch").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
+    taken = taken.groupBy("c_key", "s", "first").agg(F.collect_list("spans").alias("c_spans"))
+    taken = taken.select("c_key", F.row_number().over(Window.partitionBy("c_key").orderBy("s", "first")).alias("c_rank"), "c_spans")
     inner = [{"doc_id": "doc_id", "text": "c_text"}.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.toDF(*inner)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.join(taken.groupBy("doc_id").agg(F.collect_list("spans").alias("c_spans")), "doc_id").select(*inner, F.explode("c_spans").alias("c_spans"))
+    keyed = docs.withColumn("c_key", key).withColumn("c_order", F.xxhash64(*[f"`{c}`" for c in docs.columns]))
+    rows = keyed.withColumn("c_rank", F.row_number().over(Window.partitionBy("c_key").orderBy("c_order"))).drop("c_order").toDF(*inner, "c_key", "c_rank")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in inner)
+    rows = rows.join(taken, ["c_key", "c_rank"]).select(*inner, F.explode("c_spans").alias("c_spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

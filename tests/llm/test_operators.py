@@ -138,6 +138,27 @@ def test_mixing(docs):
     assert mixing.mixed_texts(docs, block=16).columns == docs.columns
 
 
+def test_mixed_texts_null_and_repeated_ids(spark):
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(None, text("a", 40), "s0"), (None, text("b", 30), "s1"), (7, text("c", 50), "s0"), (7, text("d", 50), "s0"), (7, text("e", 20), "s1"), (8, text("f", 25), None), (8, text("f", 25), None), (9, None, "s1")]
+    rows += [(10 + k, text(f"g{k}x", 30), f"s{k % 2}") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix_documents(docs, block=16).collect():
+        want[r.doc_id] += r.taken
+    emitted, words = Counter(), Counter()
+    for r in mixing.mixed_texts(docs, block=16).collect():
+        emitted[r.doc_id] += len(r.text.split())
+        words.update((r.doc_id, r.source, w) for w in r.text.split())
+    assert want[None] > 0
+    assert emitted == +want
+    assert set(words) <= {(k, s, w) for k, t, s in rows for w in (t or "").split()}
+    copies = Counter((k, s, w) for k, t, s in rows for w in (t or "").split())
+    assert all(n <= 2 * copies[w] for w, n in words.items())
+
+
 def test_mixing_targets_and_permutation():
     assert mixing.targets([100, 100, 100], [3, 1, 2]) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([], []) == []
