@@ -123,8 +123,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Settings for whole texts: small Arrow batches bound what a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Settings for whole texts: small Arrow batches bound what a Python worker holds. A session that has its own stays so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "512")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,7 +1,6 @@
 """The corpus operators against brute force, on small fixtures with nulls, ties, repeats and clashing columns."""
 
 import hashlib
-import html
 import random
 import re
 from collections import Counter
@@ -9,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from registrum.llm import fingerprints, html_extract, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity, url_filter
+from registrum.llm import fingerprints, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, ref long"
 
@@ -211,46 +210,6 @@ def test_url_filter(spark):
         assert found[k] == (host, best and best[0] + best[1], best[2] if best else "allow")
 
 
-def test_html(spark):
-    def page(k):
-        return f"<html><head><title>t{k}</title><script>var x='</p>';</script></head><body><nav><ul><li>a<li>b</ul></nav><div class='cookie-notice'>ok?</div><article><h1>Title {k}</h1><p>Text &amp; more <b>{k}</b><br>line<p>Second {k}&nbsp;end</article><section class=comments><article>mine {k}</article></section><footer>f</footer></body></html>"
-
-    rows = [(k, f"http://h{k % 2}.net/{k}", page(k)) for k in range(8)] + [(8, None, None), (9, "x", ""), (10, "http://h0.net/", "<p>plain"), (11, "http://h0.net/", "a < b")]
-    found = {r.page_id: (r.text, r.n_chars) for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for k in range(8):
-        text = f"Title {k} Text & more {k} line Second {k} end"
-        assert found[k] == (text, len(text))
-    assert [found[k][0] for k in (8, 9, 10, 11)] == ["", "", "plain", html.unescape("a &lt; b")]
-
-
-def test_html_shared_passages_and_copies(spark):
-    def article(k):
-        quote = "<blockquote>the quoted passage</blockquote>" if k < 4 else ""
-        return f"<article><h1>Title {k}</h1>{quote}<p>Own {k}</p><h2>References</h2><ul><li>Link {k}</ul></article>"
-
-    def plain(k):
-        quote = "<blockquote>the quoted passage</blockquote>" if k < 3 else ""
-        return f"<div class=brand>The Site</div><h1>Title {k}</h1>{quote}<p>Own {k}</p>"
-
-    def copied(k):
-        return "<h3>Once</h3><table><tr><td>cell</table><dl><dt>a<dd>b</dl>" + ("<p>tail</p>" if k % 2 else "") if k < 6 else f"<h1>Title {k}</h1><p>Own {k}</p>"
-
-    rows = [(100 * h + k, f"http://h{h}.net/{k}", page(k)) for h, page in enumerate((article, plain, copied)) for k in range(8)]
-    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for k in range(8):
-        assert found[k] == f"Title {k} " + "the quoted passage " * (k < 4) + f"Own {k} References Link {k}"
-        assert found[100 + k] == f"Title {k} " + "the quoted passage " * (k < 3) + f"Own {k}"
-        assert found[200 + k] == ("Once cell a b" + " tail" * (k % 2) if k < 6 else f"Title {k} Own {k}")
-
-
-def test_wrapper_alignment():
-    a, b = (["<p>", "#", "</p>"], {1: (1, 1, 2)}), (["<h1>", "#", "</h1>", "<p>", "#", "</p>"], {1: (5, 5, 1), 4: (2, 2, 1)})
-    tokens, slots = html_extract.align(a, b)
-    assert "(?" in tokens
-    assert (1, 2, 3) in slots.values()
-    assert html_extract.fold(["<li>", "#", "</li>"] * 3)[0] == ["(+", "<li>", "#", "</li>", "+)"]
-
-
 def test_quality(docs):
     for r in quality.judge(docs).collect():
         text = next(t for k, t, *_ in corpus() if k == r.doc_id) or ""
@@ -336,5 +295,5 @@ def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     rules = spark.createDataFrame([], "host string, path string, verdict string")
-    for df in (substring_dedup.dedup_substrings(empty), mixing.mix_documents(empty), packing.pack(empty), sharding.shard_rows(empty), quality.judge(empty), fingerprints.fingerprints(empty), toxicity.toxicity(empty, labels), html_extract.main_text(pages), url_filter.filter_urls(pages, rules)):
+    for df in (substring_dedup.dedup_substrings(empty), mixing.mix_documents(empty), packing.pack(empty), sharding.shard_rows(empty), quality.judge(empty), fingerprints.fingerprints(empty), toxicity.toxicity(empty, labels), url_filter.filter_urls(pages, rules)):
         assert df.count() == 0
