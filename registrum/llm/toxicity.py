@@ -4,13 +4,17 @@ Lexicon and pattern voters read each whole text; a voter votes toxic or abstains
 lexicon of words and word beginnings that the labelled rows show to go with toxic texts (equal texts counted once),
 for languages and insults that the lists lack. A generative label model explains
 all documents' votes by a hidden class: it estimates each voter's rates under either class by expectation
-maximisation, finds pairs of voters that stay correlated within a class, models these jointly, and estimates again.
-Known labels enter as one more, noisy voter, only from rows outside the held-out third. Its posteriors, not the raw
-labels, train a linear classifier over lexicon words, votes and densities, whose probability is the score. The
-classifier sees each training row through the lexicon learnt from the other half of them.
-
-What reaches the driver is bounded: vote patterns (at most 3 * 2**VOTERS rows) and at most MAX_TRAIN labelled rows,
-the least by hash, of small features, and MAX_LEARNT lexicon entries. The votes of all documents are counted.
+maximisation and finds pairs of voters that stay correlated within a class. Voters that such pairs connect are modelled
+jointly (texts of one language set off one kind of voters, and the silence of the others tells nothing), their joint
+rates drawn towards those of independent voters where few texts are seen, and all is estimated again.
+Known labels enter as one more, noisy voter, only from rows outside the held-out third; how far they are to be trusted is
+estimated too. Posteriors, not the raw labels, train a linear classifier over lexicon words, votes and densities, whose
+probability is the score: those of the labelled rows and of a sample of the unlabelled ones that are not held out. The
+classifier sees each labelled row through the lexicon learnt from the other half of them.
+
+What reaches the driver is bounded: vote patterns (at most 3 * 2**VOTERS rows), small features of about MAX_TRAIN labelled and
+MAX_UNLABELLED other rows, picked by hash, and the entries learnt from those labelled rows. The votes of all
+documents are counted.
 
 Null and empty texts get the score of a text without votes. Null ids count as not held out and have no label; of
 several labels of one id the greatest counts. Repeated rows are scored alike. Without labels the model
@@ -44,17 +48,17 @@ _POINTERS = frozenset("you your this that these those such a an the is are he sh
 #: The patterns' names, after the lexicon's kinds.
 PATTERNS = ("several", "dense", "pointed", "cluster", "disguised", "stretched", "shouted", "learnt", "learnt_several", "learnt_strong")
 VOTERS = len(LEXICON) + len(PATTERNS)
-#: Labelled rows that the classifier is fitted on, at most.
-MAX_TRAIN = 20_000
-#: P(label 0 or 1 | class 0 or 1). Held fixed: left to itself the model would rather doubt labels than voters.
-LABEL_TRUST = np.array([[0.99, 0.01], [0.03, 0.97]])
-#: A pair of voters is modelled jointly from this correlation within a class.
-CORRELATED = 0.15
+#: Labelled and other rows that the classifier is fitted on, about.
+MAX_TRAIN, MAX_UNLABELLED = 20_000, 10_000
+#: P(label 0 or 1 | class 0 or 1) as first assumed, and so many labels' worth of that assumption.
+LABEL_TRUST, TRUST_WEIGHT = np.array([[0.99, 0.01], [0.03, 0.97]]), 200
+#: Voters are modelled jointly from this correlation within a class; texts' worth of independence in their joint rates.
+CORRELATED, SMOOTH = 0.15, 2.0
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _LEET = bytes(dict(zip(b"013457@$!", b"oieastasi", strict=True)).get(c, c if c >= 128 or chr(c).isalpha() else 32) for c in range(256))
 FEATURES = len(WORDS) + VOTERS + 6
-#: Entries of a learnt lexicon, at most, and what they need: labelled texts, and standard errors above the base rate.
-MAX_LEARNT, LEAST_TEXTS, LEAST_Z = 2000, 4, 4.0
+#: What an entry of a learnt lexicon needs: labelled texts, and standard errors above the base rate.
+LEAST_TEXTS, LEAST_Z = 4, 4.0
 _BEGINNINGS = (4, 5, 6, 7)
 #: Log odds from which a learnt word counts as strong.
 STRONG = 4.0
@@ -158,7 +162,7 @@ def learn(sample: DataFrame) -> dict[bytes, float]:
     counted = once.mapInArrow(run, "entry binary, label int").groupBy("entry").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
     z = (F.col("t") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base) + 1)
     kept = counted.withColumn("z", z).where((F.col("n") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & (F.col("t") > 0.3 * F.col("n")))
-    rows = kept.orderBy(F.desc("z"), "entry").limit(MAX_LEARNT).collect()
+    rows = kept.collect()  # from about MAX_TRAIN texts, few of whose words pass
     prior = base / (1 - base)
     return {bytes(r["entry"]): float(np.log((r["t"] + prior) / (r["n"] - r["t"] + 1) / prior)) for r in rows}
 
@@ -171,6 +175,11 @@ def _tripled(raw: bytes) -> bool:
 # ---------------------------------------------------------------- label model
 
 
+def _state(patterns: np.ndarray, voters: tuple[int, ...]) -> np.ndarray:
+    """These voters' votes alone, as bits in their order."""
+    return sum(((patterns >> v) & 1) << k for k, v in enumerate(voters))
+
+
 @dataclass
 class LabelModel:
     """Class prior, factors over groups of voters, and what the labels are worth."""
@@ -182,7 +191,7 @@ class LabelModel:
     def log_odds(self, patterns: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
         out = np.full(len(patterns), np.log(self.prior / (1 - self.prior)))
         for voters, table in self.factors:
-            state = sum(((patterns >> v) & 1) << k for k, v in enumerate(voters))
+            state = _state(patterns, voters)
             out += np.log(table[1, state]) - np.log(table[0, state])
         if labels is not None:
             known = labels >= 0
@@ -193,24 +202,26 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(patterns, labels), -30, 30)))
 
 
-def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[LabelModel, list[tuple[int, int, float]]]:
+def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds: int = 40) -> tuple[LabelModel, list[tuple[int, int, float]]]:
     """Patterns (bits), labels (0, 1, or -1 where unknown) and how many documents have them; the model and its
     correlated pairs."""
     counts = counts.astype(float)
-    votes = np.array([bin(p).count("1") for p in patterns.tolist()])
-    known = labels >= 0
+    bits = ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+    votes, known = bits.sum(1), labels >= 0
     start = np.where(known, np.where(labels == 1, 0.95, 0.02), np.where(votes >= 2, 0.8, np.where(votes == 1, 0.3, 0.02)))
 
     def maximise(q: np.ndarray, groups: list[tuple[int, ...]]) -> LabelModel:
         weight = np.stack([(1 - q) * counts, q * counts])
+        rate = np.stack([(w @ bits + 0.05) / (w.sum() + 0.5) for w in weight])
         factors = []
         for voters in groups:
-            state = sum(((patterns >> v) & 1) << k for k, v in enumerate(voters))
-            table = np.stack([np.bincount(state, w, 1 << len(voters)) for w in weight])
-            # smoothing towards abstaining, as most voters do on most texts
-            table = table + 0.5 * 0.1 ** np.array([bin(s).count("1") for s in range(1 << len(voters))])
+            state, states = _state(patterns, voters), np.arange(1 << len(voters))
+            on = ((states[:, None] >> np.arange(len(voters))) & 1).astype(bool)
+            alone = [np.where(on, r[list(voters)], 1 - r[list(voters)]).prod(1) for r in rate]
+            table = np.stack([np.bincount(state, w, len(states)) + SMOOTH * p for w, p in zip(weight, alone, strict=True)])
             factors.append((voters, table / table.sum(1, keepdims=True)))
-        return LabelModel(float(np.clip(weight[1].sum() / max(counts.sum(), 1), 1e-4, 0.9)), factors, LABEL_TRUST)
+        seen = np.stack([[w[known & (labels == k)].sum() for k in (0, 1)] for w in weight]) + TRUST_WEIGHT * LABEL_TRUST * [[0.9], [0.1]]
+        return LabelModel(float(np.clip(weight[1].sum() / max(counts.sum(), 1), 1e-4, 0.9)), factors, seen / seen.sum(1, keepdims=True))
 
     def estimate(q: np.ndarray, groups: list[tuple[int, ...]]) -> tuple[LabelModel, np.ndarray]:
         for _ in range(rounds):
@@ -218,9 +229,7 @@ def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray
             q = model.posterior(patterns, labels)
         return model, q
 
-    single = [(v,) for v in range(VOTERS)]
-    model, q = estimate(start, single)
-    bits = ((patterns[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+    model, q = estimate(start, [(v,) for v in range(VOTERS)])
     pairs = []
     for a in range(VOTERS):
         for b in range(a):
@@ -232,15 +241,13 @@ def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray
                 found = max(found, abs(mab - ma * mb) / spread if spread > 1e-6 else 0.0)
             if found >= CORRELATED:
                 pairs.append((b, a, float(found)))
-    pairs.sort(key=lambda p: -p[2])
-    groups, used = [], set()
+    group = {v: {v} for v in range(VOTERS)}
     for a, b, _ in pairs:
-        if a not in used and b not in used:
-            groups.append((a, b))
-            used |= {a, b}
-    groups += [(v,) for v in range(VOTERS) if v not in used]
-    model, _ = estimate(q, groups)
-    return model, pairs
+        group[a] |= group[b]
+        for v in group[a]:
+            group[v] = group[a]
+    model, _ = estimate(q, sorted({tuple(sorted(g)) for g in group.values()}))
+    return model, sorted(pairs, key=lambda p: -p[2])
 
 
 # ---------------------------------------------------------------- classifier
@@ -312,13 +319,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityModel, DataFrame]
     seen = [cut(extract(sample.where(f"fold = {k}"), halves[k]).join(known, "doc_id")) for k in (0, 1)]
     feats = cut(extract(docs, learnt))
     # training rows vote through the other half's lexicon, all others through the whole one
-    others = feats.join(seen[0].select("doc_id").unionByName(seen[1].select("doc_id")), "doc_id", "left_anti").select("votes", F.lit(-1).alias("label"))
-    table = others.unionByName(seen[0].select("votes", "label")).unionByName(seen[1].select("votes", "label")).groupBy("votes", "label").count().collect()
+    others = feats.join(seen[0].select("doc_id").unionByName(seen[1].select("doc_id")), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    labelled = seen[0].unionByName(seen[1])
+    table = others.select("votes", "label").unionByName(labelled.select("votes", "label")).groupBy("votes", "label").count().collect()
     patterns, given, counts = (np.array([r[c] for r in table], np.int64) for c in ("votes", "label", "count"))
     model, pairs = fit_label_model(patterns, given, counts)
-    rows = sorted(seen[0].collect() + seen[1].collect(), key=lambda r: (r["doc_id"], r["votes"]))
-    if not rows:  # no labels: one row for each pattern
-        rows = feats.dropDuplicates(["votes"]).withColumn("label", F.lit(-1)).collect()
+    share = min(1.0, MAX_UNLABELLED / max(int(counts.sum()), 1))
+    more = others.where(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))))
+    rows = sorted(labelled.unionByName(more.select(labelled.columns)).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["label"], r["votes"], r["words"], r["dense"]))
     y = model.posterior(np.array([r["votes"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64))
     weights = fit_linear(features([tuple(r[c] for c in _COLUMNS) for r in rows]), y)
     return ToxicityModel(weights, model, pairs, learnt), feats
