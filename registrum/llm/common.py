@@ -7,13 +7,14 @@ whole chunks of documents, so that no Python code runs per word.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the vectorised code; bounds a Python worker's memory.
@@ -130,14 +131,19 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; one of our own only where none is set."""
+    """The folder all executors share, from the session. Only a local session without one gets its own, for as long as
+    this process lives; on a cluster it must be set."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "registrum-checkpoints")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            held = tempfile.mkdtemp(prefix="registrum-checkpoints-")
+            atexit.register(shutil.rmtree, held, ignore_errors=True)
+            folder = f"file://{held}"
         context.setCheckpointDir(folder)
-    return folder
+    return folder or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -151,6 +157,14 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def range_of(x: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are not above x, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    held, steps = F.lit(bounds), [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda n, step: F.when(F.get(held, n + step - 1) <= x, n + step).otherwise(n))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return narrow(table, *columns) if columns else table

@@ -7,7 +7,8 @@ for short and for long texts. A fingerprint is a hash of the document's sorted d
 there are none. Texts without any such term are hashed as they are.
 
 Likeness: of the subsets in which either text has terms, the share with equal hashes. Null text is the empty text.
-Equal texts have equal fingerprints. Repeated ids are ordered by text; a null id comes last.
+Equal texts have equal fingerprints. Rows are cut into windows by ranges of their ids, whatever ids there are; rows of
+one id, or without one, are ordered by their texts' hashes, a null id comes last. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .common import cut, narrow, range_of
 
 #: Band of document frequency, as one in so many documents.
 LOW, HIGH = 100, 5
@@ -24,10 +25,8 @@ SUBSETS = (16,) * 8 + (64,) * 8 + (256,) * 8
 #: Bytes of lexicon terms, with 32 for each row, that may be broadcast; more are joined.
 BROADCAST_BYTES = 8 << 20
 _SPACE = r"[\x20\x09-\x0D]+"
-#: Documents whose neighbours one window finds.
-_BUCKET = 2048
-#: Bucket heads (16 bytes each) that may be broadcast; more are joined.
-BROADCAST_HEADS = 200_000
+#: Documents whose neighbours one window finds, about, and the most windows: beyond that many documents, windows grow.
+_BUCKET, MOST_BUCKETS = 2048, 8192
 
 
 def terms(text: Column) -> Column:
@@ -79,17 +78,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id and text, with next_id and next_text of the next row by descending doc_id; after the last comes the first."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * _BUCKET // max(n, 1))
-    docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
-    heads = docs.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
+    unsigned = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    docs = docs.withColumn("place", F.concat(F.when(F.col("doc_id").isNull(), "0").otherwise(F.concat(F.lit("1"), unsigned)), F.md5(F.col("text").cast("binary"))))
+    n = docs.count()
+    parts = min(-(-n // _BUCKET), MOST_BUCKETS)
+    sample = docs.where(F.pmod(F.xxhash64("place"), F.lit(max(1, n // max(1, 20 * parts)))) == 0)
+    keys = sorted(r["place"] for r in sample.select("place").distinct().collect())  # about 20 for each bucket
+    docs = docs.withColumn("bucket", range_of(F.col("place"), sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []))
+    heads = docs.groupBy("bucket").agg(F.max("place").alias("place"))
     turn = Window.orderBy(F.desc("bucket"))
-    # a row for each bucket, 1 / 2048 of the documents
-    heads = heads.select("doc_id", F.coalesce(F.lag("bucket").over(turn), F.min("bucket").over(Window.partitionBy())).alias("head_of"))
-    if n // _BUCKET <= BROADCAST_HEADS:
-        heads = F.broadcast(heads)
-    heads = docs.join(heads.withColumnRenamed("doc_id", "head_id"), F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy("head_of").agg(F.max("text").alias("head_text"), F.max("head_id").alias("head_id"))
-    order = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))
+    # a row for each bucket, MOST_BUCKETS at most
+    heads = heads.select(F.col("place").alias("head"), F.coalesce(F.lag("bucket").over(turn), F.min("bucket").over(Window.partitionBy())).alias("head_of"))
+    heads = docs.join(F.broadcast(heads), F.col("place") == F.col("head")).groupBy("head_of").agg(F.max("text").alias("head_text"), F.max("doc_id").alias("head_id"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("place"))
     rows = docs.withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_id", F.lead("doc_id").over(order))
     rows = rows.join(heads, rows["bucket"] == heads["head_of"], "left")
     # texts are never null here, ids can be

@@ -1,8 +1,8 @@
 """Best-fit packing into bins of several permitted lengths, optimised jointly.
 
 A document's words are cut into pieces of at most the longest permitted length; each piece is packed whole. Pieces are
-dealt to groups of about ``group_words`` words by a hash of document and piece, so neither a long document nor a
-hot source fills a task, and each group is packed alone:
+dealt to groups of about ``group_words`` words by a hash of row and piece, so neither a long document nor a
+hot source nor rows that share an id fill a task, and each group is packed alone:
 
 - best-fit decreasing: the longest piece first, into the open bin that it leaves least room in;
 - when none fits, a bin is opened: for each permitted length that holds the piece, the best filling from the pieces
@@ -11,8 +11,9 @@ hot source fills a task, and each group is packed alone:
 
 Cost of a length L: ``L + L * L / quadratic`` (attention makes long sequences dearer by the square).
 
-Null texts and texts without words give no piece and no row. Repeated rows are packed each. Ties are settled by
-document, piece and place, so reruns agree.
+Null texts and texts without words give no piece and no row. Repeated rows and null ids are packed each, told apart by
+``row``, a row's number in the input. Ties are settled by document, piece and row, so reruns over the same files agree.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def best_fit(sizes: list[int], permitted: list[int], quadratic: float) -> list[t
 
 
 def pack(docs: DataFrame, permitted: tuple[int, ...] = (512, 1024, 2048, 4096), quadratic: float = 8192.0, group_words: int = 4_000_000) -> DataFrame:
-    """doc_id, piece, start (first word of the piece in the document), length, bin (a string, one for each bin), capacity
+    """doc_id, row (number of the document's row in the input), piece, start (first word of the piece in the document), length, bin (a string, one for each bin), capacity
     (the permitted length after downsizing), offset (of the piece in the bin), filled (words in the bin)."""
     prepare(docs.sparkSession)
     permitted = tuple(sorted(permitted))
@@ -87,22 +88,23 @@ def pack(docs: DataFrame, permitted: tuple[int, ...] = (512, 1024, 2048, 4096),
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), texts_of(batch.column("text")), strict=True):
                 n = len(text.split())
-                out += [(doc, k, k * most, min(most, n - k * most)) for k in range(-(-n // most))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["doc_id", "piece", "start", "length"])
+                out += [(doc, row, k, k * most, min(most, n - k * most)) for k in range(-(-n // most))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(5)], ["doc_id", "row", "piece", "start", "length"])
 
-    rows = cut(narrow(docs, "doc_id", "text").mapInArrow(pieces, "doc_id long, piece long, start long, length long"))
+    numbered = narrow(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    rows = cut(numbered.mapInArrow(pieces, "doc_id long, row long, piece long, start long, length long"))
     total = rows.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_words))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
         placed = best_fit(group["length"].tolist(), list(permitted), quadratic)
         bins, offsets = pd.Series([b for b, _ in placed], index=group.index), [o for _, o in placed]
         filled = group["length"].groupby(bins).transform("sum")
         capacity = [permitted[bisect_left(permitted, f)] for f in filled]
         return group.assign(bin=[f"{g}-{b}" for g, b in zip(group["grp"], bins, strict=True)], capacity=capacity, offset=offsets, filled=filled).drop(columns="grp")
 
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(fill, "doc_id long, piece long, start long, length long, bin string, capacity long, offset long, filled long")
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    return dealt.groupBy("grp").applyInPandas(fill, "doc_id long, row long, piece long, start long, length long, bin string, capacity long, offset long, filled long")

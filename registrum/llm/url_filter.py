@@ -6,10 +6,11 @@ behind it, so that a host with a third of all rows falls into many ranges), sort
 when its interval begins and popped when it ends, so the stack holds the nested rules that are active at a url. The
 longest of them whose path the url's path starts with wins.
 
-The ranges' bounds come from a sample and only spread the work; a rule goes to every range that its interval meets.
-Rules are a stored table of any size; they are cut into ranges like the urls and never broadcast.
+The ranges' bounds come from a sample and only spread the work; a rule goes to every range that its interval meets. A key
+that fills several ranges alone (one url, many times) makes one range that is dealt to as many tasks by page, its rules
+to each. Rules are a stored table of any size; they are cut into ranges like the urls and never broadcast.
 
-Null urls, and urls without ``://``, have an empty host and path, and no rule. An empty rule table leaves every url to
+Null urls, and urls without ``://``, have an empty host and path, and no rule: they do not enter the sweep. An empty rule table leaves every url to
 the default. Of two rules with the same host and path the one that blocks wins. Repeated urls are judged each.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, range_of
 
 #: Parts a label from the next one; sorts below all characters of a host.
 _END = "\x01"
@@ -50,14 +51,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", part
     urls = narrow(pages, "page_id", "url").withColumn("host", host).withColumn("path", path)
     urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("sort", F.concat("key", "path"))
     rules = rules.select("host", "path", "verdict").where("host IS NOT NULL AND path IS NOT NULL").groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", host_key(F.col("host")))
-    bounds = _bounds(urls, parts)
+    bounds, fans = _bounds(urls, parts)
+    out = "page_id long, url string, host string, path string, rule string, verdict string"
+    hostless = urls.where("host = ''").select("page_id", "url", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    # a range's number: how many bounds are not above the key
-    def number(x: Column) -> Column:
-        return F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + F.when(x >= b, 1).otherwise(0)) if bounds else F.lit(0)
+    def fan(number: Column) -> Column:
+        return F.get(F.lit(fans), number)
 
-    u = urls.select(number(F.col("sort")).alias("range"), "key", F.lit(1).alias("kind"), "page_id", "url", "host", "path", F.lit(None).cast("string").alias("verdict"))
-    r = rules.select(F.explode(F.sequence(number(F.col("key")), number(F.concat("key", F.lit("\U0010ffff"))))).alias("range"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "path", "verdict")
+    u = urls.where("host <> ''").withColumn("range", range_of(F.col("sort"), bounds)).withColumn("deal", F.pmod(F.xxhash64("page_id"), fan(F.col("range"))).cast("int"))
+    u = u.select("range", "deal", "key", F.lit(1).alias("kind"), "page_id", "url", "host", "path", F.lit(None).cast("string").alias("verdict"))
+    r = rules.withColumn("range", F.explode(F.sequence(range_of(F.col("key"), bounds), range_of(F.concat("key", F.lit("\U0010ffff")), bounds))))
+    r = r.withColumn("deal", F.explode(F.sequence(F.lit(0), fan(F.col("range")) - 1)))
+    r = r.select("range", "deal", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "path", "verdict")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, str, str, str]] = []
@@ -65,8 +70,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", part
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                if x["range"] != at:
-                    at, stack = x["range"], []
+                if (x["range"], x["deal"]) != at:
+                    at, stack = (x["range"], x["deal"]), []
                 while stack and not x["key"].startswith(stack[-1][0]):
                     stack.pop()
                 if not x["kind"]:
@@ -77,13 +82,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", part
                 out.append((x["page_id"], x["url"], x["host"], x["path"], best and best[1] + best[2], best[3] if best else default))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string() if i else pa.int64()) for i in range(6)], ["page_id", "url", "host", "path", "rule", "verdict"])
 
-    rows = u.unionByName(r).repartition(parts, "range").sortWithinPartitions("range", "key", "kind")
-    return rows.mapInArrow(sweep, "page_id long, url string, host string, path string, rule string, verdict string")
+    rows = u.unionByName(r).repartition(parts, "range", "deal").sortWithinPartitions("range", "deal", "key", "kind")
+    return rows.mapInArrow(sweep, out).unionByName(hostless)
 
 
-def _bounds(urls: DataFrame, parts: int) -> list[str]:
-    """Up to parts - 1 keys that cut the urls about evenly, from about 100 sampled keys for each range."""
+def _bounds(urls: DataFrame, parts: int) -> tuple[list[str], list[int]]:
+    """Up to parts - 1 keys that cut the urls about evenly, from about 100 sampled keys for each range, equal ones counted
+    where they are; and to how many tasks each range is dealt."""
+    urls = urls.where("host <> ''")
     n = urls.count()
-    sample = urls.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, n // (100 * parts)))) == 0).select("sort").where("sort <> ''")
-    keys = sorted(r["sort"] for r in sample.collect())
-    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    sample = urls.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(max(1, n // (100 * parts)))) == 0)
+    found = sorted((r["sort"], r["count"]) for r in sample.groupBy("sort").count().collect())
+    total, passed, bounds, fans = sum(c for _, c in found), 0, [], [1]
+    for key, count in found:
+        # as many ranges as end in this key's share begin with it
+        ends = parts * (passed + count) // max(total, 1) - parts * passed // max(total, 1)
+        passed += count
+        if ends and (passed < total or ends > 1):
+            bounds.append(key)
+            fans.append(max(1, ends))
+    return bounds, fans
