@@ -12,9 +12,10 @@ Two documents link when ``100 * |A & B| >= threshold * |A | B|`` over distinct w
    least long list that both documents are in.
    A pair is dropped unseen when the sets provably differ too much: each set is dealt by hash into parts with a
    16-bit exclusive-or each, and every part that differs stands for an n-gram that only one of them has.
-4. A query gathers its candidates' sets and counts occurrences by DivideSkip: the L longest inverted lists are
-   put aside, the short ones are merged on a heap, candidates with T - L hits are looked up in the long lists by
-   binary search; those with T occurrences are links.
+4. That is DivideSkip's division, made once for all: T - 1 lists of a query, those of its commonest n-grams, are put aside,
+   and who stands in none of the others cannot reach T. Each query then searches the inverted lists over its candidates'
+   sets: the L longest are put aside, the short ones merged on a heap, candidates that the long ones can still
+   bring to T are looked up there by binary search; those with T occurrences are links.
 5. Links are joined to components.
 
 Nulls and texts without words have the empty set: they link with nothing and are their own component. A null
@@ -27,6 +28,7 @@ import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -55,41 +57,42 @@ def shingle_set(hasher: Hasher, words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(hasher.grams(words, min(n, len(words))))
 
 
-def t_occurrence(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
-    """Overlap of the query with each set that reaches its need, else -1, by DivideSkip."""
-    lists: dict[int, list[int]] = {}
-    for c, other in enumerate(sets):
-        at = np.searchsorted(query, other)
-        at[at == len(query)] = 0
-        for q in at[query[at] == other].tolist():
-            lists.setdefault(q, []).append(c)
-    by_length = sorted(lists.values(), key=len)
+class Lists:
+    """Inverted lists over the n-gram sets of some documents: for an n-gram the documents that hold it, ascending."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(s) for s in sets]
+        grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(grams, kind="stable")  # equal n-grams stay in the order of their documents
+        self.grams, self.documents = grams[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def of(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's n-grams that are in any document, short ones first."""
+        low, high = np.searchsorted(self.grams, query, "left"), np.searchsorted(self.grams, query, "right")
+        met = np.flatnonzero(high > low)
+        met = met[np.argsort((high - low)[met], kind="stable")]
+        return [self.documents[low[k] : high[k]].tolist() for k in met]
+
+
+def t_occurrence(query: np.ndarray, index: Lists, need: list[int]) -> list[int]:
+    """Overlap of the query with each document of the index that reaches its need, else -1, by DivideSkip: the longest lists
+    are put aside, the short ones are merged on a heap, and only documents that the long lists can still bring to their need
+    are looked up there by binary search."""
+    lists, out = index.of(query), [-1] * len(need)
     t = min(need, default=1)
-    longest = len(by_length[-1]) if by_length else 1
-    # DivideSkip's rule for the number of long lists: T / (mu * log2 M + 1)
-    aside = min(max(t - 1, 0), int(t / (0.01 * np.log2(max(longest, 2)) + 1)), len(by_length))
-    short, long = by_length[: len(by_length) - aside], by_length[len(by_length) - aside :]
-    out, last, hits = [-1] * len(sets), -1, 0
-
-    def probe(c: int, n: int) -> None:
-        left = len(long)
+    # the rule for the number of long lists: T / (mu * log2 M + 1)
+    aside = min(max(t - 1, 0), int(t / (0.01 * np.log2(max(len(lists[-1]) if lists else 2, 2)) + 1)), len(lists))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    for c, hits in groupby(heapq.merge(*short)):
+        n, left = sum(1 for _ in hits), aside
         for posting in long:
             if n + left < need[c]:
-                return
+                break
             i = bisect_left(posting, c)
             n += i < len(posting) and posting[i] == c
             left -= 1
         if n >= need[c]:
             out[c] = n
-
-    for c in heapq.merge(*short):
-        if c != last:
-            if last >= 0 and hits >= need[last] - aside:
-                probe(last, hits)
-            last, hits = c, 0
-        hits += 1
-    if last >= 0 and hits >= need[last] - aside:
-        probe(last, hits)
     return out
 
 
@@ -247,7 +250,7 @@ def _search(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         query = np.frombuffer(queries["q_grams"].iloc[0], np.uint64)
         sets_ = [np.frombuffer(x, np.uint64) for x in candidates["grams"]]
         need = [-(-(len(query) + len(s)) * part.numerator // part.denominator) for s in sets_]
-        found = t_occurrence(query, sets_, need)
+        found = t_occurrence(query, Lists(sets_), need)
         hit = [i for i, x in enumerate(found) if x >= 0]
         return pd.DataFrame({"a": queries["q_a"].iloc[0], "b": candidates["b"].iloc[hit], "overlap": [found[i] for i in hit]})
 
@@ -305,9 +308,18 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[Dat
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """Documents without near-duplicates: of each component the least doc_id stays, and one row of that id.
-    Documents without words and rows without an id stay."""
+    """Documents without near-duplicates: of each component the rows of the least doc_id stay, and of rows with words that
+    are equal in id (or have none) and text, one. Documents without words stay, and so do different texts without an id."""
     members, _ = ngram_jaccard(docs, n, threshold)
-    gone = members.where("class_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id")).distinct()
-    gone = cut(gone)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    gone = cut(members.where("class_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct())
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    # few rows repeat: only these are gathered, each group by its least row, before the shuffle
+    inner = [{"doc_id": "doc_id", "text": "text"}.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
+    out = out.toDF(*inner).withColumn("same", F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text")))
+    repeated = cut(out.where("same IS NOT NULL").groupBy("same").count().where("count > 1").select("same"))
+    few = repeated.count()
+    if not few:
+        return out.select(*inner).toDF(*docs.columns)
+    repeated = F.broadcast(repeated) if few <= BROADCAST_IDS else repeated
+    again = out.join(repeated, "same", "left_semi").groupBy("same", "doc_id", "text").agg(F.min_by(F.struct(*inner), F.xxhash64(F.lit(0), *[c for c in inner if c not in ("doc_id", "text")])).alias("r"))
+    return out.join(repeated, "same", "left_anti").select(*inner).unionByName(again.select("r.*")).toDF(*docs.columns)

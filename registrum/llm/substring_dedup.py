@@ -33,6 +33,8 @@ from .common import Hasher, cut, mix, narrow, prepare, signed, texts_of
 
 #: Words in an anchor; the others of a window are places it may start at.
 ANCHOR = 20
+#: Documents of one reference that a task parses, and the most references that have more and are dealt out.
+AT_ONCE, HOT_REFS = 512, 50_000
 
 
 def minimisers(hashes: np.ndarray, places: int) -> np.ndarray:
@@ -161,35 +163,43 @@ def _regions(rows: DataFrame, window: int, k: int) -> DataFrame:
     return rows.mapInArrow(build, "doc_id long, ref long, starts array<int>, lengths array<int>, words binary")
 
 
-def _parse(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """rows: doc_id, ref, starts, lengths, words, and the block's block_lengths, block_words. Duplicate spans
-    (start, end) of the document, and the hashes of windows that are still open."""
+def _parse(regions: DataFrame, window: int, k: int) -> DataFrame:
+    """regions as _regions gives them. Duplicate spans (start, end) of each document that is not its own reference, and the
+    hashes of windows that are still open. A reference's rows come first and are read once; documents of a hot
+    reference are dealt to several tasks, each with the reference's rows."""
+    counts = regions.where("doc_id <> ref").groupBy("ref").count()
+    limit = max(AT_ONCE, (counts.agg(F.sum("count")).first()[0] or 0) // HOT_REFS)
+    fans = cut(counts.where(F.col("count") > limit).select("ref", F.ceil(F.col("count") / limit).cast("int").alias("fan")))  # HOT_REFS rows at most
+    rows = regions.join(F.broadcast(fans), "ref", "left").withColumn("fan", F.coalesce("fan", F.lit(1))).withColumn("own", F.col("doc_id") == F.col("ref"))
+    deals = F.when(F.col("own"), F.sequence(F.lit(0), F.col("fan") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "fan").cast("int")))
+    rows = rows.select("ref", F.explode(deals).alias("deal"), (~F.col("own")).cast("int").alias("kind"), "doc_id", "starts", "lengths", "words")
+    rows = rows.repartition("ref", "deal").sortWithinPartitions("ref", "deal", "kind")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, block = Hasher(), None, None
+        hasher, at, held, block = Hasher(), None, [], None
         for batch in batches:
             ids, spans, opened = [], [], []
-            for row in batch.to_pylist():
-                raw = np.frombuffer(row["words"], np.uint64)
-                pieces = np.split(raw, np.cumsum(row["lengths"])[:-1])
-                own = row["doc_id"] == row["ref"]
-                if not own and (last is None or last != row["ref"]):
-                    last = row["ref"]
-                    block = Block(hasher, np.split(np.frombuffer(row["block_words"], np.uint64), np.cumsum(row["block_lengths"])[:-1]), window, k)
+            for i in range(batch.num_rows):
+                ref, deal, kind, doc, starts, lengths, words = (c[i].as_py() for c in batch.columns)
+                if (ref, deal) != at:
+                    at, held, block = (ref, deal), [], None
+                pieces = np.split(np.frombuffer(words, np.uint64), np.cumsum(lengths)[:-1])
+                if not kind:  # the block's own windows are known by the block: nothing of them is open
+                    held += pieces
+                    continue
+                block = block or Block(hasher, held, window, k)
                 found, left = [], []
-                for start, piece in zip(row["starts"], pieces, strict=True):
-                    # the block's own windows are known by the block: nothing of them is open
-                    inside, rest = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if own else block.parse(piece)
+                for start, piece in zip(starts, pieces, strict=True):
+                    inside, rest = block.parse(piece)
                     if len(inside):
                         cuts = np.flatnonzero(np.diff(inside) > 1) + 1
                         firsts, lasts = inside[np.concatenate([[0], cuts])], inside[np.concatenate([cuts - 1, [len(inside) - 1]])]
                         found += [{"a": int(a + start), "b": int(b + start)} for a, b in zip(firsts, lasts, strict=True)]
                     if len(rest):
-                        hashes = signed(hasher.grams(piece, window)[rest]).tolist()
-                        left += [{"place": int(p + start), "hash": h} for p, h in zip(rest, hashes, strict=True)]
-                ids.append(row["doc_id"])
+                        left += zip((rest + start).tolist(), signed(hasher.grams(piece, window)[rest]).tolist(), strict=True)
+                ids.append(doc)
                 spans.append(found)
-                opened.append(left)
+                opened.append([{"place": p, "hash": h} for p, h in left])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(opened, pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())])))],
                 ["doc_id", "spans", "opened"],
@@ -211,8 +221,7 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataF
     held = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "ref")).alias("anchors"))
     rows = known.join(cut(held), "doc_id")
     regions = cut(_regions(rows, window, k))
-    blocks = regions.where("doc_id = ref").select("ref", F.col("lengths").alias("block_lengths"), F.col("words").alias("block_words")).dropDuplicates(["ref"])
-    parsed = cut(_parse(regions.where("doc_id <> ref").join(blocks, "ref"), window, k))
+    parsed = cut(_parse(regions, window, k))
     spans = parsed.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.a", "s.b")
     opened = parsed.select("doc_id", F.explode("opened").alias("o")).select("doc_id", "o.place", "o.hash")
     least = opened.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")

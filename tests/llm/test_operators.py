@@ -93,17 +93,26 @@ def test_ngram_join_long_lists(spark, monkeypatch):
     assert {m.doc_id: m.component_id for m in members.collect()} == {k: root(k) for k in sets}
 
 
+def test_keep_one(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, a, "x"), (5, a, "y"), (3, b, "x"), (None, a, "x"), (None, a, "x"), (None, b + " c", "x"), (7, a + " more", "x"), (8, None, "x"), (8, None, "x"), (9, b, "x")]
+    left = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, same string"))
+    assert left.columns == ["doc_id", "text", "same"]
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted([("5", a), ("3", b), ("None", a), ("None", b + " c"), ("8", ""), ("8", "")])
+
+
 def test_t_occurrence():
     r = np.random.default_rng(3)
     query = np.unique(r.integers(0, 500, 120).astype(np.uint64))
     sets = [np.unique(np.concatenate([r.choice(query, 90), r.integers(500, 900, 30).astype(np.uint64)])) for _ in range(40)]
     need = [int(r.integers(1, 80)) for _ in sets]
     want = [len(np.intersect1d(query, s)) for s in sets]
-    assert ngram_join.t_occurrence(query, sets, need) == [w if w >= n else -1 for w, n in zip(want, need, strict=True)]
+    assert ngram_join.t_occurrence(query, ngram_join.Lists(sets), need) == [w if w >= n else -1 for w, n in zip(want, need, strict=True)]
 
 
 @pytest.mark.parametrize("window", [50, 8])
-def test_substring_dedup(docs, window):
+def test_substring_dedup(docs, window, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "AT_ONCE", 3)
     seen, want = {}, {}
     for k, text, *_ in sorted(corpus()):
         w = (text or "").split()
