@@ -206,14 +206,14 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
                     take = np.where(j == final[s], last[s], block)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, np.full(len(s), shard), slot, epoch, at, take)], ["s", "shard", "slot", "epoch", "block", "take"])
 
-    # a row for each group of shards, filled where it is drawn
+    # a row for each group of shards, filled where it is drawn; by that few rows Spark would take the slots for a small table
     slots = spark.range(0, groups, 1, max(1, min(groups, 100_000))).mapInArrow(fill, "s long, shard long, slot long, epoch long, block long, take long")
     indexed = placed.join(names, placed["source"].eqNullSafe(names["source"])).select(placed["doc_id"], "s", "size", "first", *([row] if row else []))
     keep = ["doc_id", "first", *([row] if row else [])]
     parts = indexed.where("size > 0").select("s", "size", *keep, F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block))).alias("block"))
     begin = F.greatest(F.col("first"), F.col("block") * block)
     parts = parts.select(F.col("s").cast("long").alias("s"), "block", *keep, (begin - F.col("first")).alias("start"), (begin - F.col("block") * block).alias("position"), (F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - begin).alias("length"))
-    joined = parts.join(slots, ["s", "block"]).where("position < take")
+    joined = parts.join(slots.hint("merge"), ["s", "block"]).where("position < take")
     segments = joined.select("s", *keep, "shard", "slot", "position", "epoch", "start", F.least("length", F.col("take") - F.col("position")).alias("length"))
     return placed, names, segments
 
