@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The synthetic page grid.
@@ -14,9 +14,11 @@ SCRIPTS = {"hin": r"[\x{0900}-\x{097F}]", "ben": r"[\x{0980}-\x{09FF}]", "pan":
 def words_of(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """A row for each word with its place on the grid: id, line, pos, text, x, y, w, h."""
     lines = docs.select(id_column, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    words = lines.select(id_column, "line", F.posexplode(F.split("raw", " ")).alias("pos", "text"))
-    left = F.sum(F.length("text") + 1).over(Window.partitionBy(id_column, "line").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    placed = words.withColumn("x", (F.coalesce(left, F.lit(0)) * CHAR_W).cast("long"))
+    # a word's column is the length of the line before it: known inside the row, so nothing is shuffled
+    parts = F.split("raw", " ")
+    begins = F.aggregate(parts, F.array(F.lit(0)), lambda at, w: F.array_append(at, F.element_at(at, -1) + F.length(w) + 1))
+    words = lines.select(id_column, "line", F.posexplode(F.arrays_zip(parts.alias("text"), F.slice(begins, F.lit(1), F.size(parts)).alias("at"))).alias("pos", "w"))
+    placed = words.select(id_column, "line", "pos", F.col("w.text").alias("text"), (F.col("w.at") * CHAR_W).cast("long").alias("x"))
     return placed.where("text <> ''").select(id_column, "line", "pos", "text", "x", (F.col("line") * LINE_STEP + FIRST_Y).cast("long").alias("y"), (F.length("text") * CHAR_W).cast("long").alias("w"), F.lit(HEIGHT).cast("long").alias("h"))
 
 

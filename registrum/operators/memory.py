@@ -61,11 +61,10 @@ def learnable(corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def record_corrections(memory: DataFrame, corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """The memory with new corrections appended; ids go on in the order of field, raw and corrected text."""
+    """The memory with new corrections appended. Their ids follow those there are and come from the texts, so reruns agree."""
     new = learnable(corrections, fields).join(memory.select("field_name", "raw_value", "corrected_value"), ["field_name", "raw_value", "corrected_value"], "left_anti")
-    # ids only have to rise and be unique, so no global sort is needed
     top = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.monotonically_increasing_id()).drop("top")
+    new = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.xxhash64("field_name", "raw_value", "corrected_value").bitwiseAND(F.lit((1 << 62) - 1))).drop("top")
     return memory.unionByName(new.withColumn("times_applied", F.lit(0).cast("long")), allowMissingColumns=True)
 
 

@@ -47,6 +47,12 @@ def score(m: Limits = Limits()) -> Column:
     return F.greatest(F.lit(0.0), F.least(one, q * F.greatest(F.lit(0.0), F.least(one, c("short_side") / float(m.min_width)))))
 
 
+def plainly_clean() -> Column:
+    """Whether a page looks made by a computer, where no level is measured. Its six bounds."""
+    c = F.col
+    return (c("blur") >= 90.0) & (c("contrast") >= 40.0) & (c("noise") <= 14.0) & (c("dark_pct") < 0.15) & (c("bright_pct") > 0.35) & (c("short_side") >= 700)
+
+
 def with_stamp(level_: Column, stamped: Column) -> Column:
     """A stamped page gets at least the moderate chain."""
     return F.when(stamped & (level_ == "minimal"), "moderate").otherwise(level_)

@@ -14,8 +14,9 @@ IDENTIFIERS, DATES = ("survey_number", "khasra_number", "khata_number"), ("mutat
 IDENTIFIER = r"^[0-9A-Za-zऀ-෿]+([/\-][0-9A-Za-zऀ-෿]+)*\Z"
 
 
-def _issue(when: Column, rule: str, field: str, severity: str) -> Column:
-    return F.when(when, F.struct(F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity")))
+def _issue(when: Column, rule: str, field: str, severity: str, *said: Column | str) -> Column:
+    message = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in said])
+    return F.when(when, F.struct(F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity"), message.alias("message")))
 
 
 def row_issues(as_of: str, columns: list[str]) -> Column:
@@ -23,17 +24,17 @@ def row_issues(as_of: str, columns: list[str]) -> Column:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     area = X.hectares(F.col("plot_area"), F.col("area_unit"))
     known = F.coalesce(F.nullif(F.col("area_unit"), F.lit("")), F.lit("hectare")).isin(*X.HECTARES)
-    issues = [_issue(blank(c), "REQUIRED_FIELD", c, "error") for c in REQUIRED]
-    issues += [_issue(~blank(c) & ~F.regexp_replace(c, " ", "").rlike(IDENTIFIER), "ID_FORMAT", c, "warning") for c in IDENTIFIERS if c in columns]
+    issues = [_issue(blank(c), "REQUIRED_FIELD", c, "error", f"{c} is missing") for c in REQUIRED]
+    issues += [_issue(~blank(c) & ~F.regexp_replace(c, " ", "").rlike(IDENTIFIER), "ID_FORMAT", c, "warning", F.col(c), " is not written as an identifier") for c in IDENTIFIERS if c in columns]
     issues += [
-        _issue(F.col("plot_area").isNotNull() & ~known, "AREA_UNIT", "area_unit", "warning"),
-        _issue((area <= 0.0001) | (area > 60000), "AREA_RANGE", "plot_area", "error"),
-        _issue(~blank("pincode") & ~F.col("pincode").rlike(r"^[1-9]\p{Nd}{5}\z"), "PINCODE_FORMAT", "pincode", "error"),
+        _issue(F.col("plot_area").isNotNull() & ~known, "AREA_UNIT", "area_unit", "warning", F.col("area_unit"), " is no known unit of area"),
+        _issue((area <= 0.0001) | (area > 60000), "AREA_RANGE", "plot_area", "error", "the area is outside of what a plot can have"),
+        _issue(~blank("pincode") & ~F.col("pincode").rlike(r"^[1-9]\p{Nd}{5}\z"), "PINCODE_FORMAT", "pincode", "error", F.col("pincode"), " is no PIN code"),
     ]
     for c in DATES:
         if c in columns:
             day = X.date_parts(F.col(c))
-            issues += [_issue(~blank(c) & day.isNull(), "DATE_FORMAT", c, "error"), _issue(day > F.lit(as_of).cast("date"), "DATE_FUTURE", c, "error")]
+            issues += [_issue(~blank(c) & day.isNull(), "DATE_FORMAT", c, "error", F.col(c), " is no date"), _issue(day > F.lit(as_of).cast("date"), "DATE_FUTURE", c, "error", F.col(c), " is in the future")]
     return F.filter(F.array(*issues), lambda x: x.isNotNull())
 
 
@@ -63,10 +64,18 @@ def duplicates(records: DataFrame) -> DataFrame:
 
 
 def revalidated(records: DataFrame, as_of: str, gazetteer: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
-    """All record issues anew: rows of record_id, rule_code, field_name, severity."""
-    named = lambda df, rule, field, severity: df.select("record_id", F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity"))
-    out = issues(records, as_of).unionByName(named(duplicates(records), "DUPLICATE_PLOT", "survey_number", "error"))
-    return out if gazetteer is None else out.unionByName(named(district_issues(records, gazetteer, aliases), "STATE_DISTRICT", "district", "warning"))
+    """All record issues anew: rows of record_id, rule_code, field_name, severity, message."""
+    named = lambda df, rule, field, severity, message: df.select("record_id", F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity"), message.alias("message"))
+    others = F.format_string("%d other entries of the village carry one of its identifiers", "links")
+    out = issues(records, as_of).unionByName(named(duplicates(records), "DUPLICATE_PLOT", "survey_number", "error", others))
+    listed = F.concat("district", F.lit(" is not listed under "), "state")
+    return out if gazetteer is None else out.unionByName(named(district_issues(records, gazetteer, aliases), "STATE_DISTRICT", "district", "warning", listed))
+
+
+def rejected(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records, those of ids (record_id) rejected."""
+    hit = ids.select("record_id").distinct().withColumn("hit", F.lit(True))
+    return records.join(hit, "record_id", "left").withColumn("status", F.when(F.col("hit"), "REJECTED").otherwise(F.col("status"))).drop("hit")
 
 
 def after_verification(records: DataFrame, found: DataFrame) -> DataFrame:

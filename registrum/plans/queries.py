@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import extract, layout, memory, quality, rules, stamps
+from ..operators import cells, extract, filters, layout, memory, pages, quality, rules, stamps
 from ..sources import files
 from ..sources import register as R
 from ..streaming import register as streams
@@ -36,7 +36,7 @@ def with_views(body: str) -> str:
 
 @_query(with_views("SELECT count(*) AS documents, count(*) FILTER (status = 'PROCESSED') AS processed, count(*) FILTER (status = 'FAILED') AS failed, sum(page_count)::BIGINT AS pages, coalesce(avg(ocr_confidence), 0) AS mean_confidence FROM docs"))
 def dashboard_kpis(spark, d):
-    q = R.documents(spark, d)
+    q = R.uploads(spark, d)
     return q.agg(F.count("*").alias("documents"), F.count_if(F.col("status") == "PROCESSED").alias("processed"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"), F.coalesce(F.avg("ocr_confidence"), F.lit(0.0)).alias("mean_confidence"))
 
 
@@ -70,8 +70,8 @@ def lowest_pending(spark, d):
     return R.records(spark, d).where("status = 'PENDING'").orderBy("overall_confidence", "record_id").limit(6).select("record_id", "owner_name", "overall_confidence")
 
 
-@_query(with_views("""SELECT document_id, original_name, status FROM docs LEFT JOIN recs ON record_id = document_id
- WHERE contains(lower(original_name), '77') OR contains(lower(district_name), 'fr') OR contains(lower(owner_name), '0077') ORDER BY uploaded_at DESC, document_id DESC LIMIT 12 OFFSET 12""").replace("SELECT document_id, original_name, status FROM docs", "SELECT document_id, original_name, docs.status AS status FROM docs"))
+@_query(with_views("""SELECT document_id, original_name, docs.status AS status FROM docs LEFT JOIN recs ON record_id = document_id
+ WHERE contains(lower(original_name), '77') OR contains(lower(district_name), 'fr') OR contains(lower(owner_name), '0077') ORDER BY uploaded_at DESC, document_id DESC LIMIT 12 OFFSET 12"""))
 def document_search_page(spark, d):
     docs, recs = R.documents(spark, d), R.records(spark, d).select("record_id", "owner_name")
     found = docs.join(recs, docs["document_id"] == recs["record_id"], "left")
@@ -83,7 +83,7 @@ def document_search_page(spark, d):
  LEFT JOIN (SELECT record_id, count(*) FILTER (needs_review) AS n_review, count(*) AS n_fields FROM flds GROUP BY 1) USING (record_id) WHERE status = 'PENDING' ORDER BY overall_confidence, record_id LIMIT 15"""))
 def verify_queue(spark, d):
     pending = R.records(spark, d).where("status = 'PENDING'").select("record_id", "survey_number", "overall_confidence")
-    counts = R.fields(spark, d).where("field_name <> 'plot_area'").groupBy("record_id").agg(F.count_if("needs_review").alias("n_review"), F.count("*").alias("n_fields"))
+    counts = R.fields(spark, d).groupBy("record_id").agg(F.count_if("needs_review").alias("n_review"), F.count("*").alias("n_fields"))
     top = layout.page(pending, [F.col("overall_confidence"), F.col("record_id")], 1, 15)
     return top.join(counts, "record_id", "left").fillna(0, ["n_review", "n_fields"]).drop("overall_confidence")
 
@@ -102,17 +102,21 @@ def filter_choices(spark, d):
 @_query(with_views("SELECT count(*) AS n FROM flds WHERE needs_review AND record_id IN (SELECT record_id FROM recs WHERE status = 'PENDING')"))
 def review_fields_pending(spark, d):
     pending = R.records(spark, d).where("status = 'PENDING'").select("record_id")
-    return R.fields(spark, d).where("needs_review AND field_name <> 'plot_area'").join(pending, "record_id", "left_semi").agg(F.count("*").alias("n"))
+    return R.fields(spark, d).where("needs_review").join(pending, "record_id", "left_semi").agg(F.count("*").alias("n"))
 
 
-_ISSUES = f""", ha AS (SELECT *, plot_area * CASE area_unit WHEN 'acre' THEN 0.404686 ELSE 1.0 END AS area_ha, strptime(mutation_date, '%d/%m/%Y')::DATE AS day FROM recs),
-iss AS (
- SELECT record_id, 'REQUIRED_FIELD' AS rule_code, 'owner_name' AS field_name, 'error' AS severity FROM ha WHERE owner_name = ''
- UNION ALL SELECT record_id, 'REQUIRED_FIELD', 'plot_area', 'error' FROM ha WHERE plot_area IS NULL
- UNION ALL SELECT record_id, 'AREA_UNIT', 'area_unit', 'warning' FROM ha WHERE plot_area IS NOT NULL AND area_unit = 'chain'
- UNION ALL SELECT record_id, 'AREA_RANGE', 'plot_area', 'error' FROM ha WHERE area_ha <= 0.0001 OR area_ha > 60000
- UNION ALL SELECT record_id, 'PINCODE_FORMAT', 'pincode', 'error' FROM ha WHERE NOT regexp_full_match(pincode, '[1-9][0-9]{{5}}')
- UNION ALL SELECT record_id, 'DATE_FUTURE', 'mutation_date', 'error' FROM ha WHERE day > DATE '{AS_OF}')"""
+def _issues_sql(as_of: str, name: str = "iss") -> str:
+    return f""", ha_{name} AS (SELECT *, plot_area * CASE area_unit WHEN 'acre' THEN 0.404686 ELSE 1.0 END AS area_ha, strptime(mutation_date, '%d/%m/%Y')::DATE AS day FROM recs),
+{name} AS (
+ SELECT record_id, 'REQUIRED_FIELD' AS rule_code, 'owner_name' AS field_name, 'error' AS severity, 'owner_name is missing' AS message FROM ha_{name} WHERE owner_name = ''
+ UNION ALL SELECT record_id, 'REQUIRED_FIELD', 'plot_area', 'error', 'plot_area is missing' FROM ha_{name} WHERE plot_area IS NULL
+ UNION ALL SELECT record_id, 'AREA_UNIT', 'area_unit', 'warning', 'chain is no known unit of area' FROM ha_{name} WHERE plot_area IS NOT NULL AND area_unit = 'chain'
+ UNION ALL SELECT record_id, 'AREA_RANGE', 'plot_area', 'error', 'the area is outside of what a plot can have' FROM ha_{name} WHERE area_ha <= 0.0001 OR area_ha > 60000
+ UNION ALL SELECT record_id, 'PINCODE_FORMAT', 'pincode', 'error', pincode || ' is no PIN code' FROM ha_{name} WHERE NOT regexp_full_match(pincode, '[1-9][0-9]{{5}}')
+ UNION ALL SELECT record_id, 'DATE_FUTURE', 'mutation_date', 'error', mutation_date || ' is in the future' FROM ha_{name} WHERE day > DATE '{as_of}')"""
+
+
+_ISSUES = _issues_sql(AS_OF)
 
 
 @_query(with_views(_ISSUES + " SELECT * FROM iss"))
@@ -136,7 +140,7 @@ def state_district_issues(spark, d):
 
 
 @_query(with_views(""", ids AS (SELECT DISTINCT record_id, lower(village) v, lower(district) dd, status <> 'REJECTED' AS live, unnest([upper(survey_number), upper(khasra_number)]) AS id FROM recs)
- SELECT a.record_id, count(*) AS links, min(b.record_id) AS low_other FROM ids a JOIN ids b ON a.v = b.v AND a.dd = b.dd AND a.id = b.id AND a.record_id <> b.record_id AND b.live WHERE a.id <> '' GROUP BY 1""").replace("min(b.record_id) AS low_other", "count(DISTINCT a.id) AS ids"))
+ SELECT a.record_id, count(*) AS links, count(DISTINCT a.id) AS ids FROM ids a JOIN ids b ON a.v = b.v AND a.dd = b.dd AND a.id = b.id AND a.record_id <> b.record_id AND b.live WHERE a.id <> '' GROUP BY 1"""))
 def duplicate_plots(spark, d):
     return rules.duplicates(R.records(spark, d))
 
@@ -148,7 +152,7 @@ _W = " ".join(f"WHEN '{k}' THEN {w}" for k, (w, _) in R.FIELDS.items())
 def weighted_confidence(spark, d):
     w = F.create_map(*[F.lit(x) for k, (v, _) in R.FIELDS.items() for x in (k, v)])[F.col("field_name")]
     c = F.greatest("confidence", F.when(F.col("source") == "manual", F.lit(0.95)).otherwise(F.col("confidence")))
-    return R.fields(spark, d).where("value <> '' AND field_name <> 'plot_area'").groupBy("record_id").agg((F.sum(w * c) / F.sum(w)).alias("score"))
+    return R.fields(spark, d).where("value <> ''").groupBy("record_id").agg((F.sum(w * c) / F.sum(w)).alias("score"))
 
 
 @_query(with_views("SELECT record_id, max(value) FILTER (field_name = 'village') AS village, max(value) FILTER (field_name = 'district') AS district, max(value) FILTER (field_name = 'pincode') AS pincode FROM flds GROUP BY 1"))
@@ -156,19 +160,19 @@ def fields_to_record(spark, d):
     return R.fields(spark, d).groupBy("record_id").pivot("field_name", ["village", "district", "pincode"]).agg(F.first("value"))
 
 
-@_query(with_views("SELECT field_name, value, confidence, record_id FROM flds WHERE field_name <> 'plot_area'"))
+@_query(with_views("SELECT field_name, value, confidence, record_id FROM flds"))
 def record_to_fields(spark, d):
-    return R.fields(spark, d).where("field_name <> 'plot_area'").select("field_name", "value", "confidence", "record_id")
+    return R.fields(spark, d).select("field_name", "value", "confidence", "record_id")
 
 
 @_query(with_views("SELECT record_id, count(*) FILTER (value <> '') AS n_found, count(*) FILTER (needs_review) AS n_review, count(*) FILTER (source = 'manual') AS n_manual FROM flds GROUP BY 1"))
 def extraction_summary(spark, d):
-    return R.fields(spark, d).where("field_name <> 'plot_area'").groupBy("record_id").agg(F.count_if(F.col("value") != "").alias("n_found"), F.count_if("needs_review").alias("n_review"), F.count_if(F.col("source") == "manual").alias("n_manual"))
+    return R.fields(spark, d).groupBy("record_id").agg(F.count_if(F.col("value") != "").alias("n_found"), F.count_if("needs_review").alias("n_review"), F.count_if(F.col("source") == "manual").alias("n_manual"))
 
 
 @_query(with_views("SELECT field_name, arg_max(record_id, (confidence, -record_id)) AS record_id, max(confidence) AS confidence FROM flds GROUP BY 1"))
 def best_candidate(spark, d):
-    return R.fields(spark, d).where("field_name <> 'plot_area'").groupBy("field_name").agg(F.max_by("record_id", F.struct("confidence", -F.col("record_id"))).alias("record_id"), F.max("confidence").alias("confidence"))
+    return R.fields(spark, d).groupBy("field_name").agg(F.max_by("record_id", F.struct("confidence", -F.col("record_id"))).alias("record_id"), F.max("confidence").alias("confidence"))
 
 
 @_query(with_views("SELECT conf_class, count(*) AS n FROM (SELECT CASE WHEN overall_confidence >= 0.85 THEN 'ok' WHEN overall_confidence >= 0.60 THEN 'warn' ELSE 'bad' END AS conf_class FROM recs) GROUP BY 1"))
@@ -215,9 +219,17 @@ def lines_from_words(spark, d):
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@_query("SELECT doc_id, 'eng' AS script FROM documents")
+#: A word of four characters in each script that is told apart.
+_SCRIPTS = {"hin": "खसरा", "ben": "জমির", "pan": "ਜਮੀਨ", "guj": "જમીન", "tam": "நிலா", "tel": "భూమి", "kan": "ಭೂಮಿ", "mal": "ഭൂമി"}
+_SCRIPT_NAMES = ", ".join(f"'{k}'" for k in (*_SCRIPTS, "eng"))
+
+
+@_query(f"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) > 24 OR doc_id % 9 = 8 THEN 'eng' ELSE [{_SCRIPT_NAMES}][1 + doc_id % 9] END AS script FROM (SELECT doc_id, substring(text, 1, 40) AS text FROM documents)")
 def detect_script(spark, d):
-    return R.table(spark, d, "documents").select("doc_id", layout.detect_script(F.coalesce("text", F.lit(""))).alias("script"))
+    """The first words of a text, behind six times a word of a script: it counts where Latin letters are not more."""
+    words = F.array(*[F.repeat(F.lit(w), 6) for w in _SCRIPTS.values()], F.lit(""))
+    made = F.concat(F.get(words, (F.col("doc_id") % 9).cast("int")), F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    return R.table(spark, d, "documents").select("doc_id", layout.detect_script(made).alias("script"))
 
 
 def _round_trip(spark, d):
@@ -233,15 +245,13 @@ def typed_parsers(spark, d):
     return lines.select("doc_id", X.plot_id(F.regexp_extract(F.col("l")[1], r":\s*(.*)", 1)).alias("survey_number"), X.area_value(F.col("l")[2]).alias("area"), X.area_unit(F.col("l")[2]).alias("unit"), X.pin_code(F.col("l")[3]).alias("pin"), X.parse_date(F.col("l")[4]).alias("day"))
 
 
-@_query("SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber) FILTER (l_linenumber % 2 = 1))) AS kept FROM lineitem GROUP BY 1".replace("list_sort(list_distinct(list(l_linenumber) FILTER (l_linenumber % 2 = 1))) AS kept", "count(DISTINCT l_linenumber) FILTER (l_linenumber % 2 = 1) AS kept"))
+@_query("""SELECT l_orderkey, sum((c + 1) // 2)::BIGINT AS kept FROM (SELECT l_orderkey, count(*) AS c FROM (SELECT l_orderkey, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run
+ FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) GROUP BY l_orderkey, run) GROUP BY 1""")
 def greedy_intervals(spark, d):
-    """Intervals (n, n + 2) by rising n: the odd ones stay where the numbers run from 1."""
-    hits = R.table(spark, d, "lineitem").select("l_orderkey", F.explode(F.sequence(F.lit(1), F.col("l_linenumber"))).alias("n")).distinct()
-    hits = hits.join(R.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n")).distinct(), ["l_orderkey", "n"], "left_semi")
-    rows = hits.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("n").alias("rank"), F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("h"))
-    rows = rows.withColumn("h", F.transform("h", lambda x: F.struct(x["rank"].alias("rank"), x["rank"].alias("start"), (x["rank"] + 1 + x["rank"] % 2 * 0).alias("end"))))
-    chosen = layout.non_overlapping(F.filter("h", lambda x: x["rank"] % 2 == 1))
-    return rows.select("l_orderkey", F.size(chosen).cast("long").alias("kept"))
+    """Intervals (n, n + 2) by rising n overlap the next one: of each run of numbers every second one stays."""
+    hit = F.struct(F.col("l_linenumber").alias("rank"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 2).alias("end"))
+    rows = R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(hit).alias("h"))
+    return rows.select("l_orderkey", F.size(layout.non_overlapping(F.col("h"))).cast("long").alias("kept"))
 
 
 @_query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
@@ -270,7 +280,7 @@ def schema_fields(spark, d):
 
 @_query(with_views(", t AS (SELECT record_id, field_name, value, (record_id % 89) / 89.0::DOUBLE AS c FROM flds WHERE record_id % 2 = 0) SELECT f.record_id, f.field_name, CASE WHEN t.c > f.confidence THEN t.c ELSE f.confidence END AS confidence, coalesce(t.c > f.confidence, false) AS from_table FROM flds f LEFT JOIN t USING (record_id, field_name)"))
 def table_cell_merge(spark, d):
-    f = R.fields(spark, d).where("field_name <> 'plot_area'").select("record_id", "field_name", "confidence")
+    f = R.fields(spark, d).select("record_id", "field_name", "confidence")
     t = f.where("record_id % 2 = 0").select("record_id", "field_name", ((F.col("record_id") % 89) / F.lit(89.0)).alias("c"))
     wins = F.coalesce(F.col("c") > F.col("confidence"), F.lit(False))
     return f.join(t, ["record_id", "field_name"], "left").select("record_id", "field_name", F.when(wins, F.col("c")).otherwise(F.col("confidence")).alias("confidence"), wins.alias("from_table"))
@@ -367,9 +377,9 @@ def ocr_rescue(spark, d):
     return i.groupBy("l_orderkey").agg(quality.kept_attempt("l_quantity", "l_tax", "l_linenumber", "l_linenumber").alias("attempt"), F.bool_or(rescue).alias("rescued"))
 
 
-@_query(with_views("SELECT record_id::VARCHAR AS \"ID\", owner_name AS \"Owner Name\", pincode AS \"PIN Code\", status AS \"Status\" FROM recs"))
+@_query(with_views("SELECT record_id::VARCHAR AS \"ID\", owner_name AS \"Owner Name\", pincode AS \"PIN Code\", status AS \"Status\", round(overall_confidence * 100, 1) AS \"Confidence %\" FROM recs"))
 def export_register(spark, d):
-    return files.export_rows(R.records(spark, d)).select("ID", "Owner Name", "PIN Code", "Status")
+    return files.export_rows(R.records(spark, d)).select("ID", "Owner Name", "PIN Code", "Status", "Confidence %")
 
 
 @_query(with_views("SELECT document_id, page_count, least(page_count, 3) AS processed_page_count FROM docs"))
@@ -390,7 +400,7 @@ def _edits(spark, d):
 
 @_query(with_views("SELECT record_id, field_name, CASE WHEN hit THEN value || ' Khurd' ELSE value END AS value, CASE WHEN hit THEN 'manual' ELSE source END AS source, (NOT hit AND needs_review) AS needs_review FROM (SELECT *, field_name = 'village' AND record_id % 12 = 6 AS hit FROM flds)"))
 def verified_fields(spark, d):
-    rows = R.fields(spark, d).where("field_name <> 'plot_area'")
+    rows = R.fields(spark, d)
     return memory.verified_fields(rows, _edits(spark, d)).select("record_id", "field_name", "value", "source", "needs_review")
 
 
@@ -437,6 +447,148 @@ def uploads_once(spark, d):
     return streams.without_running(e).select("original_name", "file_size", "uploaded_at")
 
 
+@_query(with_views(_ISSUES + _issues_sql("1995-01-01", "iss2") + " SELECT * FROM iss UNION SELECT * FROM iss2"))
+def merged_issues(spark, d):
+    """The issues of one day, and those of an earlier one that it lacks."""
+    r = R.records(spark, d)
+    return rules.merged_issues(rules.issues(r, AS_OF), rules.issues(r, "1995-01-01"))
+
+
+@_query(with_views("SELECT record_id, original_name, state_name, overall_confidence FROM recs JOIN docs ON document_id = record_id"))
+def record_documents(spark, d):
+    docs = R.documents(spark, d).select(F.col("document_id").alias("record_id"), "original_name", "state_name")
+    return R.records(spark, d).select("record_id", "overall_confidence").join(docs, "record_id")
+
+
+@_query(with_views("SELECT record_id, owner_name, survey_number, status FROM recs WHERE record_id = 37"))
+def record_lookup(spark, d):
+    return R.records(spark, d).where("record_id = 37").limit(1).select("record_id", "owner_name", "survey_number", "status")
+
+
+@_query(with_views("""SELECT record_id, status, n.count, 2::BIGINT AS page, ceil(n.count / 15.0)::BIGINT AS pages FROM recs, (SELECT count(*) AS count FROM recs WHERE status = 'PENDING' AND lower(state) = 'asia' AND (
+ contains(lower(owner_name), '1') OR contains(lower(survey_number), '1') OR contains(lower(khasra_number), '1') OR contains(lower(village), '1') OR contains(lower(district), '1'))) n
+ WHERE status = 'PENDING' AND lower(state) = 'asia' AND (contains(lower(owner_name), '1') OR contains(lower(survey_number), '1') OR contains(lower(khasra_number), '1') OR contains(lower(village), '1') OR contains(lower(district), '1'))
+ ORDER BY created_at DESC, record_id DESC LIMIT 15 OFFSET 15"""))
+def record_list(spark, d):
+    """Filters as given, a search over all searched columns, and a page with its envelope."""
+    found = filters.chosen(R.records(spark, d), {"status": "PENDING", "state": "Asia", "district": "", "owner": None}, "1")
+    return filters.page(found, [F.desc("created_at"), F.desc("record_id")], 2, 15).select("record_id", "status", "count", "page", "pages")
+
+
+@_query(with_views("SELECT kind, status, cls, count(*) AS n FROM (SELECT 'document' AS kind, status FROM docs UNION ALL SELECT 'record', status FROM recs) JOIN (VALUES ('PROCESSED', 'ok'), ('VERIFIED', 'ok'), ('UPLOADED', 'info'), ('PENDING', 'warn'), ('FAILED', 'bad'), ('REJECTED', 'bad')) c(status, cls) USING (status) GROUP BY ALL"))
+def status_classes(spark, d):
+    return status_counts(spark, d).withColumn("cls", filters.status_class(F.col("status")))
+
+
+@_query(with_views(_ISSUES + """ SELECT record_id, n_fields, n_review, coalesce(n_issues, 0) AS n_issues, coalesce(n_errors, 0) AS n_errors
+ FROM (SELECT record_id, count(*) AS n_fields, count(*) FILTER (needs_review) AS n_review FROM flds GROUP BY 1)
+ LEFT JOIN (SELECT record_id, count(*) AS n_issues, count(*) FILTER (severity = 'error') AS n_errors FROM iss GROUP BY 1) USING (record_id)"""))
+def record_children(spark, d):
+    """Two kinds of children, each counted before the join."""
+    f = R.fields(spark, d).groupBy("record_id").agg(F.count("*").alias("n_fields"), F.count_if("needs_review").alias("n_review"))
+    i = rules.issues(R.records(spark, d), AS_OF).groupBy("record_id").agg(F.count("*").alias("n_issues"), F.count_if(F.col("severity") == "error").alias("n_errors"))
+    return f.join(i, "record_id", "left").fillna(0, ["n_issues", "n_errors"])
+
+
+@_query(with_views(_ISSUES + """ SELECT record_id, recs.status AS status, f.first_field, f.n_fields, coalesce(i.n, 0) AS n_issues, i.codes FROM recs
+ JOIN (SELECT record_id, min(field_name || '=' || value) AS first_field, count(*) AS n_fields FROM flds GROUP BY 1) f USING (record_id)
+ LEFT JOIN (SELECT record_id, count(*) AS n, string_agg(rule_code, ',' ORDER BY rule_code) AS codes FROM iss GROUP BY 1) i USING (record_id)"""))
+def record_details(spark, d):
+    """Each record as the nested JSON that it is exported as, read back."""
+    r = R.records(spark, d)
+    nested = "struct<record_id:bigint,status:string,fields:array<struct<field_name:string,value:string>>,issues:array<struct<rule_code:string>>>"
+    j = files.record_json(r, R.fields(spark, d), rules.issues(r, AS_OF)).select(F.from_json("json", nested).alias("j")).select("j.*")
+    first = F.array_min(F.transform("fields", lambda f: F.concat(f["field_name"], F.lit("="), f["value"])))
+    codes = F.array_join(F.array_sort(F.col("issues.rule_code")), ",")
+    return j.select("record_id", "status", first.alias("first_field"), F.size("fields").cast("long").alias("n_fields"), F.size("issues").cast("long").alias("n_issues"), F.nullif(codes, F.lit("")).alias("codes"))
+
+
+@_query(with_views("SELECT document_id, docs.status AS status, n_events, last_event FROM docs LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS object_id, count(*) AS n_events, max(ts) AS last_event FROM events WHERE event_type = 'click' GROUP BY 1) ON object_id = CAST(document_id AS VARCHAR)"))
+def document_audit(spark, d):
+    """Audit rows name their object by type and by its id as text."""
+    e = R.table(spark, d, "events").where("event_type = 'click'").groupBy(F.col("user_id").cast("string").alias("object_id")).agg(F.count("*").alias("n_events"), F.max("ts").alias("last_event"))
+    docs = R.documents(spark, d).withColumn("object_id", F.col("document_id").cast("string"))
+    return docs.join(e, "object_id", "left").select("document_id", "status", "n_events", "last_event")
+
+
+@_query("SELECT l_orderkey AS document_id, string_agg('page ' || l_linenumber || ': ' || l_returnflag, chr(10) ORDER BY l_linenumber, l_returnflag) AS text, avg(l_discount) AS confidence, count(*) AS n_pages FROM lineitem GROUP BY 1")
+def merged_pages(spark, d):
+    i = R.table(spark, d, "lineitem")
+    text = F.concat(F.lit("page "), "l_linenumber", F.lit(": "), "l_returnflag")
+    return pages.merged(i.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), text.alias("text"), F.col("l_discount").alias("confidence")))
+
+
+@_query("""SELECT l_orderkey AS page_id, arg_min(flag, l_linenumber) FILTER (ok) AS engine, arg_min('text ' || l_linenumber, l_linenumber) FILTER (ok) AS text, count(*) FILTER (l_linenumber <= coalesce(first, 99)) AS n_tried
+ FROM (SELECT *, q > 25 AS ok, min(CASE WHEN q > 25 THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS first FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, max(l_quantity) AS q FROM lineitem GROUP BY ALL)) GROUP BY 1""")
+def ocr_chain(spark, d):
+    """The first engine in line that gave a text."""
+    i = R.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.max("l_quantity").alias("q"))
+    text = F.when(F.col("q") > 25, F.concat(F.lit("text "), "l_linenumber"))
+    found = pages.first_result(i.select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("step"), F.col("flag").alias("engine"), text.alias("text"), F.lit(None).cast("string").alias("error")))
+    return found.select("page_id", "engine", "text", F.size("log").cast("long").alias("n_tried"))
+
+
+@_query(with_views("""SELECT document_id, CASE WHEN document_id % 4 = 0 THEN status WHEN document_id % 4 = 1 THEN 'FAILED' ELSE 'PROCESSED' END AS status, CASE WHEN document_id % 4 = 1 THEN 'no pages' ELSE '' END AS error,
+ CASE document_id % 4 WHEN 0 THEN 'UPLOADED' WHEN 1 THEN 'UPLOADED,PROCESSING,FAILED: no pages' ELSE 'UPLOADED,PROCESSING,PROCESSED' END AS log FROM docs"""))
+def document_lifecycle(spark, d):
+    docs = R.uploads(spark, d).select("document_id", "status", F.array(F.lit("UPLOADED")).alias("log"))
+    k = F.col("document_id") % 4
+    results = docs.where(k != 0).select("document_id", F.when(k != 1, "text").alias("text"), F.when(k == 1, "no pages").alias("error"))
+    return pages.after_processing(docs, results).withColumn("log", F.array_join("log", ","))
+
+
+@_query(with_views("SELECT record_id, CASE WHEN record_id % 9 = 0 THEN 'REJECTED' ELSE status END AS status FROM recs"))
+def rejected_records(spark, d):
+    r = R.records(spark, d).select("record_id", "status")
+    return rules.rejected(r, r.where("record_id % 9 = 0"))
+
+
+def _cells(spark, d):
+    """A table for each order: headers in row 0, a row for each line item; areas in hectares, on every second order in cents too."""
+    least = R.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    i = least.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") * 2).cast("int").alias("q"))
+    heads = {0: "Sl. No", 1: "Survey  No.", 2: "PATTA NO", 3: "Hectares", 4: "Cents"}
+    head = i.select("doc_id").distinct().select("doc_id", F.lit(0).alias("row"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(t).alias("text")) for c, t in heads.items()])).alias("c")).select("doc_id", "row", "c.*", F.lit(0.9).alias("conf"))
+    values = {0: F.col("l_linenumber").cast("string"), 1: F.concat("l_partkey", F.lit("/"), "l_linenumber"), 2: F.col("l_suppkey").cast("string"), 3: F.concat("q", F.lit(".5 ha")), 4: F.when(F.col("doc_id") % 2 == 0, F.concat(F.col("q") * 10, F.lit(".25"))).otherwise("-")}
+    body = i.select("doc_id", F.col("l_linenumber").cast("int").alias("row"), ((F.col("l_linenumber") * 7 + F.col("l_partkey")) % 89 / F.lit(100.0)).alias("conf"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("text")) for c, v in values.items()])).alias("c"))
+    return head.unionByName(body.select("doc_id", "row", "c.*", "conf"))
+
+
+@_query("""WITH i AS (SELECT *, ((r * 7 + p) % 89) / 100.0::DOUBLE AS conf FROM (SELECT l_orderkey AS doc_id, l_linenumber AS r, min(l_partkey) AS p, min(l_suppkey) AS s, (min(l_quantity) * 2)::INT AS q FROM lineitem GROUP BY ALL)), b AS (SELECT doc_id, arg_max(i, (conf, -r)) AS i FROM i GROUP BY 1)
+ SELECT doc_id, unnest(['survey_number', 'khata_number', 'plot_area', 'area_unit']) AS field, round(i.conf, 4) AS conf,
+  unnest([i.p || '/' || i.r, i.s::VARCHAR, CASE WHEN doc_id % 2 = 0 THEN (i.q * 10) || '.25' ELSE i.q || '.5' END, CASE WHEN doc_id % 2 = 0 THEN 'cent' ELSE 'hectare' END]) AS value FROM b""")
+def table_cell_fields(spark, d):
+    return cells.cell_fields(_cells(spark, d)).select("doc_id", "field", "conf", "value")
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_tax * 10 AS conf FROM lineitem)
+ SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, 'f' || coalesce(a.n, b.n) AS field, CASE WHEN b.conf IS NOT NULL AND (a.conf IS NULL OR b.conf > a.conf) THEN 'cell' ELSE 'line' END AS value, CASE WHEN b.conf IS NOT NULL AND (a.conf IS NULL OR b.conf > a.conf) THEN b.conf ELSE a.conf END AS conf
+ FROM (SELECT * FROM l WHERE n <= 3) a FULL JOIN (SELECT doc_id, n, 0.35 + (n % 2) / 10.0::DOUBLE AS conf FROM l WHERE n >= 2) b ON a.doc_id = b.doc_id AND a.n = b.n""")
+def cells_over_lines(spark, d):
+    """Fields that lines, cells or both gave; the surer one stays."""
+    n = F.col("l_linenumber")
+    i = R.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("f"), n).alias("field"), n.alias("n"), (F.col("l_tax") * 10).alias("conf"))
+    lines = i.where("n <= 3").select("doc_id", "field", F.lit("line").alias("value"), "conf")
+    of_cells = i.where("n >= 2").select("doc_id", "field", F.lit("cell").alias("value"), (0.35 + (F.col("n") % 2) / F.lit(10.0)).alias("conf"))
+    return cells.merged(lines, of_cells).drop("from_table")
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, blur >= 90 AND contrast >= 40 AND noise <= 14 AND dark_pct < 0.15 AND bright_pct > 0.35 AND short_side >= 700 AS clean FROM (SELECT l_orderkey, l_linenumber, {', '.join(f'{e} AS {n}' for n, e in _MEASURES.items())} FROM lineitem)")
+def plainly_clean_pages(spark, d):
+    m = R.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *[f"{e} AS {n}" for n, e in _MEASURES.items()])
+    return m.select("l_orderkey", "l_linenumber", quality.plainly_clean().alias("clean"))
+
+
+@_query(with_views(_FORM + """ SELECT field_name, count(*) AS total, count(*) AS hits FROM want GROUP BY 1"""))
+def extraction_scorecard(spark, d):
+    """Expected values of the forms against what was found: hits and total for each field."""
+    r = R.records(spark, d)
+    k = F.col("record_id")
+    want = {"survey_number": F.col("survey_number"), "registration_number": F.concat(F.lit("REG-"), k), "registration_date": F.col("mutation_date"), "area_unit": F.lit("acre"), "district": F.initcap("state"), "pincode": F.concat(F.lit("6"), F.lpad((k % 100000).cast("string"), 5, "0")), "plot_area": F.format_string("%d.%d", k % 40 + 1, k % 9 + 1)}
+    expected = r.select(k.alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), v.alias("expected")) for f, v in want.items()])).alias("e")).select("doc_id", "e.*")
+    return extract.scorecard(expected, extract.extract_text(_form_texts(spark, d)))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

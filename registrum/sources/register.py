@@ -19,6 +19,13 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
 
 
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of a document without its place."""
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "PROCESSED").when(F.col("o_orderstatus") == "O", "UPLOADED").otherwise("FAILED")
+    return table(spark, sf_dir, "orders").select(k.alias("document_id"), status.alias("status"), ((k % 997) / F.lit(997.0)).alias("ocr_confidence"), (k % 7 + 1).alias("page_count"), F.col("o_orderdate").alias("uploaded_at"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(places(spark, sf_dir)), c["c_nationkey"] == F.col("n_nationkey"))
@@ -53,7 +60,8 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The long table: a row for each record and field; blanks and low confidence need review."""
     r = records(spark, sf_dir)
     names = list(FIELDS)
-    long = r.select("record_id", *[F.coalesce(F.col(n).cast("string"), F.lit("")).alias(n) for n in names]).unpivot("record_id", names, "field_name", "value")
+    text = {"plot_area": F.when(F.col("plot_area").isNotNull(), F.format_string("%.2f", "plot_area"))}  # areas with two places
+    long = r.select("record_id", *[F.coalesce(text.get(n, F.col(n).cast("string")), F.lit("")).alias(n) for n in names]).unpivot("record_id", names, "field_name", "value")
     confidence = ((F.col("record_id") * 31 + F.length("field_name") * 7) % 101) / F.lit(101.0)
     source = F.when(F.col("record_id") % 23 == 0, "manual").otherwise("ocr")
     return long.withColumn("confidence", confidence).withColumn("source", source).withColumn("needs_review", (F.col("value") == "") | (F.col("confidence") < 0.75))
@@ -75,5 +83,5 @@ recs AS (SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 11 = 0 THEN '' E
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN pl ON c_nationkey = n_nationkey WHERE o_orderkey % 10 <> 0),
 flds AS (SELECT *, CASE WHEN record_id % 23 = 0 THEN 'manual' ELSE 'ocr' END AS source, (value = '' OR confidence < 0.75) AS needs_review FROM (
   SELECT record_id, field_name, value, ((record_id * 31 + length(field_name) * 7) % 101) / 101.0::DOUBLE AS confidence FROM (
-    SELECT record_id, unnest(['owner_name','survey_number','khasra_number','area_unit','village','district','state','pincode','mutation_date']) AS field_name,
-           unnest([owner_name, survey_number, khasra_number, area_unit, village, district, state, pincode, mutation_date]) AS value FROM recs)))"""
+    SELECT record_id, unnest(['owner_name','survey_number','khasra_number','plot_area','area_unit','village','district','state','pincode','mutation_date']) AS field_name,
+           unnest([owner_name, survey_number, khasra_number, coalesce(printf('%.2f', plot_area), ''), area_unit, village, district, state, pincode, mutation_date]) AS value FROM recs)))"""

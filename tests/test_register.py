@@ -2,6 +2,7 @@
 
 import datetime
 import os
+from difflib import SequenceMatcher
 
 import duckdb
 import pytest
@@ -80,14 +81,39 @@ def test_extraction(spark):
     assert all(r.needs_review and r.confidence == 0.0 for r in rows if not r.value)
 
 
-def test_label_search_prunes_nothing():
-    labels = extract.lexicon()
-    index = extract.LabelIndex(labels)
-    for tokens in (["Owner", "Name"], ["Ownr", "Nmae"], ["Survy", "No"], ["Vilage"], ["Registratlon", "Number"], ["Distrct"], ["xyz"]):
-        folds, best = tuple(map(extract.fold, tokens)), {}
-        for field, label, weight in labels:
-            words = tuple(w for w in map(extract.fold, label.split()) if w)
-            folded = extract.fold(label)
-            score = index._score("".join(folds), folds, folded, words, extract.Counter(folded)) if folded else 0.0
-            best[field] = max(best.get(field, 0.0), score * weight)
-        assert {f: s for f, s in best.items() if s > 0} == {f: score * weight for f, _, score, weight in index.match(folds)}
+def brute_label(tokens, label):
+    """Likeness of folded tokens to a label, by the rules as they are stated."""
+    words, window = [w for w in map(plain_fold, label.split()) if w], "".join(tokens)
+    folded = plain_fold(label)
+    like = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    if window == folded:
+        return 1.0
+    scores, same = [0.0], len(words) > 1 and len(words) == len(tokens)
+    if (len(words) == 1 or same) and abs(len(folded) - len(window)) <= max(2, int(len(folded) * extract.LENGTH_SLACK)):
+        x = like(window, folded)
+        if x >= extract.LIKE_BY_LENGTH.get(len(folded), extract.LIKE_LONG):
+            scores.append(x * (extract.LONGER if len(window) - len(folded) >= 2 else 1))
+    if same:
+        each = [like(a, b) for a, b in zip(tokens, words, strict=True)]
+        if min(each) >= extract.LIKE_WORD and sum(each) / len(each) >= extract.LIKE_WORDS:
+            scores.append(sum(each) / len(each) * extract.BY_WORD)
+    return max(scores)
+
+
+def plain_fold(text):
+    return "".join(c for c in text.lower().translate(str.maketrans(*X.LOOKALIKES)) if c.isalnum())
+
+
+def test_label_search_equals_brute_force(spark):
+    texts = ["Owner Name", "Ownr Nmae", "Survy No", "Vilage", "Registratlon Number", "Distrct", "xyz", "Khata Holdr Nam", "Dstrict Vilage", "PinCode:"]
+    lines = extract.lines_of(extract.words_of_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    found = extract.windows(lines, 30).where("NOT glued")
+    got = {(r.key, r.field): r.score * r.weight for r in extract.label_matches(found, extract.label_table(spark, extract.lexicon())).collect()}
+    want = {}
+    for key in {r.key for r in found.collect()}:
+        for field, label, weight in extract.lexicon():
+            score = brute_label(key.split(" "), label) if plain_fold(label) else 0.0
+            if score:
+                want[key, field] = max(want.get((key, field), 0.0), score * weight)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
