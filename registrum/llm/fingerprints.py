@@ -38,13 +38,12 @@ def lexicon(docs: DataFrame) -> DataFrame:
     total = docs.count()
     # explode_outer: for explode, the optimiser filters by the array first and so computes it several times
     df = docs.select(F.explode_outer(terms(F.col("text"))).alias("term")).where("term <> ''").groupBy("term").count()
-    # the cut also keeps the draws below from being pushed to the words of all documents
-    band = cut(df.where((F.col("count") * LOW >= total) & (F.col("count") * HIGH <= total)).select("term"))
-    members = F.lit(0).cast("long")
-    for k, one_in in enumerate(SUBSETS):
-        drawn = F.conv(F.substring(F.md5(F.concat("term", F.lit(f":{k}"))), 1, 4), 16, 10).cast("int") * one_in < 65536
-        members = members + F.when(drawn, F.lit(1 << k)).otherwise(F.lit(0))
-    return cut(band.select("term", members.alias("members")).where("members <> 0"))
+    band = df.where((F.col("count") * LOW >= total) & (F.col("count") * HIGH <= total))
+    # a row for each subset, then gathered by the same term: were the draws a condition on the term alone, the optimiser
+    # would make them one on every word of the texts that the lexicon is joined to, also past the cut
+    drawn = F.conv(F.substring(F.md5(F.concat("term", F.lit(":"), F.col("k").cast("string"))), 1, 4), 16, 10).cast("int") * F.col("one_in") < 65536
+    subsets = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("one_in"), F.lit(1 << k).cast("long").alias("bit")) for k, n in enumerate(SUBSETS)]))
+    return cut(band.select("term", subsets).where(drawn).groupBy("term").agg(F.sum("bit").alias("members")))
 
 
 def prints(texts: DataFrame, lex: DataFrame) -> DataFrame:
