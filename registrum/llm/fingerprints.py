@@ -46,26 +46,36 @@ def lexicon(docs: DataFrame) -> DataFrame:
     return cut(band.select("term", subsets).where(drawn).groupBy("term").agg(F.sum("bit").alias("members")))
 
 
-def prints(texts: DataFrame, lex: DataFrame) -> DataFrame:
-    """print_id, print_md5, print: the fingerprint of each of texts (id, md5, text) that has terms of the lexicon."""
+def printed(rows: DataFrame, lex: DataFrame) -> DataFrame:
+    """rows (bucket, turn, text, edited, others) without the texts, but with the fingerprints ``own`` of text and ``other``
+    of edited. Where lex is broadcast, a bucket's rows stay where they are: nothing is shuffled."""
     size = lex.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
     # a lexicon too large to broadcast means long texts, of which no term is more than a small share of all
-    found = texts.select("id", "md5", F.explode_outer(terms(F.col("text"))).alias("term")).join(F.broadcast(lex) if size <= BROADCAST_BYTES else lex.hint("merge"), "term")
-    found = found.groupBy("id", "md5").agg(F.collect_set(F.struct("term", "members")).alias("found"))
+    lex = F.broadcast(lex) if size <= BROADCAST_BYTES else lex.hint("merge")
+    kept = [c for c in rows.columns if c not in ("bucket", "turn", "text", "edited")]
+    rows = rows.select("bucket", "turn", F.struct(*kept, F.md5(F.col("text").cast("binary")).alias("md5"), F.md5(F.col("edited").cast("binary")).alias("edited_md5")).alias("row"), F.array("text", "edited").alias("texts"))
+    rows = rows.select("bucket", "turn", "row", F.posexplode_outer("texts").alias("kind", "text"))
+    # one more entry for each text, a blank before it as no term has, carries the row; it keeps texts without terms
+    mark = F.concat(F.lit(" "), F.xxhash64("bucket", "turn", "kind").cast("string"))
+    found = rows.select("bucket", "turn", "kind", "row", F.explode_outer(F.array_append(terms(F.col("text")), mark)).alias("term"))
+    marked = F.col("term").startswith(" ")
+    found = found.select("bucket", "turn", "kind", "term", F.when(marked & (F.col("kind") == 0), F.col("row")).alias("row"))
+    found = found.join(lex, "term", "left").where(F.col("members").isNotNull() | marked)
+
+    def terms_of(kind: int) -> Column:
+        return F.collect_set(F.when(F.col("members").isNotNull() & (F.col("kind") == kind), F.struct("term", "members")))
 
     def hashed(own: Column, k: int) -> Column:
         part = F.transform(F.filter(own, lambda t: t["members"].bitwiseAND(F.lit(1 << k)) != 0), lambda t: t["term"])
         return F.when(F.size(part) == 0, "-").otherwise(F.substring(F.md5(F.array_join(part, " ").cast("binary")), 1, 8))
 
-    # transform over a single element names the sorted list once, so it is not computed for each subset
-    whole = F.transform(F.array(F.sort_array("found")), lambda own: F.concat_ws(":", *[hashed(own, k) for k in range(len(SUBSETS))]))
-    return found.select(F.col("id").alias("print_id"), F.col("md5").alias("print_md5"), F.element_at(whole, 1).alias("print"))
+    def whole(own: str, md5: str) -> Column:
+        # transform over a single element names the sorted list once, so it is not computed for each subset
+        parts = F.transform(F.array(F.sort_array(own)), lambda own: F.concat_ws(":", *[hashed(own, k) for k in range(len(SUBSETS))]))
+        return F.when(F.size(own) == 0, F.concat(F.lit("text:"), F.col(md5))).otherwise(F.element_at(parts, 1))
 
-
-def printed(rows: DataFrame, found: DataFrame, id: str, md5: str, name: str) -> DataFrame:
-    """rows with the fingerprint of the text of this id and md5; a text without terms of the lexicon has its own hash."""
-    same = rows[id].eqNullSafe(found["print_id"]) & (rows[md5] == found["print_md5"])
-    return rows.join(found, same, "left").withColumn(name, F.coalesce("print", F.concat(F.lit("text:"), F.lower(F.hex(md5))))).drop("print_id", "print_md5", "print")
+    found = found.groupBy("bucket", "turn").agg(F.first("row", True).alias("row"), terms_of(0).alias("own"), terms_of(1).alias("other"))
+    return found.select("bucket", "turn", *[F.col(f"row.{c}").alias(c) for c in kept], whole("own", "row.md5").alias("own"), whole("other", "row.edited_md5").alias("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -75,8 +85,15 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.startswith("text:") | b.startswith("text:"), (a == b).cast("double")).otherwise(equal / either)
 
 
+def _before(heads: DataFrame) -> DataFrame:
+    """heads (bucket, others) with head_of, the bucket before each by descending order; the last one's is the first bucket."""
+    turn = Window.orderBy(F.desc("bucket"))  # a row for each bucket, MOST_BUCKETS at most
+    return heads.withColumn("head_of", F.coalesce(F.lag("bucket").over(turn), F.min("bucket").over(Window.partitionBy()))).drop("bucket")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id and text, with next_id and next_text of the next row by descending doc_id; after the last comes the first."""
+    """doc_id and text, with next_text of the next row by descending doc_id (after the last comes the first); bucket and turn,
+    the row's place: turns count from 1 in each bucket, buckets descend."""
     unsigned = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
     docs = docs.withColumn("place", F.concat(F.when(F.col("doc_id").isNull(), "0").otherwise(F.concat(F.lit("1"), unsigned)), F.md5(F.col("text").cast("binary"))))
     n = docs.count()
@@ -84,17 +101,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     sample = docs.where(F.pmod(F.xxhash64("place"), F.lit(max(1, n // max(1, 20 * parts)))) == 0)
     keys = sorted(r["place"] for r in sample.select("place").distinct().collect())  # about 20 for each bucket
     docs = docs.withColumn("bucket", range_of(F.col("place"), sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []))
-    heads = docs.groupBy("bucket").agg(F.max("place").alias("place"))
-    turn = Window.orderBy(F.desc("bucket"))
-    # a row for each bucket, MOST_BUCKETS at most
-    heads = heads.select(F.col("place").alias("head"), F.coalesce(F.lag("bucket").over(turn), F.min("bucket").over(Window.partitionBy())).alias("head_of"))
-    heads = docs.join(F.broadcast(heads), F.col("place") == F.col("head")).groupBy("head_of").agg(F.max("text").alias("head_text"), F.max("doc_id").alias("head_id"))
+    heads = _before(docs.groupBy("bucket").agg(F.max("place").alias("head")))
+    heads = docs.join(F.broadcast(heads), F.col("place") == F.col("head")).groupBy("head_of").agg(F.max("text").alias("head_text"))
     order = Window.partitionBy("bucket").orderBy(F.desc("place"))
-    rows = docs.withColumn("lead_text", F.lead("text").over(order)).withColumn("lead_id", F.lead("doc_id").over(order))
+    rows = docs.withColumn("turn", F.row_number().over(order)).withColumn("lead_text", F.lead("text").over(order))
     rows = rows.join(heads, rows["bucket"] == heads["head_of"], "left")
-    # texts are never null here, ids can be
-    last = F.col("lead_text").isNull()
-    return rows.select("doc_id", "text", F.when(last, F.col("head_id")).otherwise(F.col("lead_id")).alias("next_id"), F.coalesce("lead_text", "head_text").alias("next_text"))
+    return rows.select("bucket", "turn", "doc_id", "text", F.coalesce("lead_text", "head_text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -105,17 +117,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", 1, F.length("text") - half), F.substring("next_text", 1, half))
     rows = with_next(docs).withColumn("edited", edited)
-
-    def md5(text: str) -> Column:
-        return F.unhex(F.md5(F.col(text).cast("binary")))
-
-    # prints go by id and text: by the text alone, all copies of one text would be one key
-    texts = docs.select(F.col("doc_id").alias("id"), md5("text").alias("md5"), "text").unionByName(rows.select(F.col("doc_id").alias("id"), md5("edited").alias("md5"), F.col("edited").alias("text")))
-    found = cut(prints(texts, lex))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "next_id", md5("text").alias("md5"), md5("next_text").alias("next_md5"), md5("edited").alias("edited_md5"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    for id, key, name in (("doc_id", "md5", "own_print"), ("doc_id", "edited_md5", "edited_print"), ("next_id", "next_md5", "next_print")):
-        rows = printed(rows, found, id, key, name)
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("own_print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"), likeness(F.col("own_print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("own_print"), F.col("next_print")).alias("near_next"))
+    sha256 = F.sha2(F.col("edited").cast("binary"), 256)
+    rows = printed(rows.select("bucket", "turn", "doc_id", F.length("text").cast("long").alias("n_chars"), sha256.alias("edited_sha256"), "text", "edited"), lex)
+    rows = cut(rows.withColumn("next_own", F.lead("own").over(Window.partitionBy("bucket").orderBy("turn"))))
+    heads = _before(rows.where("turn = 1").select("bucket", F.col("own").alias("head_own")))
+    rows = rows.join(F.broadcast(heads), rows["bucket"] == heads["head_of"], "left").withColumn("next_own", F.coalesce("next_own", "head_own"))
+    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("own").alias("fingerprint"), F.col("other").alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
 
 
 def fingerprints_sql() -> str:
