@@ -17,14 +17,14 @@ from pyspark.sql import types as T
 LOOKALIKES = ("0158692|!@$£¢€§©—–“”’", "olsbggzllasecesc--\"\"'")
 #: Hectares in one unit.
 HECTARES = {"hectare": 1.0, "acre": 0.404686, "sq.m": 0.0001, "sq.ft": 0.0000092903, "sq.yd": 0.00008361, "bigha": 0.2529, "biswa": 0.0126, "guntha": 0.0101, "cent": 0.00405, "are": 0.01, "kanal": 0.05059, "marla": 0.00253, "ground": 0.0223}
-#: Patterns of units, the first that matches counts (Latin and Devanagari).
+#: Patterns of units, the first that matches counts.
 UNIT_PATTERNS = {
-    "hectare": r"hect?ares?|hectr?es?|\bhect?\b|\bha\b|\bhe\b|हेक्टेयर|हेक्टर",
-    "acre": r"acres?|\bac\b|एकड़|एकड",
-    "sq.ft": r"sq\.?\s*ft\b|sq\.?\s*feet|square\s*fe?e?t|sqft|वर्ग\s*फीट",
+    "hectare": r"hect?ares?|hectr?es?|\bhect?\b|\bha\b|\bhe\b|हेक्टेयर|हेक्टर|হেক্টর|ஹெக்டேர்|హెక్టార్|ഹെക്ടർ|ಹೆಕ್ಟೇರ್|હેક્ટર|ਹੈਕਟੇਅਰ",
+    "acre": r"acres?|\bac\b|एकड़|एकड|ஏக்கர்|একর|ఎకరం|ఎకరాలు|ഏക്കർ|ಎಕರೆ|એકર|ਏਕੜ",
+    "sq.ft": r"sq\.?\s*ft\b|sq\.?\s*feet|square\s*fe?e?t|sqft|वर्ग\s*फीट|বর্গফুট|சதுர அடி|చదరపు అడుగులు|ચોરસ ફૂટ",
     "sq.m": r"sq\.?\s*m(?:tr|eters?|etres?)?\b|square\s*met(?:er|re)s?|वर्ग\s*मीटर",
     "sq.yd": r"sq\.?\s*y(?:d|ards?)\b|square\s*yards?|गज",
-    "cent": r"cents?\b",
+    "cent": r"cents?\b|சென்ட்|சент|సెంటు|സെന്റ്|ಸೆಂಟ್",
     "bigha": r"bighas?\b|बीघा",
     "biswa": r"bisw?as?\b|बिसवा",
     "guntha": r"gunthas?\b|guntas?\b|गुंठा",

@@ -6,7 +6,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,34 @@ def suggest_exact(values: DataFrame, memory: DataFrame) -> DataFrame:
     return values.withColumn("key", normal(F.col("value"))).join(keyed, ["field_name", "key"]).where(normal(F.col("suggestion")) != F.col("key")).drop("key")
 
 
+def _pieces_of(n: Column, least: float) -> Column:
+    """Into how many pieces a raw text of n characters is cut: one more than characters may stay without partner."""
+    longest = F.floor(n * ((2 - least) / least) + 1e-9)
+    return (F.floor((n + longest) * (1 - least) + 1e-9) + 1).cast("int")
+
+
 def suggest_fuzzy(values: DataFrame, memory: DataFrame, least: float = SUGGEST_FROM) -> DataFrame:
-    """The most similar raw value of the same field; length bands make the theta join an equi-join."""
-    width = 4
+    """The most similar raw value of the same field. Of texts with a and b characters that are alike, at most
+    (1 - least) * (a + b) characters have no partner in the other; each spoils one piece of the raw text at most, so
+    one of the pieces stands whole in the value. Pieces are the key of the join; texts too short for them share the
+    empty piece."""
     m = memory.select("field_name", "id", F.col("corrected_value").alias("suggestion"), normal(F.col("raw_value")).alias("raw"))
-    m = m.withColumn("band", F.explode(F.sequence(F.floor((F.length("raw") * 0.7 - 3) / width).cast("int"), F.floor((F.length("raw") / 0.7 + 3) / width).cast("int"))))
-    v = values.withColumn("key", normal(F.col("value"))).withColumn("band", F.floor(F.length("key") / width).cast("int"))
-    pairs = v.join(m, ["field_name", "band"]).where(F.abs(F.length("raw") - F.length("key")) <= F.greatest(F.lit(3), F.floor(F.length("key") * 0.3)))
-    pairs = pairs.where(2 * F.least(F.length("raw"), F.length("key")) >= least * (F.length("raw") + F.length("key"))).withColumn("score", ratio("key", "raw")).where(F.col("score") >= least)
+    m = m.groupBy("field_name", "raw").agg(F.min_by("suggestion", "id").alias("suggestion"), F.min("id").alias("id"))
+    n = F.length("raw")
+    count = _pieces_of(n, least)
+    at = lambda i: F.floor(i * n / count).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("raw"), at(i) + 1, at(i + 1) - at(i)))
+    m = m.withColumn("piece", F.explode(F.array_distinct(F.when(count > n, F.array(F.lit(""))).otherwise(pieces))))
+    v = values.select("field_name", "value").distinct().withColumn("key", normal(F.col("value")))
+    k = F.length("key")
+    lengths = F.sequence(F.ceil(k * (least / (2 - least)) - 1e-9).cast("int"), F.floor(k * ((2 - least) / least) + 1e-9).cast("int"))
+    sizes = lambda a: F.when(_pieces_of(a, least) > a, F.array(F.lit(0))).otherwise(F.array(F.floor(a / _pieces_of(a, least)).cast("int"), F.ceil(a / _pieces_of(a, least)).cast("int")))
+    v = v.withColumn("size", F.explode(F.array_distinct(F.flatten(F.transform(lengths, sizes))))).where(F.col("size") <= k)
+    parts = F.transform(F.sequence(F.lit(1), k - F.col("size") + 1), lambda i: F.substring(F.col("key"), i, F.col("size")))
+    v = v.withColumn("piece", F.explode(F.when(F.col("size") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(parts))))
+    pairs = v.join(m, ["field_name", "piece"]).where(F.abs(n - k) <= F.greatest(F.lit(3), F.floor(k * 0.3)))
+    pairs = pairs.where(2 * F.least(n, k) >= least * (n + k)).select("field_name", "value", "key", "raw", "suggestion", "id").distinct()
+    pairs = pairs.withColumn("score", ratio("key", "raw")).where(F.col("score") >= least)
     return pairs.groupBy("field_name", "value").agg(F.max_by("suggestion", F.struct("score", -F.col("id"))).alias("suggestion"), F.max("score").alias("score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.labels import lexicon
 from ..operators import cells, extract, filters, layout, memory, pages, quality, rules, stamps
 from ..sources import files
 from ..sources import register as R
@@ -192,10 +193,22 @@ def memory_exact(spark, d):
     return memory.suggest_exact(R.fields(spark, d).select("record_id", "field_name", "value"), _memory(spark, d))
 
 
-@_query()
+_PLACES = ("village", "state")
+
+
+def _place_memory(spark, d):
+    seen = R.fields(spark, d).where(F.col("field_name").isin(*_PLACES)).select("field_name", "value").distinct()
+    return seen.select(F.xxhash64("field_name", "value").alias("id"), "field_name", F.lower("value").alias("raw_value"), F.concat("value", F.lit("-")).alias("corrected_value"))
+
+
+@_query(with_views("""SELECT field_name, overlay AS value, value || '-' AS suggestion, (length(value) - 1.0::DOUBLE) / length(value) AS score FROM (SELECT DISTINCT field_name, value,
+ substring(value, 1, (record_id % length(value))::INT) || '~' || substring(value, 2 + (record_id % length(value))::INT) AS overlay FROM flds WHERE field_name IN ('village', 'state')) WHERE length(value) >= 5"""))
 def memory_fuzzy(spark, d):
-    values = R.table(spark, d, "nation").select(F.lit("district").alias("field_name"), F.concat("n_name", F.lit("x")).alias("value"))
-    return memory.suggest_fuzzy(values, _memory(spark, d), 0.8)
+    """All villages and states with one character misread; of short ones less than 0.8 is left."""
+    at = (F.col("record_id") % F.length("value")).cast("int")
+    misread = F.overlay("value", F.lit("~"), at + 1)
+    values = R.fields(spark, d).where(F.col("field_name").isin(*_PLACES)).select("field_name", misread.alias("value"))
+    return memory.suggest_fuzzy(values, _place_memory(spark, d), 0.8)
 
 
 @_query(with_views(f", {_MEMORY} SELECT field_name, corrected_value, count(*) AS times_applied FROM (SELECT m.field_name, corrected_value FROM flds f JOIN mem m ON f.field_name = m.field_name AND trim(lower(value)) = trim(lower(raw_value))) GROUP BY ALL"))
@@ -326,6 +339,66 @@ def extract_summary(spark, d):
     return found.groupBy("doc_id").agg(F.count_if(F.col("value") != "").alias("n_found"), F.count_if(F.col("value") == "").alias("n_blank"))
 
 
+#: Labels in four scripts, a table of the caller's: village, district, area, and a unit with its name.
+_INDIC = [("ग्राम", "जिला", "क्षेत्रफल", "हेक्टेयर", "hectare"), ("கிராமம்", "மாவட்டம்", "பரப்பளவு", "ஏக்கர்", "acre"), ("গ্রাম", "জেলা", "আয়তন", "একর", "acre"), ("గ్రామం", "జిల్లా", "విస్తీర్ణం", "సెంటు", "cent")]
+
+
+def _title(x: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda x: upper(x[1]) || x[2:]), ' ')"
+
+
+@_query(with_views(f""", form AS (SELECT record_id AS doc_id, (record_id % 40 + 1) || '.' || (record_id % 9 + 1) AS area, [{', '.join(f"'{u}'" for *_, u in _INDIC)}][1 + record_id % 4] AS unit, * FROM recs)
+ SELECT doc_id, unnest(['village', 'district', 'plot_area', 'area_unit']) AS field_name, unnest([{_title('village')}, {_title('state')}, area, unit]) AS value FROM form"""))
+def extract_indic(spark, d):
+    """Forms whose labels and units are in one of four scripts."""
+    r, k = R.records(spark, d), F.col("record_id")
+    of = lambda n: F.get(F.array(*[F.lit(row[n]) for row in _INDIC]), (k % 4).cast("int"))
+    area = F.format_string("%d.%d", k % 40 + 1, k % 9 + 1)
+    text = F.concat_ws("\n", F.concat(of(0), F.lit(" : "), "village"), F.concat(of(1), F.lit(" : "), "state"), F.concat(of(2), F.lit(" : "), area, F.lit(" "), of(3)))
+    more = [(field, row[n], 1.0) for row in _INDIC for n, field in enumerate(("village", "district", "plot_area"))]
+    found = extract.extract_text(r.select(k.alias("doc_id"), text.alias("text")), lexicon(more))
+    return found.where("value <> ''").select("doc_id", "field_name", "value")
+
+
+def _row_forms(spark, d):
+    """Pages with boxes: two labels whose values stand in the cell to the right, one before its value, a state in a sentence."""
+    r, k = R.records(spark, d), F.col("record_id")
+    lines = [(0, 40, F.lit("District")), (400, 42, F.col("state")), (0, 100, F.lit("Survey No")), (400, 102, F.col("survey_number")), (0, 160, F.concat(F.lit("Village : "), "village")), (0, 220, F.concat(F.lit("Situated in "), "state"))]
+    rows = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(x).alias("x0"), F.lit(y).alias("y"), text.alias("text")) for i, (x, y, text) in enumerate(lines)])
+    rows = r.select(k.alias("doc_id"), (70.0 + k % 3 * 10).alias("conf"), F.explode(rows).alias("l")).select("doc_id", "conf", "l.*")
+    rows = rows.select("doc_id", "conf", "line", "x0", "y", F.posexplode(F.split("text", " ")).alias("nth", "text"))
+    return rows.select("doc_id", F.lit(1).alias("page"), "line", (F.col("x0") + 80 * F.col("nth")).cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(70).cast("long").alias("w"), F.lit(26).cast("long").alias("h"), "text", "conf")
+
+
+def _row_fields(spark, d):
+    """The fields of these pages, with the places that there are and what officers corrected."""
+    gazetteer = [(p["r_name"], p["n_name"]) for p in R.places(spark, d).orderBy("n_nationkey").collect()]  # 25 rows, always
+    known = spark.createDataFrame([(1, "village", "machinery", "Machinery Nagar"), (2, "village", "bilding", "Building")], "id long, field_name string, raw_value string, corrected_value string")
+    found = extract.extract_words(R.records(spark, d).select(F.col("record_id").alias("doc_id")), _row_forms(spark, d), gazetteer=gazetteer, memory=known)
+    return found.where("value <> ''")
+
+
+_ROWS = f""", form AS (SELECT record_id AS doc_id, (70.0::DOUBLE + record_id % 3 * 10) / 100 AS c, * FROM recs), want AS (
+ SELECT doc_id, 'district' AS field_name, {_title('state')} AS value, round(c * 0.96, 3) AS confidence, 'ocr' AS source, 'exact label ''district'' + table column (same row, right cell)' AS method FROM form
+ UNION ALL SELECT doc_id, 'survey_number', survey_number, round(c * 0.96, 3), 'ocr', 'exact label ''survey no'' + table column (same row, right cell)' FROM form
+ UNION ALL SELECT doc_id, 'village', CASE village WHEN 'MACHINERY' THEN 'Machinery Nagar' ELSE {_title('village')} END,
+  CASE village WHEN 'MACHINERY' THEN round(least(0.95, round(c * 0.9775, 3) + 0.1), 3) ELSE round(c * 0.9775, 3) END, CASE village WHEN 'MACHINERY' THEN 'learned' ELSE 'ocr' END,
+  'exact label ''village'' + inline value right of label' || CASE village WHEN 'MACHINERY' THEN ' + verified-correction memory' ELSE '' END FROM form
+ UNION ALL SELECT doc_id, 'state', state, 0.5, 'ocr', 'gazetteer match: state name found in text' FROM form)"""
+
+
+@_query(with_views(_ROWS + " SELECT doc_id, field_name, value, source FROM want"))
+def extract_columns(spark, d):
+    """Values in cells to the right, by gazetteer and by correction memory."""
+    return _row_fields(spark, d).select("doc_id", "field_name", "value", "source")
+
+
+@_query(with_views(_ROWS + " SELECT doc_id, field_name, confidence, method, confidence < 0.75 AS needs_review FROM want"))
+def extract_confidence(spark, d):
+    """How sure each of these values is, and what it comes from."""
+    return _row_fields(spark, d).select("doc_id", "field_name", "confidence", "method", "needs_review")
+
+
 def _boxes(spark, d):
     """Pages of orders: a stamp and a word for each line item."""
     i = R.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") - 1).alias("nth"), "l_partkey", "l_suppkey", "l_quantity")
@@ -409,10 +482,11 @@ def verification_changes(spark, d):
     return memory.changed_fields(R.fields(spark, d), _edits(spark, d))
 
 
-@_query()
+@_query(with_views(f""", {_MEMORY} SELECT field_name, raw_value, corrected_value FROM mem UNION ALL SELECT DISTINCT field_name, lower(translate(value, 'AEIO', '4310')), value FROM flds
+ WHERE field_name = 'village' AND value SIMILAR TO '.*[AEIO].*' AND length(regexp_replace(value, '[AEIO]', '', 'g')) >= 0.55 * length(value)"""))
 def learned_corrections(spark, d):
     """The officers' changes that memory keeps: misread values, not replaced ones."""
-    seen = R.table(spark, d, "nation").select(F.lit("district").alias("field_name"), F.translate("n_name", "AEIO", "4310").alias("raw_value"), F.col("n_name").alias("corrected_value"))
+    seen = R.fields(spark, d).where(F.col("field_name").isin(*_PLACES)).select("field_name", F.translate("value", "AEIO", "4310").alias("raw_value"), F.col("value").alias("corrected_value"))
     return memory.record_corrections(_memory(spark, d).withColumn("times_applied", F.lit(0).cast("long")), seen, extract.LEARNABLE).select("field_name", "raw_value", "corrected_value")
 
 

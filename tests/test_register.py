@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.functions import text as X
-from registrum.operators import extract, layout, rules
+from registrum.operators import extract, layout, memory, rules
 from registrum.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +117,28 @@ def test_label_search_equals_brute_force(spark):
                 want[key, field] = max(want.get((key, field), 0.0), score * weight)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+@pytest.mark.parametrize("least", [0.55, 0.8, 0.88])
+def test_similar_corrections_equal_brute_force(spark, least):
+    known = [(i, "village", raw, raw.title()) for i, raw in enumerate(["rampur", "rampura", "ram", "a", "sitapur khurd", "shahpur", "shahapur", "new  town", "rampur", "x" * 250])] + [(20, "district", "rampur", "Rampur District")]
+    values = ["Rampur", "Ramqur", "Rmapur", "sitapurkhurd", "Sitapr Khurdd", "Shahapvr", "newtown", "ra", "b", "", "x" * 240 + "y", "Rampur"]
+    got = {r.value: (r.suggestion, r.score) for r in memory.suggest_fuzzy(spark.createDataFrame([("village", v) for v in values], "field_name string, value string"), spark.createDataFrame(known, "id long, field_name string, raw_value string, corrected_value string"), least).collect()}
+    want = {}
+    for value in values:
+        key = " ".join(value.lower().split())
+        for i, field, raw, corrected in known:
+            raw = " ".join(raw.lower().split())
+            score = SequenceMatcher(None, key, raw).ratio()
+            if field == "village" and score >= least and abs(len(raw) - len(key)) <= max(3, int(len(key) * 0.3)) and (score, -i) > want.get(value, ((0.0, 0), ""))[0]:
+                want[value] = ((score, -i), corrected)
+    assert {v: s for v, (s, _) in got.items()} == {v: c for v, (_, c) in want.items()}
+    assert all(got[v][1] == pytest.approx(want[v][0][0]) for v in got)
+
+
+UNITS = {"2 হেক্টর": "hectare", "2 ஏக்கர்": "acre", "2 ఎకరాలు": "acre", "2 ಎಕರೆ": "acre", "2 એકર": "acre", "2 ਏਕੜ": "acre", "2 സെന്റ്": "cent", "2 சதுர அடி": "sq.ft", "2 बीघा": "bigha"}
+
+
+def test_units_of_other_scripts(spark):
+    rows = spark.createDataFrame([(t,) for t in UNITS], "t string").select("t", X.area_unit(X.nfkc(F.col("t"))).alias("u")).collect()
+    assert {r.t: r.u for r in rows} == UNITS
