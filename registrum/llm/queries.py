@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, mixing, ngram_join, packing, quality, sharding, substring_dedup, toxicity, url_filter
+from . import fingerprints, html_extract, importance, mixing, ngram_join, packing, periodic_runs, quality, sharding, substring_dedup, toxicity, url_filter
 from .common import documents
 
 #: Host, path, verdict of the url rules.
@@ -57,6 +57,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(documents(spark, sf_dir)).drop("kept")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.with_periods(documents(spark, sf_dir)))
+
+
 OP4_SQL = r"""
 WITH u AS (SELECT page_id, coalesce(contains(url, '://'), false) AS found, regexp_replace(substring(url, strpos(url, '://') + 3), '[?#](.|\n)*$', '') AS rest FROM pages),
 h AS (SELECT page_id, CASE WHEN found THEN translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
@@ -67,9 +75,28 @@ m AS (SELECT page_id, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_ma
 SELECT h.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)"""
 
 
+# crc32 of a word's bytes by a table of 256 remainders, each from eight shifts of its number
+OP11_SQL = r"""
+WITH tab AS (SELECT list(list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+v AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), tab),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN v USING (word) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS n FROM bw JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000) / ((coalesce(s.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain
+      FROM s FULL JOIN t USING (bucket)),
+q AS (SELECT r, sum(n * gain)::BIGINT AS weight FROM dw JOIN v USING (word) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN q USING (r)),
+k AS (SELECT doc_id, n_features, weight, score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM k"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op8_imatch_fingerprints": fingerprints.fingerprints_sql()}
+    return {"op4_url_filter": OP4_SQL, "op8_imatch_fingerprints": fingerprints.fingerprints_sql(), "op11_importance_resampling": OP11_SQL}
