@@ -19,14 +19,16 @@ Two documents link when ``100 * |A & B| >= threshold * |A | B|`` over distinct w
 5. Links are joined to components.
 
 Nulls and texts without words have the empty set: they link with nothing and are their own component. A null
-doc_id is left out of linking (component_id null). Fewer than n words: the whole sequence is one n-gram.
+doc_id is left out of linking (component_id null). Fewer than n words: the whole sequence is one n-gram. Sets are linked, not
+ids: rows that share a doc_id each have the component of their own text, and those with one text one. Empty tables give no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from fractions import Fraction
 from itertools import groupby
 
@@ -39,6 +41,11 @@ from pyspark.sql import functions as F
 from .common import Hasher, cut, mix, narrow, prepare, signed, texts_of
 from .components import components
 
+#: Keys of each set, in a task; and the overlap of a set with each of others that reaches its need, else -1.
+Keys = Callable[[list[np.ndarray]], list[np.ndarray]]
+Overlaps = Callable[[np.ndarray, list[np.ndarray], list[int]], list[int]]
+#: Size and signature, which tell sets apart.
+SET = ["n_shingles", "one", "two"]
 #: Counters of the frequency sketch: 4 MB, of any corpus.
 SLOTS = 1 << 20
 _PIECE = 1 << 12
@@ -144,39 +151,55 @@ def prefix_length(size: int, threshold: int) -> int:
     return size - -(-size * threshold // 100) + 1
 
 
-def _index(docs: DataFrame, n: int, threshold: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit halves of a set signature, the indexed n-grams, the profile."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+def prefixes(threshold: int, df: np.ndarray) -> Keys:
+    """The first n-grams of each set, rare ones first, of which a partner must share one."""
+
+    def first(sets: list[np.ndarray]) -> list[np.ndarray]:
+        return [grams[np.lexsort((grams, df[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]))[: prefix_length(len(grams), threshold) if len(grams) else 0]] for grams in sets]
+
+    return first
+
+
+def set_signature(grams: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums of hashes, which tell sets apart."""
+    return tuple(int(mix(grams ^ np.uint64(x)).sum(dtype=np.uint64)) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+
+
+def _as_long(numbers: Iterable[int]) -> pa.Array:
+    return pa.array(signed(np.fromiter(numbers, np.uint64)))
+
+
+def index_rows(docs: DataFrame, n: int, threshold: int, make: Callable[[], Keys]) -> DataFrame:
+    """docs: doc_id, text, text_hash. For each row n_shingles, two halves of a set signature, the keys under which the set is
+    indexed, as made in the task, and the profile; without the text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, df = Hasher(lower=True), held.value
+        hasher, keys_of = Hasher(lower=True), make()
         for batch in batches:
-            size, one, two, first, shape = [], [], [], [], []
-            for _, words in hasher.chunks(texts_of(batch.column("text"))):
-                grams = shingle_set(hasher, words, n)
-                size.append(len(grams))
-                one.append(int(mix(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                two.append(int(mix(grams ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)))
-                k = prefix_length(len(grams), threshold) if len(grams) else 0
-                order = np.lexsort((grams, df[(grams & np.uint64(SLOTS - 1)).astype(np.int64)]))[:k]
-                first.append(signed(grams[order]))
-                shape.append(profile(grams, parts_of(len(grams), threshold)).tobytes())
+            sets = [shingle_set(hasher, words, n) for _, words in hasher.chunks(texts_of(batch.column("text")))]
+            halves = [set_signature(grams) for grams in sets]
+            keys = pa.array([signed(k) for k in keys_of(sets)], pa.list_(pa.int64()))
+            shapes = pa.array([profile(grams, parts_of(len(grams), threshold)).tobytes() for grams in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), pa.array(first, pa.list_(pa.int64())), pa.array(shape, pa.binary())],
-                ["doc_id", "n_shingles", "one", "two", "first", "profile"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(x) for x in sets], pa.int64()), _as_long(h[0] for h in halves), _as_long(h[1] for h in halves), keys, shapes],
+                ["doc_id", "text_hash", *SET, "keys", "profile"],
             )
 
-    return docs.mapInArrow(build, "doc_id long, n_shingles long, one long, two long, first array<long>, profile binary")
+    return docs.mapInArrow(build, "doc_id long, text_hash long, n_shingles long, one long, two long, keys array<long>, profile binary")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
         for batch in batches:
-            sets = [shingle_set(hasher, words, n).tobytes() for _, words in hasher.chunks(texts_of(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
+            sets = [shingle_set(hasher, words, n) for _, words in hasher.chunks(texts_of(batch.column("text")))]
+            halves = [set_signature(grams) for grams in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(x) for x in sets], pa.int64()), _as_long(h[0] for h in halves), _as_long(h[1] for h in halves), pa.array([x.tobytes() for x in sets], pa.binary())],
+                [*SET, "grams"],
+            )
 
-    return docs.mapInArrow(build, "doc_id long, grams binary")
+    return docs.mapInArrow(build, "n_shingles long, one long, two long, grams binary")
 
 
 def _possible(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
@@ -205,7 +228,7 @@ def _blocks(long: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
         for k, x in enumerate(shapes):
             by_length.setdefault(len(x), []).append(k)
         stacks = {m: (np.array(ks), np.stack([shapes[k] for k in ks])) for m, ks in by_length.items()}
-        ids, sizes, parts, grams = right["doc_id"].to_numpy(), right["n_shingles"].to_numpy(), right["component"].to_numpy(), [set(g) for g in right["grams"]]
+        ids, sizes, parts, grams = right["node"].to_numpy(), right["n_shingles"].to_numpy(), right["component"].to_numpy(), [set(g) for g in right["grams"]]
         for row in left.itertuples(index=False):
             x, own = np.frombuffer(row.profile, np.uint16), list(row.grams)
             for m, (ks, stack) in stacks.items():
@@ -218,29 +241,34 @@ def _blocks(long: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
                 fits = (np.count_nonzero(other != fold, axis=1) * (100 + threshold) <= (n + row.n_shingles) * (100 - threshold)) & (np.minimum(n, row.n_shingles) * 100 >= np.maximum(n, row.n_shingles) * threshold)
                 fits &= parts[ks] != row.component
                 if left is right:
-                    fits &= ids[ks] > row.doc_id
+                    fits &= ids[ks] > row.node
                 for k in ks[fits]:
                     if min(g for g in own if g in grams[k]) == gram:  # in other lists too: named once
-                        out.append((min(row.doc_id, ids[k]), max(row.doc_id, ids[k])))
+                        out.append((min(row.node, ids[k]), max(row.node, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     cuts = long.groupBy("gram").agg(F.ceil(F.max("members") / BLOCK).alias("cuts"))
-    own = long.groupBy("doc_id").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
-    rows = long.join(cuts, "gram").withColumn("cut", F.pmod(F.xxhash64("doc_id"), "cuts")).join(own, "doc_id").join(profiles.select("doc_id", "profile"), "doc_id")
+    own = long.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
+    rows = long.join(cuts, "gram").withColumn("cut", F.pmod(F.xxhash64("node"), "cuts")).join(own, "node").join(profiles.select("node", "profile"), "node")
     # a block meets itself and all others: of the pair (i, j) with i < j, i is side 0
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
-    rows = rows.select("gram", "doc_id", "n_shingles", "component", "grams", "profile", "cut", other)
-    rows = rows.select("gram", "doc_id", "n_shingles", "component", "grams", "profile", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
+    rows = rows.select("gram", "node", "n_shingles", "component", "grams", "profile", "cut", other)
+    rows = rows.select("gram", "node", "n_shingles", "component", "grams", "profile", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
     return rows.groupBy("gram", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def _fetched(known: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """The sets of the documents that stand in pairs. Few ids are broadcast, after a count; many are joined."""
-    ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    return cut(_sets(known.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), n))
+def _fetched(known: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """node, grams: the sets that stand in pairs. The rows of their least ids are read again and told apart by their sets'
+    signatures. Few ids are broadcast, after a count; many are joined."""
+    ends = cut(classes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "class_id", *SET))
+    few = ends.count() <= BROADCAST_IDS
+    ids = ends.select(F.col("class_id").alias("doc_id")).distinct()
+    sets = _sets(known.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), n)
+    ends = ends.drop("class_id")
+    return cut(sets.join(F.broadcast(ends) if few else ends, SET).groupBy("node").agg(F.first("grams").alias("grams")))
 
 
-def _search(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _search(pairs: DataFrame, sets: DataFrame, threshold: int, overlaps: Overlaps) -> DataFrame:
     """Pairs (a, b) that link, with their overlap."""
     part = Fraction(threshold, 100 + threshold)
 
@@ -250,7 +278,7 @@ def _search(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         query = np.frombuffer(queries["q_grams"].iloc[0], np.uint64)
         sets_ = [np.frombuffer(x, np.uint64) for x in candidates["grams"]]
         need = [-(-(len(query) + len(s)) * part.numerator // part.denominator) for s in sets_]
-        found = t_occurrence(query, Lists(sets_), need)
+        found = overlaps(query, sets_, need)
         hit = [i for i, x in enumerate(found) if x >= 0]
         return pd.DataFrame({"a": queries["q_a"].iloc[0], "b": candidates["b"].iloc[hit], "overlap": [found[i] for i in hit]})
 
@@ -261,61 +289,85 @@ def _search(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return queries.groupBy("q_a", "q_part").cogroup(candidates.groupBy("a", "part")).applyInPandas(run, "a long, b long, overlap long")
 
 
-def ngram_jaccard(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, n_shingles, class_id (least doc_id with the same set, null for the empty
-    set), component_id. links: a, b (class ids, a < b), overlap: each linked pair that was needed to connect its
-    component; pairs already connected by others are not searched again."""
-    spark = docs.sparkSession
-    prepare(spark)
+def linked_sets(docs: DataFrame, n: int, threshold: int, make: Callable[[], Keys], overlaps: Overlaps, grouped: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the sets that share a key of ``make`` and reach the threshold, by ``overlaps``; ``grouped`` makes components.
+    Links are searched between distinct sets, each a node with a number of its own; ids come in at the end only, so rows
+    that share an id are told apart. members: doc_id, text_hash, n_shingles, class_id, component_id, and component, the node all
+    of one component share. links: a, b (nodes), overlap."""
     docs = narrow(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL")
-    index = cut(_index(docs, n, threshold, _sketch(docs, n)))
-    classes = index.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("class_id"))
-    classes = cut(classes)
-    # only the least document of each class is indexed; few other ids are broadcast, after a count, many are joined
-    keys = ["n_shingles", "one", "two"]
-    others = cut(index.select("doc_id", *keys).join(classes, keys).where("doc_id <> class_id").select("doc_id").distinct())
+    index = cut(index_rows(docs.withColumn("text_hash", F.xxhash64("text")), n, threshold, make).withColumn("row", F.monotonically_increasing_id()))
+    full = index.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # the row of the least id stands for its class
+    classes = cut(full.groupBy(*SET).agg(F.min(F.struct("doc_id", "row")).alias("least")).select(*SET, F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("node")))
+    others = cut(full.select("row", *SET).join(classes, SET).where("row <> node").select("row"))
     others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
-    postings = index.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "first").join(others, "doc_id", "left_anti").select("doc_id", "n_shingles", F.explode("first").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("gram", "leader")
+    firsts = full.join(others, "row", "left_anti").withColumnRenamed("row", "node")
+    postings = firsts.select("node", "n_shingles", F.explode(F.array_distinct("keys")).alias("gram"))
+    shared = postings.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("gram")
     lists = cut(postings.join(shared, "gram"))
-    profiles = index.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "profile").dropDuplicates(["doc_id"])
+    profiles = firsts.select("node", "n_shingles", "profile")
     # leaders of about the member's size: in one bucket sizes differ by less than the threshold allows
     bucket = F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / threshold)) or 1.0)) if threshold < 100 else F.col("n_shingles")
-    lists = lists.drop("leader").withColumn("bucket", bucket)
-    leaders = lists.groupBy("gram", "bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").drop("last")
-    first = cut(lists.join(leaders, ["gram", "bucket"]).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct())
+    lists = lists.withColumn("bucket", bucket)
+    leaders = lists.groupBy("gram", "bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    first = cut(lists.join(leaders, ["gram", "bucket"]).where("node > a").select("a", F.col("node").alias("b")).distinct())
     possible = cut(_possible(first, profiles, threshold))
-    sets = _fetched(known, possible, n)
-    links = cut(_search(possible, sets, threshold))
-    joined = cut(components(links))
+    links = cut(_search(possible, _fetched(known, classes, possible, n), threshold, overlaps))
+    joined = cut(grouped(links))
     # what the first round left apart: lists that hold more than one component
-    comp = lists.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    comp = cut(comp.select("gram", "doc_id", "n_shingles", "component"))
+    comp = lists.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    comp = cut(comp.select("gram", "node", "n_shingles", "component"))
     split = comp.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("gram", "members")
     rest = cut(comp.join(split, "gram"))
     short, long = rest.where(F.col("members") <= LONG), rest.where(F.col("members") > LONG)
     x, y = short.alias("x"), short.alias("y")
     fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {threshold}"
-    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.doc_id < y.doc_id AND x.component <> y.component").where(fits)
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.node < y.node AND x.component <> y.component").where(fits)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     possible = cut(_possible(pairs, profiles, threshold).unionByName(_blocks(long, profiles, threshold)).distinct())
-    links = cut(links.unionByName(_search(possible, _fetched(known, possible, n), threshold)))
-    joined = cut(components(links))
-    out = index.join(classes, ["n_shingles", "one", "two"], "left").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left")
-    out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
-    return out, links
+    links = cut(links.unionByName(_search(possible, _fetched(known, classes, possible, n), threshold, overlaps)))
+    # ids come back: the least of each component's classes
+    placed = cut(classes.join(grouped(links), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    placed = placed.join(least, "component").select(*SET, "class_id", "component", "component_id")
+    out = index.select("doc_id", "text_hash", *SET).join(placed.where("class_id IS NOT NULL"), SET, "left")
+    linked = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", "n_shingles", *[F.when(linked, F.col(c)).alias(c) for c in ("class_id", "component")], F.when(linked, F.coalesce("component_id", "doc_id")).alias("component_id")), links
+
+
+def _by_lists(query: np.ndarray, sets: list[np.ndarray], need: list[int]) -> list[int]:
+    return t_occurrence(query, Lists(sets), need)
+
+
+def ngram_jaccard(docs: DataFrame, n: int = 5, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links). members: doc_id, text_hash, n_shingles, class_id (least doc_id with the same set, null for the empty
+    set), component (a number that all rows of a component share), component_id, for each row of docs. links: a, b (numbers of
+    distinct sets), overlap: each linked pair that was needed to connect its component; pairs already connected by others are
+    not searched again."""
+    spark = docs.sparkSession
+    prepare(spark)
+    held = spark.sparkContext.broadcast(_sketch(docs, n))
+    return linked_sets(docs, n, threshold, lambda: prefixes(threshold, held.value), _by_lists, components)
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
-    """Documents without near-duplicates: of each component the rows of the least doc_id stay, and of rows with words that
-    are equal in id (or have none) and text, one. Documents without words stay, and so do different texts without an id."""
+    """Documents without near-duplicates: of each component one row stays, of the least doc_id (of several texts with that id,
+    the one with the least hash), and of rows with words that are equal in id (or have none) and text, one. Documents without words stay, and so do different texts without an id."""
     members, _ = ngram_jaccard(docs, n, threshold)
-    gone = cut(members.where("class_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct())
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    # few rows repeat: only these are gathered, each group by its least row, before the shuffle
+    return without_copies(docs, members)
+
+
+def without_copies(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """docs without the rows that members puts in a component of which another row, of least doc_id, stays."""
+    known = cut(members.where("component IS NOT NULL").select("doc_id", "text_hash", "component"))
+    stays = known.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("stays"))
+    gone = cut(known.join(stays, "component").where("struct(doc_id, text_hash) <> stays").select("doc_id", "text_hash").distinct())
     inner = [{"doc_id": "doc_id", "text": "text"}.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
-    out = out.toDF(*inner).withColumn("same", F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text")))
+    rows = docs.toDF(*inner).withColumn("text_hash", F.xxhash64("text"))
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["doc_id", "text_hash"], "left_anti").select(*inner)
+    # few rows repeat: only these are gathered, each group by its least row, before the shuffle
+    out = out.withColumn("same", F.when(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text")))
     repeated = cut(out.where("same IS NOT NULL").groupBy("same").count().where("count > 1").select("same"))
     few = repeated.count()
     if not few:

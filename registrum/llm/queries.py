@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, importance, mixing, ngram_join, packing, periodic_runs, quality, sharding, substring_dedup, toxicity, url_filter
+from . import fingerprints, html_extract, importance, mixing, ngram_join, packing, periodic_runs, quality, sharding, substring_dedup, superminhash, toxicity, url_filter
 from .common import documents
 
 #: Host, path, verdict of the url rules.
@@ -65,6 +65,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.with_periods(documents(spark, sf_dir)))
 
 
+def op13_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(documents(spark, sf_dir), 3, 85)
+
+
 OP4_SQL = r"""
 WITH u AS (SELECT page_id, coalesce(contains(url, '://'), false) AS found, regexp_replace(substring(url, strpos(url, '://') + 3), '[?#](.|\n)*$', '') AS rest FROM pages),
 h AS (SELECT page_id, CASE WHEN found THEN translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
