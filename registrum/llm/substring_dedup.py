@@ -15,8 +15,9 @@ document with a smaller doc_id. The parse is distributed and exact:
 
 Copies of a whole text are settled by their hash before that: every window of a later copy starts in the first one.
 
-Null text: no words. A null doc_id neither donates nor loses words. Rows that share a doc_id are one document
-with several texts: none of them removes words of another. Extra columns are ignored.
+Null text: no words. A null doc_id neither donates nor loses words. Rows that share a doc_id are texts of one document: none of
+them removes words of another, and what is found of one text is applied to rows of that id and text alone. Repeated rows
+are treated alike, empty tables give no rows, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import Hasher, cut, mix, narrow, prepare, signed, texts_of
 
 #: Words in an anchor; the others of a window are places it may start at.
 ANCHOR = 20
+#: What tells texts apart.
+ROW = ["doc_id", "text_hash"]
 #: Documents of one reference that a task parses, and the most references that have more and are dealt out.
 AT_ONCE, HOT_REFS = 512, 50_000
 
@@ -114,7 +117,7 @@ class Block:
 
 
 def _first_pass(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """A row for each document (anchors null) with the hash of its words, and its distinct anchors."""
+    """For each row of docs (doc_id, text_hash, text) the hash of its words, and its distinct anchors."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -124,20 +127,20 @@ def _first_pass(docs: DataFrame, window: int, k: int) -> DataFrame:
                 grams, at = _anchors(hasher, words, window, k)
                 text.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
                 found.append(signed(np.unique(grams[np.unique(at)])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "same", "anchors"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ROW], pa.array(text, pa.binary()), pa.array(found, pa.list_(pa.int64()))], [*ROW, "same", "anchors"])
 
-    return docs.mapInArrow(build, "doc_id long, same binary, anchors array<long>")
+    return docs.mapInArrow(build, "doc_id long, text_hash long, same binary, anchors array<long>")
 
 
 def _regions(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """rows: doc_id, text, anchors array<struct<anchor, ref>>. For each reference of a document, its runs of words
-    around the anchors: doc_id, ref, starts array<int>, lengths array<int>, words binary."""
+    """rows: doc_id, text_hash, text, anchors array<struct<anchor, ref>>. For each reference of a text, its runs of words
+    around the anchors: doc_id, text_hash, ref, starts array<int>, lengths array<int>, words binary."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             out: list[tuple] = []
-            ids, lists = batch.column("doc_id").to_pylist(), batch.column("anchors")
+            ids, lists = list(zip(*[batch.column(c).to_pylist() for c in ROW], strict=True)), batch.column("anchors")
             for i, words in hasher.chunks(texts_of(batch.column("text"))):
                 part = lists[i].values
                 anchor, ref = part.field("anchor").to_numpy(zero_copy_only=False).view(np.uint64), part.field("ref").to_numpy(zero_copy_only=False)
@@ -154,13 +157,13 @@ def _regions(rows: DataFrame, window: int, k: int) -> DataFrame:
                     cuts = np.flatnonzero(np.diff(where) > 1) + 1
                     firsts, lasts = where[np.concatenate([[0], cuts])], where[np.concatenate([cuts - 1, [len(where) - 1]])]
                     pieces = [words[a : b + window] for a, b in zip(firsts, lasts, strict=True)]
-                    out.append((ids[i], int(r), firsts.tolist(), [len(p) for p in pieces], np.concatenate(pieces).tobytes()))
+                    out.append((*ids[i], int(r), firsts.tolist(), [len(p) for p in pieces], np.concatenate(pieces).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[j] for x in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()))],
-                ["doc_id", "ref", "starts", "lengths", "words"],
+                [pa.array([x[j] for x in out], kind) for j, kind in enumerate((*[pa.int64()] * 3, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()))],
+                [*ROW, "ref", "starts", "lengths", "words"],
             )
 
-    return rows.mapInArrow(build, "doc_id long, ref long, starts array<int>, lengths array<int>, words binary")
+    return rows.mapInArrow(build, "doc_id long, text_hash long, ref long, starts array<int>, lengths array<int>, words binary")
 
 
 def _parse(regions: DataFrame, window: int, k: int) -> DataFrame:
@@ -171,8 +174,8 @@ def _parse(regions: DataFrame, window: int, k: int) -> DataFrame:
     limit = max(AT_ONCE, (counts.agg(F.sum("count")).first()[0] or 0) // HOT_REFS)
     fans = cut(counts.where(F.col("count") > limit).select("ref", F.ceil(F.col("count") / limit).cast("int").alias("fan")))  # HOT_REFS rows at most
     rows = regions.join(F.broadcast(fans), "ref", "left").withColumn("fan", F.coalesce("fan", F.lit(1))).withColumn("own", F.col("doc_id") == F.col("ref"))
-    deals = F.when(F.col("own"), F.sequence(F.lit(0), F.col("fan") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), "fan").cast("int")))
-    rows = rows.select("ref", F.explode(deals).alias("deal"), (~F.col("own")).cast("int").alias("kind"), "doc_id", "starts", "lengths", "words")
+    deals = F.when(F.col("own"), F.sequence(F.lit(0), F.col("fan") - 1)).otherwise(F.array(F.pmod(F.xxhash64(*ROW), "fan").cast("int")))
+    rows = rows.select("ref", F.explode(deals).alias("deal"), (~F.col("own")).cast("int").alias("kind"), *ROW, "starts", "lengths", "words")
     rows = rows.repartition("ref", "deal").sortWithinPartitions("ref", "deal", "kind")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +183,7 @@ def _parse(regions: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             ids, spans, opened = [], [], []
             for i in range(batch.num_rows):
-                ref, deal, kind, doc, starts, lengths, words = (c[i].as_py() for c in batch.columns)
+                ref, deal, kind, doc, text_hash, starts, lengths, words = (c[i].as_py() for c in batch.columns)
                 if (ref, deal) != at:
                     at, held, block = (ref, deal), [], None
                 pieces = np.split(np.frombuffer(words, np.uint64), np.cumsum(lengths)[:-1])
@@ -197,22 +200,22 @@ def _parse(regions: DataFrame, window: int, k: int) -> DataFrame:
                         found += [{"a": int(a + start), "b": int(b + start)} for a, b in zip(firsts, lasts, strict=True)]
                     if len(rest):
                         left += zip((rest + start).tolist(), signed(hasher.grams(piece, window)[rest]).tolist(), strict=True)
-                ids.append(doc)
+                ids.append((doc, text_hash))
                 spans.append(found)
                 opened.append([{"place": p, "hash": h} for p, h in left])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(opened, pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())])))],
-                ["doc_id", "spans", "opened"],
+                [*[pa.array([x[j] for x in ids], pa.int64()) for j in (0, 1)], pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(opened, pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())])))],
+                [*ROW, "spans", "opened"],
             )
 
-    return rows.mapInArrow(build, "doc_id long, spans array<struct<a:int,b:int>>, opened array<struct<place:int,hash:long>>")
+    return rows.mapInArrow(build, "doc_id long, text_hash long, spans array<struct<a:int,b:int>>, opened array<struct<place:int,hash:long>>")
 
 
 def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(spans, copies). spans: doc_id, a, b: every window that starts at words a to b is a duplicate. copies: doc_id of
-    the documents whose words are, all in all, those of one with a smaller doc_id."""
+    """(spans, copies). spans: doc_id, text_hash, a, b: every window that starts at words a to b of that text is a duplicate.
+    copies: doc_id, text_hash of the texts whose words are, all in all, those of a document with a smaller doc_id."""
     k = min(ANCHOR, window)
-    known = narrow(docs, "doc_id", "text").where("doc_id IS NOT NULL")
+    known = narrow(docs, "doc_id", "text").where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     seen = cut(_first_pass(known, window, k))
     firsts = cut(seen.groupBy("same").agg(F.min("doc_id").alias("first_id")))
     own = seen.join(firsts, (seen["same"] == firsts["same"]) & (seen["doc_id"] == firsts["first_id"]), "left_semi")
@@ -222,18 +225,18 @@ def duplicate_spans(docs: DataFrame, window: int = 50) -> tuple[DataFrame, DataF
     rows = known.join(cut(held), "doc_id")
     regions = cut(_regions(rows, window, k))
     parsed = cut(_parse(regions, window, k))
-    spans = parsed.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.a", "s.b")
-    opened = parsed.select("doc_id", F.explode("opened").alias("o")).select("doc_id", "o.place", "o.hash")
+    spans = parsed.select(*ROW, F.explode("spans").alias("s")).select(*ROW, "s.a", "s.b")
+    opened = parsed.select(*ROW, F.explode("opened").alias("o")).select(*ROW, "o.place", "o.hash")
     least = opened.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
-    late = opened.join(least, "hash").where("doc_id > least").select("doc_id", F.col("place").alias("a"), F.col("place").alias("b"))
-    copies = seen.join(firsts, "same").where("first_id < doc_id").select("doc_id").distinct()
+    late = opened.join(least, "hash").where("doc_id > least").select(*ROW, F.col("place").alias("a"), F.col("place").alias("b"))
+    copies = seen.join(firsts, "same").where("first_id < doc_id").select(*ROW).distinct()
     return spans.unionByName(late), copies
 
 
 def _decisions(docs: DataFrame, window: int) -> DataFrame:
     spans, copies = duplicate_spans(docs, window)
-    packed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return cut(packed.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full"))
+    packed = spans.groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    return cut(packed.join(copies.withColumn("copy", F.lit(True)), ROW, "full")).toDF(*ROW, "c_spans", "c_copy")
 
 
 def _removed(rows: DataFrame, window: int, columns: str) -> DataFrame:
@@ -266,7 +269,8 @@ def _removed(rows: DataFrame, window: int, columns: str) -> DataFrame:
 def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) and kept_sha256 for each row of docs."""
     prepare(docs.sparkSession)
-    rows = narrow(docs, "doc_id", "text").toDF("doc_id", "c_text").join(_decisions(docs, window).toDF("doc_id", "c_spans", "c_copy"), "doc_id", "left")
+    rows = narrow(docs, "doc_id", "text").select("doc_id", F.col("text").alias("c_text"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.join(_decisions(docs, window), ROW, "left").select("doc_id", "c_text", "c_spans", "c_copy")
     out = _removed(rows, window, "doc_id long, c_text string")
     return out.select("doc_id", F.col("c_words").alias("n_words"), F.col("c_removed").alias("n_removed"), F.col("c_kept").alias("kept"), F.col("c_sha256").alias("kept_sha256"))
 
@@ -278,7 +282,7 @@ def strip_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     inner = [{"doc_id": "doc_id", "text": "c_text"}.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.toDF(*inner)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.join(_decisions(docs, window).toDF("doc_id", "c_spans", "c_copy"), "doc_id", "left").select(*inner, "c_spans", "c_copy")
+    rows = rows.withColumn("text_hash", F.xxhash64("c_text")).join(_decisions(docs, window), ROW, "left").select(*inner, "c_spans", "c_copy")
     out = _removed(rows, window, kinds).where("c_removed = 0 OR c_removed < c_words")
     text = F.when(F.col("c_removed") > 0, F.col("c_kept")).otherwise(F.col("c_text"))
     made = {"text": text, "n_chars": F.when(F.col("c_removed") > 0, F.length("c_kept").cast("long")).otherwise(F.col(inner[docs.columns.index("n_chars")])) if "n_chars" in docs.columns else None}
