@@ -51,8 +51,8 @@ SLOTS = 1 << 20
 _PIECE = 1 << 12
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_IDS = 200_000
-#: Lists above this are searched in blocks of so many by so many documents.
-LONG, BLOCK = 64, 256
+#: Lists above this are searched in blocks of so many by so many documents, or of so many bytes of profiles.
+LONG, BLOCK, BLOCK_BYTES = 64, 1024, 1 << 22
 #: Candidates whose sets one search holds at once; a query with more runs several searches.
 FANOUT = 256
 
@@ -217,19 +217,20 @@ def _possible(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFram
 
 
 def _blocks(long: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components in the long lists whose profiles allow a link."""
+    """Pairs (a, b) of different components in the long lists whose profiles allow a link. The members of a list's largest
+    component are one already, so only the others are searched for, among all: with few others that is no square."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left = group[group["side"] == 0]
-        right = group[group["side"] == 1] if (group["side"] == 1).any() else left
-        gram, out = group["gram"].iloc[0], []
+    def run(others: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        if not len(others) or not len(members):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        gram, out = others["gram"].iloc[0], []
         by_length: dict[int, list[int]] = {}
-        shapes = [np.frombuffer(x, np.uint16) for x in right["profile"]]
+        shapes = [np.frombuffer(x, np.uint16) for x in members["profile"]]
         for k, x in enumerate(shapes):
             by_length.setdefault(len(x), []).append(k)
         stacks = {m: (np.array(ks), np.stack([shapes[k] for k in ks])) for m, ks in by_length.items()}
-        ids, sizes, parts, grams = right["node"].to_numpy(), right["n_shingles"].to_numpy(), right["component"].to_numpy(), [set(g) for g in right["grams"]]
-        for row in left.itertuples(index=False):
+        ids, sizes, parts, grams, apart = members["node"].to_numpy(), members["n_shingles"].to_numpy(), members["component"].to_numpy(), [set(g) for g in members["grams"]], members["apart"].to_numpy()
+        for row in others.itertuples(index=False):
             x, own = np.frombuffer(row.profile, np.uint16), list(row.grams)
             for m, (ks, stack) in stacks.items():
                 fold, other = x, stack
@@ -239,22 +240,26 @@ def _blocks(long: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
                     other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
                 n = sizes[ks]
                 fits = (np.count_nonzero(other != fold, axis=1) * (100 + threshold) <= (n + row.n_shingles) * (100 - threshold)) & (np.minimum(n, row.n_shingles) * 100 >= np.maximum(n, row.n_shingles) * threshold)
-                fits &= parts[ks] != row.component
-                if left is right:
-                    fits &= ids[ks] > row.node
+                fits &= (parts[ks] != row.component) & (~apart[ks] | (ids[ks] > row.node))
                 for k in ks[fits]:
                     if min(g for g in own if g in grams[k]) == gram:  # in other lists too: named once
                         out.append((min(row.node, ids[k]), max(row.node, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    cuts = long.groupBy("gram").agg(F.ceil(F.max("members") / BLOCK).alias("cuts"))
+    sizes = long.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("gram").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     own = long.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("grams"))
-    rows = long.join(cuts, "gram").withColumn("cut", F.pmod(F.xxhash64("node"), "cuts")).join(own, "node").join(profiles.select("node", "profile"), "node")
-    # a block meets itself and all others: of the pair (i, j) with i < j, i is side 0
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("other")
-    rows = rows.select("gram", "node", "n_shingles", "component", "grams", "profile", "cut", other)
-    rows = rows.select("gram", "node", "n_shingles", "component", "grams", "profile", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j"), (F.col("cut") > F.col("other")).cast("int").alias("side"))
-    return rows.groupBy("gram", "i", "j").applyInPandas(run, "a long, b long")
+    rows = long.join(main, "gram").withColumn("apart", F.col("component") != F.col("main"))
+    # a block's profiles are BLOCK at most, or BLOCK_BYTES
+    share = F.lit(32.0 * (100 - threshold) / (100 + threshold) / BLOCK_BYTES) * F.col("n_shingles")
+    cuts = rows.groupBy("gram").agg(*[F.ceil(F.greatest(F.count_if(x) / BLOCK, F.sum(F.when(x, share).otherwise(0.0)))).alias(c) for c, x in (("others", F.col("apart")), ("cuts", F.lit(True)))])
+    rows = cut(rows.join(cuts, "gram").join(own, "node").join(profiles.select("node", "profile"), "node"))
+    held = ["gram", "node", "n_shingles", "component", "grams", "profile", "apart"]
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where("apart").select(*held, dealt("others").alias("i"), every("cuts").alias("j"))
+    right = rows.select(*held, dealt("cuts").alias("j"), every("others").alias("i"))
+    return left.groupBy("gram", "i", "j").cogroup(right.groupBy("gram", "i", "j")).applyInPandas(run, "a long, b long")
 
 
 def _fetched(known: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
