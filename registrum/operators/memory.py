@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normal
+from ..sources.shared import cut
 
 #: Least similarity of a suggestion and of a correction worth learning, least length of both texts.
 SUGGEST_FROM, LEARN_FROM, SHORTEST = 0.88, 0.55, 3
@@ -81,11 +82,17 @@ def learnable(corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def record_corrections(memory: DataFrame, corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """The memory with new corrections appended. Their ids follow those there are and come from the texts, so reruns agree."""
-    new = learnable(corrections, fields).join(memory.select("field_name", "raw_value", "corrected_value"), ["field_name", "raw_value", "corrected_value"], "left_anti")
-    top = memory.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = new.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.xxhash64("field_name", "raw_value", "corrected_value").bitwiseAND(F.lit((1 << 62) - 1))).drop("top")
-    return memory.unionByName(new.withColumn("times_applied", F.lit(0).cast("long")), allowMissingColumns=True)
+    """The memory with new corrections appended. Their ids follow the greatest there is, one by one in the order of their texts,
+    so reruns agree and a correction learnt later comes after. The order is made by ranges and the ranges' counts."""
+    key = ["field_name", "raw_value", "corrected_value"]
+    new = learnable(corrections, fields).join(memory.select(*key), key, "left_anti")
+    placed = cut(new.repartitionByRange(*key).sortWithinPartitions(*key).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # a row for each partition
+    begins = [memory.agg(F.max("id")).first()[0] or 0]
+    for part in range(max(counts, default=-1)):
+        begins.append(begins[-1] + counts.get(part, 0))
+    numbered = placed.withColumn("id", F.get(F.lit(begins), F.col("part")) + F.col("at") + 1).drop("part", "at")
+    return memory.unionByName(numbered.withColumn("times_applied", F.lit(0).cast("long")), allowMissingColumns=True)
 
 
 def changed_fields(fields: DataFrame, edits: DataFrame) -> DataFrame:

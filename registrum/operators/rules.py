@@ -3,10 +3,12 @@ duplicate rule counts owners of an identifier before it joins, so a plot named b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.keyed import KeyedTable
+from ..sources.shared import cut
 
 #: Required fields, identifiers and dates that are checked, and the form of an identifier.
 REQUIRED = ("owner_name", "survey_number", "plot_area", "village", "district")
@@ -53,23 +55,123 @@ def district_issues(records: DataFrame, gazetteer: DataFrame, aliases: dict[str,
     return rows.join(states, "s", "left_semi").join(listed, ["s", "d"], "left_anti").select("record_id", "state", "district")
 
 
+#: Parts the two identifiers of a record where they are one key.
+_BOTH = "\x00"
+_PLACE = ["v", "d", "id"]
+
+
+def _identified(records: DataFrame, village: Column, district: Column) -> DataFrame:
+    """A row for each identifier of a record in a known place, and one for both where it has two (pair): record_id, v, d, id,
+    pair, live, status, and own, whether the record stands among the owners under this very key."""
+    ids = F.array_sort(F.array_distinct(F.filter(F.array(F.upper("survey_number"), F.upper("khasra_number")), lambda x: x != "")))
+    keys = F.when(F.size(ids) == 2, F.array_append(ids, F.array_join(ids, _BOTH))).otherwise(ids)
+    live = F.coalesce(F.col("status") != "REJECTED", F.lit(True))
+    rows = records.where("village <> '' AND district <> ''").select("record_id", "status", village.alias("v"), district.alias("d"), live.alias("live"), ((F.lower("village") == village) & (F.lower("district") == district) & live).alias("own"), F.explode(keys).alias("id"))
+    return rows.withColumn("pair", F.col("id").contains(_BOTH))
+
+
+def owners(records: DataFrame) -> DataFrame:
+    """Identifiers as they are stored, of records that are not rejected."""
+    return _identified(records, F.lower("village"), F.lower("district")).where("live")
+
+
+def probes(records: DataFrame) -> DataFrame:
+    """Identifiers as they are searched: village and district with white space collapsed."""
+    return _identified(records, X.normal(F.col("village")), X.normal(F.col("district")))
+
+
 def duplicates(records: DataFrame) -> DataFrame:
     """For each record: how many others, not rejected, in the same village and district carry one of its identifiers
     (links, counted for each identifier), and how many of its identifiers are shared (ids)."""
-    ids = F.array_distinct(F.filter(F.array(F.upper("survey_number"), F.upper("khasra_number")), lambda x: x != ""))
-    rows = records.where("village <> '' AND district <> ''").select("record_id", F.lower("village").alias("v"), F.lower("district").alias("d"), (F.col("status") != "REJECTED").alias("live"), F.explode(ids).alias("id"))
-    owners = rows.where("live").groupBy("v", "d", "id").agg(F.count("*").alias("n"))
-    met = rows.join(owners, ["v", "d", "id"]).withColumn("others", F.col("n") - F.col("live").cast("int")).where("others > 0")
+    counts = owners(records).where("NOT pair").groupBy(*_PLACE).agg(F.count("*").alias("n"))
+    met = probes(records).where("NOT pair").join(counts, _PLACE).withColumn("others", F.col("n") - F.col("own").cast("int")).where("others > 0")
     return met.groupBy("record_id").agg(F.sum("others").alias("links"), F.count("*").alias("ids"))
 
 
+#: References that a message names.
+NAMED = 5
+
+
+def duplicate_references(looked: DataFrame, pool: DataFrame, named: int = NAMED) -> DataFrame:
+    """record_id, n_others, refs (the least ``named`` others as id and status) of the records looked at that share an identifier
+    with others in the pool of owners. No two records are joined: owners are counted by identifier, and the least
+    ``named`` + 1 of each kept, before a record meets them and takes itself out. Who shares both identifiers is counted
+    under each, so the owners of the pair are taken off once."""
+    counts = pool.groupBy(*_PLACE).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*_PLACE).orderBy("record_id"))
+    least = pool.where("NOT pair").withColumn("place", place).where(F.col("place") <= named + 1).groupBy(*_PLACE).agg(F.collect_list(F.struct("record_id", "status")).alias("top"))
+    met = probes(looked).join(counts, _PLACE).join(least, _PLACE, "left")
+    others = F.col("n") - F.col("own").cast("int")
+    tops = F.flatten(F.collect_list(F.coalesce("top", F.array().cast("array<struct<record_id:bigint,status:string>>"))))
+    out = met.groupBy("record_id").agg(F.sum(F.when(F.col("pair"), -others).otherwise(others)).alias("n_others"), tops.alias("tops")).where("n_others > 0")
+    refs = F.array_sort(F.array_distinct(F.filter("tops", lambda r: r["record_id"] != F.col("record_id"))))
+    return out.select("record_id", "n_others", F.slice(refs, 1, named).alias("refs"))
+
+
+def duplicate_issues(looked: DataFrame, pool: DataFrame, named: int = NAMED) -> DataFrame:
+    """DUPLICATE_PLOT issues of the records looked at; the message names others and counts those it does not name."""
+    found = duplicate_references(looked, pool, named)
+    names = F.array_join(F.transform("refs", lambda r: F.concat(F.lit("#"), r["record_id"].cast("string"), F.lit(" ("), F.lower(r["status"]), F.lit(")"))), ", ")
+    more = F.col("n_others") - F.size("refs")
+    message = F.concat(F.lit("the plot is also in "), names, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(""))
+    return _named(found, "DUPLICATE_PLOT", "survey_number", "error", message)
+
+
+def _named(df: DataFrame, rule: str, field: str, severity: str, message: Column) -> DataFrame:
+    return df.select("record_id", F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity"), message.alias("message"))
+
+
+def _alone(records: DataFrame, as_of: str, gazetteer: DataFrame | None, aliases: dict[str, str] | None) -> DataFrame:
+    """Issues that depend on a record's own values only."""
+    out = issues(records, as_of)
+    listed = F.concat("district", F.lit(" is not listed under "), "state")
+    return out if gazetteer is None else out.unionByName(_named(district_issues(records, gazetteer, aliases), "STATE_DISTRICT", "district", "warning", listed))
+
+
 def revalidated(records: DataFrame, as_of: str, gazetteer: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
     """All record issues anew: rows of record_id, rule_code, field_name, severity, message."""
-    named = lambda df, rule, field, severity, message: df.select("record_id", F.lit(rule).alias("rule_code"), F.lit(field).alias("field_name"), F.lit(severity).alias("severity"), message.alias("message"))
-    others = F.format_string("%d other entries of the village carry one of its identifiers", "links")
-    out = issues(records, as_of).unionByName(named(duplicates(records), "DUPLICATE_PLOT", "survey_number", "error", others))
-    listed = F.concat("district", F.lit(" is not listed under "), "state")
-    return out if gazetteer is None else out.unionByName(named(district_issues(records, gazetteer, aliases), "STATE_DISTRICT", "district", "warning", listed))
+    return _alone(records, as_of, gazetteer, aliases).unionByName(duplicate_issues(records, owners(records)))
+
+
+def concerned(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
+    """record_id of the records whose issues a change can touch: those changed (of either table, so that new and removed ones count)
+    and those that search one of the identifiers that a changed record had or has. full is true where all issues are to be
+    made anew, false where only duplicates are."""
+    ids = changed.select("record_id").distinct()
+    own = lambda df: owners(df.join(ids, "record_id", "left_semi")).where("NOT pair").select(*_PLACE)
+    touched = own(before).unionByName(own(after)).distinct()
+    met = probes(after).where("NOT pair").join(touched, _PLACE, "left_semi").select("record_id", F.lit(False).alias("full"))
+    return met.unionByName(ids.withColumn("full", F.lit(True))).groupBy("record_id").agg(F.max("full").alias("full"))
+
+
+def fresh_issues(after: DataFrame, scope: DataFrame, as_of: str, gazetteer: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The issues of the records in scope (as ``concerned`` gives it), from the records that they meet only."""
+    looked = after.join(scope.select("record_id"), "record_id", "left_semi")
+    keys = probes(looked).select(*_PLACE).distinct()
+    pool = owners(after).join(keys, _PLACE, "left_semi")
+    full = after.join(scope.where("full").select("record_id"), "record_id", "left_semi")
+    return _alone(full, as_of, gazetteer, aliases).unionByName(duplicate_issues(looked, pool))
+
+
+def still_valid(found: DataFrame, scope: DataFrame) -> DataFrame:
+    """The issues that a change leaves as they are."""
+    rows = found.join(scope, "record_id", "left")
+    return rows.where((F.col("full").isNull()) | (~F.col("full") & (F.col("rule_code") != "DUPLICATE_PLOT"))).select(*found.columns)
+
+
+def revalidated_changes(before: DataFrame, after: DataFrame, changed: DataFrame, found: DataFrame, as_of: str, gazetteer: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """The issues of all records after a change, from those found before it: equal to ``revalidated(after)``, but the rules run on the
+    changed records only, and duplicates are searched again only where an identifier is concerned. changed: record_id.
+    An empty change leaves all issues; a record that is gone loses its own."""
+    scope = cut(concerned(before, after, changed))
+    return still_valid(found, scope).unionByName(fresh_issues(after, scope, as_of, gazetteer, aliases))
+
+
+def revalidate_store(store: KeyedTable, before: DataFrame, after: DataFrame, changed: DataFrame, as_of: str, gazetteer: DataFrame | None = None, aliases: dict[str, str] | None = None, batch_id: int | None = None) -> None:
+    """The same on a stored table of issues: only the partitions of the records concerned are read and written."""
+    scope = cut(concerned(before, after, changed))
+    kept = still_valid(store.of_keys(scope.select("record_id")), scope)
+    store.replace(scope.select("record_id"), kept.join(scope, "record_id", "left_semi").unionByName(fresh_issues(after, scope, as_of, gazetteer, aliases)), batch_id)
 
 
 def rejected(records: DataFrame, ids: DataFrame) -> DataFrame:

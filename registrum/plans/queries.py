@@ -663,6 +663,9 @@ def extraction_scorecard(spark, d):
     return extract.scorecard(expected, extract.extract_text(_form_texts(spark, d)))
 
 
+from . import changes  # noqa: E402, F401 - registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
