@@ -663,7 +663,7 @@ def extraction_scorecard(spark, d):
     return extract.scorecard(expected, extract.extract_text(_form_texts(spark, d)))
 
 
-from . import changes  # noqa: E402, F401 - registers its queries
+from . import changes, lists  # noqa: E402, F401 - they register their queries
 
 
 def queries() -> dict[str, Query]:
