@@ -10,12 +10,15 @@
    optional, and if it also stands elsewhere in that level, all between becomes a repeated group. So a
    level is at most as long as its shortest page and its distinct elements are, however many pages there are.
    Streams are merged in bounded batches, batch results again, until each host has one wrapper.
-3. On the wrapper each slot is told template or data: literals and repeated slots of link text (menus) are template.
-   Only then words count: parts that name themselves menus, headers, footers, sidebars, notices, adverts, forms or
-   comments are left out, weak names only where the wrapper has data outside of them.
-4. A page is read once more and parsed by its host's wrapper. The data in its main region (article, else main, else
-   body) is its text; an article or main element is kept whole, with the passages and headings that its pages share.
-   Where the region is only the body, template slots go, if the page has data slots too.
+3. On the wrapper each slot is told template or data: literals and repeated slots of link text (menus) are template, and
+   so is what names itself menu, header, footer, sidebar, notice, advert, form or comment, weak names only where the
+   wrapper has data outside of them.
+4. The host's pages are parsed by the wrapper, and the words of their data slots are summed for each of its elements. The main
+   region is the article or main element that holds data; where none is named so, it is found from the sums: from
+   the top down, the one element, neither repeated nor a mere paragraph, that holds more than half of what its parent holds.
+5. A page is parsed by the wrapper once more. Its text is what stands in the main region, without slots of link text that are
+   template and without what names itself boilerplate; passages and headings that pages share stay. Where the region
+   is the whole page, or the page lacks it, all template slots go, if the page has data slots too.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space.
 Null or empty html, and html without text, give the empty text; a null url has the empty host. Broken tags end
@@ -114,8 +117,30 @@ def _end_of(page: str, name: str, at: int) -> int:
     return len(page)
 
 
+#: Elements that say nothing of their content, and those that are lists or running text.
+_BARE, _RUNNING = frozenset(["div", "section"]), frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+
+
+def _shaped(tree: Tree) -> Tree:
+    """Elements without a telling name or class are told apart by what is in them: running text, lists, text alone."""
+    out: Tree = []
+    for x in tree:
+        if not isinstance(x, Block):
+            label, inner = x[0], _shaped(x[1])
+            if label[:2] == " 0" and label[2:] in _BARE:
+                names = {re.split(r"[.{]", y[0][2:])[0] for y in inner if not isinstance(y, Block)}
+                label += "{text" if not names else "{running" if names & _RUNNING else "{list" if names <= _LISTS else "{parts"
+            x = (label, inner)
+        out.append(x)
+    return out
+
+
 def read(page: str) -> Tree:
     """A page as a tree of block elements and texts."""
+    return _shaped(_read(page))
+
+
+def _read(page: str) -> Tree:
     root: Tree = []
     stack: list[tuple[str, Tree]] = []
     here = root
@@ -397,8 +422,10 @@ def pattern(level: Level) -> str:
 class Wrapper:
     """A host's wrapper, ready to parse pages."""
 
-    def __init__(self, level: Level, literals: frozenset[str]):
+    def __init__(self, level: Level, literals: frozenset[str], region: str = ""):
         self.level, self.literals = level, literals
+        #: the path of the main region ("" the whole page), or what ``region_of`` calls a named one
+        self.region = region
         #: weak names count only where there is data outside of what they name
         self.weak = self._data(level)
         self._seen: dict[tuple, list] = {}
@@ -407,7 +434,7 @@ class Wrapper:
         return any(k == "#" or (k[0] == " " and self._data(v)) for _, nodes in level for k, v in nodes)
 
     def places(self, level: Level, runs: Level) -> list:
-        """The wrapper's node, and whether it repeats, for each node of a page's level."""
+        """For each node of a page's level the wrapper's node, whether it repeats, and its step in a path of the wrapper."""
         key = (id(level), tuple((e[0], e[1][0][0], len(e[1])) for e in runs))
         if key not in self._seen:
             if len(self._seen) >= 2048:
@@ -421,17 +448,18 @@ class Wrapper:
                     found = None
                     for i in met.get(j) or [i for i, e in enumerate(level) if k in _keys(e)]:
                         quantity, own = level[i]
-                        node = dict(own).get(k) if quantity == "+" else own[min(p, len(own) - 1)][1]
+                        at = 0 if quantity == "+" else min(p, len(own) - 1)
+                        node = dict(own).get(k) if quantity == "+" else own[at][1]
                         if node is not None:
-                            found = (node, quantity == "+" or len(own) > 1)
+                            found = (node, quantity == "+" or len(own) > 1, f"{i}.{at}{'+' if quantity == '+' else ''}{k}".replace("/", ""))
                             break
-                    out.append(found or ([], False))
+                    out.append(found or ([], False, f"?{k}".replace("/", "")))
             self._seen[key] = out
         return self._seen[key]
 
-    def slots(self, tree: Tree) -> Iterator[tuple[Block, int, str, bool]]:
-        """Of each text of a page: its region, whether it is named boilerplate (blank, ~ or !), and whether the wrapper tells
-        it template."""
+    def slots(self, tree: Tree, met: dict[str, int] | None = None) -> Iterator[tuple[Block, str, int, str]]:
+        """Of each text of a page: the path of its element, its named region, and what of the template it is (blank: it is data; =:
+        literal, @: link text, !: named boilerplate). met counts the page's elements by their paths."""
 
         def content(nodes: Tree, label: str) -> list:
             out = []
@@ -444,14 +472,53 @@ class Wrapper:
                     out.append([x[0] + (inner[0][0] if len(inner) == 1 and inner[0][0][0] == "=" else ""), inner])
             return out
 
-        def walk(nodes: list, level: Level, region: int, mark: str, repeated: bool) -> Iterator[tuple[Block, int, str, bool]]:
-            for (key, x), (inner, again) in zip(nodes, self.places(level, _runs(nodes)), strict=True):
+        def walk(nodes: list, level: Level, path: str, region: int, mark: str, repeated: bool) -> Iterator[tuple[Block, str, int, str]]:
+            for (key, x), (inner, again, step) in zip(nodes, self.places(level, _runs(nodes)), strict=True):
                 if isinstance(x, Block):
-                    yield x, region, mark, key[0] == "=" or (key == "@" and (repeated or again))
+                    named = mark == "!" or (mark == "~" and self.weak)
+                    yield x, path, region, "!" if named else "@" if x.link and (key[0] == "=" or repeated or again) else "=" if key[0] == "=" else " "
                 else:
-                    yield from walk(x, inner, max(region, int(key[1])), max(mark, key[0], key=" ~!".index), repeated or again)
-
-        yield from walk(content(tree, ""), self.level, 0, " ", False)
+                    if met is not None:
+                        met[f"{path}/{step}"] = met.get(f"{path}/{step}", 0) + 1
+                    yield from walk(x, inner, f"{path}/{step}", max(region, int(key[1])), max(mark, key[0], key=" ~!".index), repeated or again)
+
+        yield from walk(content(tree, ""), self.level, "", 0, " ", False)
+
+    def volumes(self, tree: Tree) -> dict[tuple[str, int], tuple[int, int]]:
+        """Words of a page's data slots by element, with its named region, and how many such elements the page has; an element
+        counts what is anywhere in it."""
+        out: dict[tuple[str, int], int] = {}
+        met: dict[str, int] = {}
+        for block, path, region, template in self.slots(tree, met):
+            if template == " ":
+                words, steps = len(block.text.split()), path.split("/")
+                for n in range(1, len(steps) + 1):
+                    key = ("/".join(steps[:n]), region if n == len(steps) else 0)
+                    out[key] = out.get(key, 0) + words
+        return {key: (words, met.get(key[0], 1)) for key, words in out.items()}
+
+
+def region_of(volumes: list[tuple[str, int, int, int]]) -> str:
+    """The main region of a host from (path, named region, words, most on a page) of its elements: "2" or "1" for the articles or main
+    elements, else the path of an element, "" for the whole page."""
+    named = max((region for _, region, words, _ in volumes if words), default=0)
+    if named:
+        return str(named)
+    total: dict[str, int] = {}
+    once: dict[str, bool] = {}
+    for path, _, words, most in volumes:
+        total[path], once[path] = total.get(path, 0) + words, once.get(path, True) and most == 1
+    inside: dict[str, list[str]] = {}
+    for path in total:
+        if path:
+            inside.setdefault(path.rsplit("/", 1)[0], []).append(path)
+    here = ""
+    while True:
+        # an element that holds elements, one on each page
+        top = max((p for p in inside.get(here, []) if p in inside and once[p]), key=lambda p: (total[p], p), default=None)
+        if top is None or 2 * total[top] <= total.get(here, 0):
+            return "" if here.endswith((" 0html", " 0body")) else here
+        here = top
 
 
 def _blocks(tree: Tree) -> Iterator[Block]:
@@ -469,11 +536,13 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
     tree = read(page)
     if wrapper is None:
         return " ".join(b.text for b in _blocks(tree))
-    kept = [s for s in wrapper.slots(tree) if s[2] == " " or (s[2] == "~" and not wrapper.weak)]
-    region = max((s[1] for s in kept), default=0)
-    kept = [s for s in kept if s[1] == region]
-    if not region and not all(s[3] for s in kept):
-        kept = [s for s in kept if not s[3]]
+    slots = list(wrapper.slots(tree))
+    named = wrapper.region.isdigit()
+    around = wrapper.region and [s for s in slots if s[3] in " =" and (s[2] == int(wrapper.region) if named else f"{s[1]}/".startswith(f"{wrapper.region}/"))]
+    if around:
+        return " ".join(s[0].text for s in around)
+    # no region of its own on this page: its data; a page that is template all over stays as it is, but for named boilerplate
+    kept = [s for s in slots if s[3] == " "] or [s for s in slots if s[3] != "!"]
     return " ".join(s[0].text for s in kept)
 
 
@@ -570,24 +639,55 @@ def infer(pages: DataFrame) -> DataFrame:
         wrappers = cut(done.unionByName(todo.groupBy("host", "deal").applyInPandas(merge, kinds)))
 
 
+def _wrapper(held: dict[str, Wrapper], batch: pa.RecordBatch, i: int) -> Wrapper | None:
+    """The wrapper of a row's host, kept for the next rows."""
+    host = batch.column("host")[i].as_py()
+    if host not in held and batch.column("wrapper")[i].is_valid:
+        if len(held) >= 512:
+            held.clear()
+        region = batch.column("region")[i].as_py() if "region" in batch.schema.names else ""
+        held[host] = Wrapper(json.loads(batch.column("wrapper")[i].as_py()), _literals(batch.column("literals")[i].as_py()), region or "")
+    return held.get(host)
+
+
+def regions(joined: DataFrame) -> DataFrame:
+    """host, region. joined: host, html, wrapper, literals. Sums are made in each batch, then by element, so a host brings as
+    many rows together as its wrapper has elements."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Wrapper] = {}
+        for batch in batches:
+            total: dict[tuple[str, str, int], tuple[int, int]] = {}
+            for i, (page, host) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)):
+                wrapper = _wrapper(held, batch, i) if page else None
+                for (path, region), (words, most) in wrapper.volumes(read(page)).items() if wrapper else ():
+                    before = total.get((host, path, region), (0, 0))
+                    total[host, path, region] = (before[0] + words, max(before[1], most))
+            columns = [[k[j] for k in total] for j in range(3)] + [[v[j] for v in total.values()] for j in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["host", "path", "named", "words", "most"])
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(group["path"], group["named"].tolist(), group["words"].tolist(), group["most"].tolist(), strict=True))
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "region": [region_of(rows)]})
+
+    sums = joined.mapInArrow(weigh, "host string, path string, named int, words long, most int").groupBy("host", "path", "named").agg(F.sum("words").alias("words"), F.max("most").alias("most"))
+    return sums.groupBy("host").applyInPandas(choose, "host string, region string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     prepare(pages.sparkSession)
     host, _ = split_url(F.col("url"))
     rows = narrow(pages, "page_id", "url", "html").withColumn("host", host)
     wrappers = cut(infer(rows.select("host", "html")))
+    found = cut(regions(with_host(rows, wrappers, ["page_id", "url"]).select("host", "html", "wrapper", "literals")))
+    wrappers = cut(wrappers.join(found, "host", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
         for batch in batches:
-            texts = []
-            for i, (page, at) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)):
-                if page and at not in held and batch.column("wrapper")[i].is_valid:
-                    if len(held) >= 512:
-                        held.clear()
-                    held[at] = Wrapper(json.loads(batch.column("wrapper")[i].as_py()), _literals(batch.column("literals")[i].as_py()))
-                texts.append(extract(page, held.get(at)))
+            texts = [extract(page, _wrapper(held, batch, i) if page else None) for i, page in enumerate(batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = with_host(rows, wrappers, ["page_id", "url"]).select("page_id", "url", "host", "html", "wrapper", "literals")
+    joined = with_host(rows, wrappers, ["page_id", "url"]).select("page_id", "url", "host", "html", "wrapper", "literals", "region")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
