@@ -43,7 +43,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "2 hours")
     return out.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-def extract_to(path: str, labels: list | None = None, gazetteer: list[tuple[str, str]] = (), memory: Callable[[SparkSession], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def extract_to(path: str, labels: list | None = None, gazetteer: list | DataFrame = (), memory: Callable[[SparkSession], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: the fields of a batch's documents, written under its batch id, so that a batch which runs again
     replaces its own rows. The memory is read anew for each batch."""
 
