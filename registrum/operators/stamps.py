@@ -67,11 +67,11 @@ def issues(pages: DataFrame, stamps: DataFrame, words: DataFrame, require: bool
     """pages: page_id, text. Rows of page_id, rule_code, severity, message."""
     row = lambda rule, severity, message: (F.lit(rule).alias("rule_code"), F.lit(severity).alias("severity"), message.alias("message"))
     counts = stamps.groupBy("page_id").agg(F.count("*").alias("n"))
-    many = counts.where("n >= 3").select("page_id", *row("STAMP_MULTIPLE", "warning", F.concat(F.col("n").cast("string"), F.lit(" stamps detected; confirm which seals are valid."))))
-    covered = overlapped(stamps, words).where("n_words >= 3").select("page_id", *row("STAMP_OVERLAP", "error", F.format_string("Stamp %d overlaps 3 or more OCR word boxes (IoU > 0.15); the seal may cover text.", F.col("nth") + 1)))
+    many = counts.where("n >= 3").select("page_id", *row("STAMP_MULTIPLE", "warning", F.concat(F.col("n").cast("string"), F.lit(" stamps on one page: which of them holds must be settled"))))
+    covered = overlapped(stamps, words).where("n_words >= 3").select("page_id", *row("STAMP_OVERLAP", "error", F.format_string("three words or more lie under stamp %d and may be unreadable", F.col("nth") + 1)))
     out = many.unionByName(covered)
     if require:
         low = F.lower(F.coalesce("text", F.lit("")))
         bare = pages.where(~_any(low, TERMS) & ~_any(low, DIGITAL)).join(counts, "page_id", "left_anti")
-        out = out.unionByName(bare.select("page_id", *row("STAMP_MISSING", "error", F.lit("No stamp/seal detected and no signature, lekhpal, or certified wording was found in the OCR text."))))
+        out = out.unionByName(bare.select("page_id", *row("STAMP_MISSING", "error", F.lit("neither a stamp nor any word of a signature or certificate was found"))))
     return out

@@ -237,11 +237,15 @@ _SCRIPTS = {"hin": "खसरा", "ben": "জমির", "pan": "ਜਮੀਨ",
 _SCRIPT_NAMES = ", ".join(f"'{k}'" for k in (*_SCRIPTS, "eng"))
 
 
-@_query(f"SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) > 24 OR doc_id % 9 = 8 THEN 'eng' ELSE [{_SCRIPT_NAMES}][1 + doc_id % 9] END AS script FROM (SELECT doc_id, substring(text, 1, 40) AS text FROM documents)")
+@_query(f"""SELECT doc_id, CASE WHEN doc_id % 9 = 8 OR length(regexp_replace(text, '[^A-Za-z]', '', 'g')) > 4 * (6 + CASE WHEN doc_id % 2 = 0 THEN length(text) // 4 ELSE 0 END) THEN 'eng'
+ ELSE [{_SCRIPT_NAMES}][1 + doc_id % 9] END AS script FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def detect_script(spark, d):
-    """The first words of a text, behind six times a word of a script: it counts where Latin letters are not more."""
-    words = F.array(*[F.repeat(F.lit(w), 6) for w in _SCRIPTS.values()], F.lit(""))
-    made = F.concat(F.get(words, (F.col("doc_id") % 9).cast("int")), F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    """Whole texts behind words of a script, six or, before every second text, as many as outweigh it: the script counts where
+    Latin letters are not more."""
+    text = F.coalesce("text", F.lit(""))
+    times = 6 + F.when(F.col("doc_id") % 2 == 0, F.floor(F.length(text) / 4)).otherwise(0)
+    word = F.get(F.array(*[F.lit(w) for w in _SCRIPTS.values()], F.lit("")), (F.col("doc_id") % 9).cast("int"))
+    made = F.concat(F.repeat(word, times.cast("int")), text)
     return R.table(spark, d, "documents").select("doc_id", layout.detect_script(made).alias("script"))
 
 
@@ -663,7 +667,7 @@ def extraction_scorecard(spark, d):
     return extract.scorecard(expected, extract.extract_text(_form_texts(spark, d)))
 
 
-from . import changes, lists  # noqa: E402, F401 - they register their queries
+from . import changes, lists, measures  # noqa: E402, F401 - they register their queries
 
 
 def queries() -> dict[str, Query]:

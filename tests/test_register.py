@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import random
 from difflib import SequenceMatcher
 
 import duckdb
@@ -9,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.functions import text as X
-from registrum.operators import extract, layout, memory, rules
+from registrum.operators import extract, layout, memory, rules, stamps
 from registrum.plans import queries as Q
+from registrum.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -142,3 +144,38 @@ UNITS = {"2 হেক্টর": "hectare", "2 ஏக்கர்": "acre", "2 
 def test_units_of_other_scripts(spark):
     rows = spark.createDataFrame([(t,) for t in UNITS], "t string").select("t", X.area_unit(X.nfkc(F.col("t"))).alias("u")).collect()
     assert {r.t: r.u for r in rows} == UNITS
+
+
+def test_plausible_stamps(spark):
+    """The larger of two boxes that overlap stays; where too many stay, none is a stamp."""
+    r = random.Random(3)
+    pages = [[(r.randrange(400), r.randrange(400), r.randrange(20, 200), r.randrange(20, 200)) for _ in range(r.randrange(8))] for _ in range(60)] + [[(100 * k, 0, 50, 50) for k in range(stamps.MOST + 1)]]
+
+    def shared(a, b):
+        both = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        return both / (a[2] * a[3] + b[2] * b[3] - both)
+
+    def brute(boxes):
+        kept = []
+        for b in sorted(boxes, key=lambda b: (-b[2] * b[3], b)):
+            if all(shared(k, b) < stamps.SAME for k in kept):
+                kept.append(b)
+        return kept if len(kept) <= stamps.MOST else []
+
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, boxes array<struct<x:int,y:int,w:int,h:int>>")
+    found = {p.page_id: [tuple(b) for b in p.kept] for p in rows.select("page_id", stamps.plausible(F.col("boxes")).alias("kept")).collect()}
+    assert found == {k: brute(boxes) for k, boxes in enumerate(pages)}
+    assert found[60] == [] and any(len(x) < len(p) for x, p in zip(found.values(), pages, strict=False))
+
+
+def test_a_unit_without_an_area_is_blank(spark):
+    docs = spark.createDataFrame([(1, "Area : 2.5 acre"), (2, "Unit : acre"), (3, "Area : acre")], "doc_id long, text string")
+    found = {(r.doc_id, r.field_name): r.value for r in extract.extract_text(docs, [*extract.lexicon(), ("area_unit", "unit", 1.0)]).collect()}
+    assert found[1, "area_unit"] == "acre" and found[1, "plot_area"] == "2.5"
+    assert found[2, "area_unit"] == found[2, "plot_area"] == "" and found[3, "area_unit"] == ""
+
+
+def test_file_types(spark):
+    names = {"a.PDF": True, "b.x.jpg": True, "c": False, "pdf": False, "d.exe": False, "e.": False, "f.webp": True}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", files.allowed(F.col("n")).alias("ok")).collect()
+    assert {r.n: r.ok for r in rows} == names
