@@ -11,13 +11,18 @@ CHAR_W, LINE_STEP, FIRST_Y, HEIGHT = 10, 38, 40, 26
 SCRIPTS = {"hin": r"[\x{0900}-\x{097F}]", "ben": r"[\x{0980}-\x{09FF}]", "pan": r"[\x{0A00}-\x{0A7F}]", "guj": r"[\x{0A80}-\x{0AFF}]", "tam": r"[\x{0B80}-\x{0BFF}]", "tel": r"[\x{0C00}-\x{0C7F}]", "kan": r"[\x{0C80}-\x{0CFF}]", "mal": r"[\x{0D00}-\x{0D7F}]"}
 
 
+def begins_of_words(raw: str, marks: tuple[str, ...] = (" ",)) -> Column:
+    """Where the words of a line begin, cut at each mark (one character): from the marks' places, one step for each character."""
+    after = F.transform(F.split(F.col(raw), ""), lambda c, i: F.when(c.isin(*marks), i + 1))
+    return F.concat(F.array(F.lit(0)), F.filter(after, lambda i: i.isNotNull()))
+
+
 def words_of(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """A row for each word with its place on the grid: id, line, pos, text, x, y, w, h."""
     lines = docs.select(id_column, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
     # a word's column is the length of the line before it: known inside the row, so nothing is shuffled
     parts = F.split("raw", " ")
-    begins = F.aggregate(parts, F.array(F.lit(0)), lambda at, w: F.array_append(at, F.element_at(at, -1) + F.length(w) + 1))
-    words = lines.select(id_column, "line", F.posexplode(F.arrays_zip(parts.alias("text"), F.slice(begins, F.lit(1), F.size(parts)).alias("at"))).alias("pos", "w"))
+    words = lines.select(id_column, "line", F.posexplode(F.arrays_zip(parts.alias("text"), begins_of_words("raw").alias("at"))).alias("pos", "w"))
     placed = words.select(id_column, "line", "pos", F.col("w.text").alias("text"), (F.col("w.at") * CHAR_W).cast("long").alias("x"))
     return placed.where("text <> ''").select(id_column, "line", "pos", "text", "x", (F.col("line") * LINE_STEP + FIRST_Y).cast("long").alias("y"), (F.length("text") * CHAR_W).cast("long").alias("w"), F.lit(HEIGHT).cast("long").alias("h"))
 

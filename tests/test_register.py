@@ -179,3 +179,14 @@ def test_file_types(spark):
     names = {"a.PDF": True, "b.x.jpg": True, "c": False, "pdf": False, "d.exe": False, "e.": False, "f.webp": True}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", files.allowed(F.col("n")).alias("ok")).collect()
     assert {r.n: r.ok for r in rows} == names
+
+
+def test_words_of_a_long_line(spark):
+    words = ["", "ab", "é", "𝒳y", "", "x" * 30] * 4000
+    rows = layout.words_of(spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None)], "doc_id long, text string")).orderBy("pos").collect()
+    at, want = 0, []
+    for k, w in enumerate(words):
+        if w:
+            want.append((k, w, at * layout.CHAR_W))
+        at += len(w) + 1
+    assert [(r.pos, r.text, r.x) for r in rows] == want
