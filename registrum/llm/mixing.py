@@ -37,8 +37,8 @@ from .common import cut, mix, narrow, prepare, texts_of
 SHARD, SHARDS_AT_ONCE = 1024, 64
 #: Bytes of source names that may be broadcast; more are joined.
 BROADCAST_BYTES = 16 << 20
-#: What numpy's hypergeometric draws can hold; larger counts are split in proportion, which differs by less than chance would.
-_MOST_DRAWN = 1_000_000_000
+#: What numpy's hypergeometric draws can hold, and the tries made at a time where counts are larger.
+_MOST_DRAWN, _TRIES = 1_000_000_000, 1 << 16
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -128,19 +128,31 @@ def _placed(docs: DataFrame, row: str | None) -> DataFrame:
     return rows.join(offsets, same).select("doc_id", "source", "size", *key, (F.col("inside") + F.col("before")).alias("first"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n drawn without replacement are good, exactly for counts of any size: two binomials of one chance are drawn until
+    they add up to n, which leaves the first one so distributed. That takes about the square root of good + bad tries."""
+    if good + bad < _MOST_DRAWN:
+        return int(rng.hypergeometric(good, bad, n))
+    if not (0 < n < good + bad and good and bad):
+        return n if not bad else good if n else 0
+    while True:
+        x, y = (rng.binomial(k, n / (good + bad), _TRIES) for k in (good, bad))
+        hit = np.flatnonzero(x + y == n)
+        if len(hit):
+            return int(x[hit[0]])
+
+
 def split(counts: np.ndarray, left: int, seed: tuple[int, ...]) -> np.ndarray:
     """So many of the counts go left, drawn without replacement."""
-    total = int(counts.sum())
+    rest = int(counts.sum())
     rng = np.random.default_rng(seed)
-    if total < _MOST_DRAWN:
+    if rest < _MOST_DRAWN:
         return rng.multivariate_hypergeometric(counts, left, method="marginals")
-    out = np.minimum(np.floor(counts * (left / total)).astype(np.int64), counts)
-    short = left - int(out.sum())
-    while short:  # what rounding left over, by chance
-        s, step = int(rng.integers(len(counts))), 1 if short > 0 else -1
-        if 0 <= out[s] + step <= counts[s]:
-            out[s] += step
-            short -= step
+    out = np.zeros_like(counts)
+    for s, count in enumerate(counts.tolist()):  # one source after the other, each against all that follow
+        rest -= count
+        out[s] = hypergeometric(rng, count, rest, left) if left else 0
+        left -= int(out[s])
     return out
 
 
