@@ -252,5 +252,14 @@ def parse_value(kind: Column, x: Column) -> Column:
     return let(x, parse)
 
 
+#: How many characters of each field a record stores.
+LENGTHS = {"owner_name": 200, "father_name": 200, "survey_number": 120, "subdivision_number": 60, "khasra_number": 120, "khata_number": 120, "area_unit": 32, "village": 120, "tehsil": 120, "district": 120, "state": 120, "pincode": 10, "address": 300, "land_classification": 160, "ownership_type": 80, "mutation_number": 60, "mutation_date": 20, "registration_number": 60, "registration_date": 20}
+
+
+def stored(field: str) -> Column:
+    """A field's value as a record stores it: null as empty, cut to the field's length."""
+    return F.substring(text_or_empty(F.col(field)), 1, LENGTHS[field])
+
+
 def conf_class(x: Column) -> Column:
     return F.when(x >= 0.85, "ok").when(x >= 0.60, "warn").otherwise("bad")

@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import dashboard as dashboards
-from ..operators import rules
+from ..operators import filters, rules
 from ..operators.paging import OrderedList
 from ..operators.search import SubstringIndex
 from ..sources import json_walk
@@ -91,6 +92,25 @@ def page_after(spark, d):
     return listed.after(key.asDict(), 25).drop("created_at")
 
 
+@_query(with_views("""SELECT document_id, original_name, state_name, d.status AS status, record_id, record_status, count(*) OVER () AS count, 3::BIGINT AS page, ceil(count(*) OVER () / 20.0)::BIGINT AS pages
+ FROM (SELECT docs.*, record_id, recs.status AS record_status FROM docs LEFT JOIN recs ON record_id = document_id WHERE docs.status = 'PROCESSED') d ORDER BY uploaded_at DESC, document_id DESC LIMIT 20 OFFSET 40"""))
+def documents_api(spark, d):
+    """The third page of the processed documents, newest first, each with its record if it has one, and the envelope."""
+    docs = R.documents(spark, d).where("status = 'PROCESSED'")
+    rows = filters.page(docs, [F.desc("uploaded_at"), F.desc("document_id")], 3, 20)
+    own = R.records(spark, d).select("record_id", F.col("status").alias("record_status"))
+    rows = rows.join(own, rows["document_id"] == own["record_id"], "left")
+    return rows.select("document_id", "original_name", "state_name", "status", "record_id", "record_status", "count", "page", "pages")
+
+
+@_query(with_views("SELECT record_id, left(repeat(village || ' ', 1 + record_id % 12), 120) AS village, left(pincode || '-' || record_id, 10) AS pincode, owner_name FROM recs"))
+def stored_records(spark, d):
+    """Values as a record stores them: no longer than their column."""
+    long = {"village": F.repeat(F.concat("village", F.lit(" ")), (1 + F.col("record_id") % 12).cast("int")), "pincode": F.concat("pincode", F.lit("-"), "record_id")}
+    rows = R.records(spark, d).withColumns(long)
+    return rows.select("record_id", *[X.stored(c).alias(c) for c in ("village", "pincode", "owner_name")])
+
+
 _LANGUAGES = ("eng", "hin", "tam", "")
 
 
