@@ -308,15 +308,16 @@ def linked_sets(docs: DataFrame, n: int, threshold: int, make: Callable[[], Keys
     others = cut(full.select("row", *SET).join(classes, SET).where("row <> node").select("row"))
     others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
     firsts = full.join(others, "row", "left_anti").withColumnRenamed("row", "node")
-    postings = firsts.select("node", "n_shingles", F.explode(F.array_distinct("keys")).alias("gram"))
+    postings = firsts.select("node", "doc_id", "n_shingles", F.explode(F.array_distinct("keys")).alias("gram"))
     shared = postings.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("gram")
     lists = cut(postings.join(shared, "gram"))
     profiles = firsts.select("node", "n_shingles", "profile")
     # leaders of about the member's size: in one bucket sizes differ by less than the threshold allows
     bucket = F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / threshold)) or 1.0)) if threshold < 100 else F.col("n_shingles")
     lists = lists.withColumn("bucket", bucket)
-    leaders = lists.groupBy("gram", "bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    first = cut(lists.join(leaders, ["gram", "bucket"]).where("node > a").select("a", F.col("node").alias("b")).distinct())
+    # the least doc_id leads: what copies were made of is mostly the first of them
+    leaders = lists.groupBy("gram", "bucket").agg(F.min(F.struct("doc_id", "node"))["node"].alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = cut(lists.join(leaders, ["gram", "bucket"]).where("node <> a").select("a", F.col("node").alias("b")).distinct())
     possible = cut(_possible(first, profiles, threshold))
     links = cut(_search(possible, _fetched(known, classes, possible, n), threshold, overlaps))
     joined = cut(grouped(links))
@@ -329,7 +330,7 @@ def linked_sets(docs: DataFrame, n: int, threshold: int, make: Callable[[], Keys
     x, y = short.alias("x"), short.alias("y")
     fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {threshold}"
     pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.node < y.node AND x.component <> y.component").where(fits)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     possible = cut(_possible(pairs, profiles, threshold).unionByName(_blocks(long, profiles, threshold)).distinct())
     links = cut(links.unionByName(_search(possible, _fetched(known, classes, possible, n), threshold, overlaps)))
     # ids come back: the least of each component's classes
