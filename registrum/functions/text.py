@@ -39,7 +39,7 @@ DATE_DMY = r"\b(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})\b"
 DATE_YMD = r"\b(\d{4})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{1,2})\b"
 DATE_D_MONTH = r"\b(\d{1,2})\s*(?:st|nd|rd|th)?[\s\-,]+([A-Za-z]{3,9})[\s\-,]+(\d{2,4})\b"
 DATE_MONTH_D = r"\b([A-Za-z]{3,9})[\s\-,]+(\d{1,2})(?:st|nd|rd|th)?[\s\-,]+(\d{2,4})\b"
-PLOT = r"\b(?:[A-Za-z]{1,4}[-/])?\d{1,6}[A-Za-z]{0,2}(?:\s*[/-]\s*\d{1,5}[A-Za-z]{0,2}|\s*[/-]\s*[A-Za-z]{1,2}\b){0,3}"
+PLOT = r"\b(?:[A-Za-z]{1,4}[-/])?\d+[A-Za-z]{0,2}(?:\s*[/-]\s*\d+[A-Za-z]{0,2}|\s*[/-]\s*[A-Za-z]{1,2}\b){0,3}"
 PIN = r"\b([1-9]\d{2}\s?\d{3})\b"
 JUNK = r"(?i)^(?:n/?a|nil|none|-+|not\s*available|value|particulars|details)$"
 HEADING = r"(?i)government\s+of|department\s+of|office\s+of|revenue\s+code|form\s+no|prescribed|record\s+of\s+rights|extract|certificate"

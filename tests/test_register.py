@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registrum.functions import text as X
-from registrum.operators import extract, layout, memory, rules, stamps
+from registrum.operators import cells, extract, layout, memory, rules, stamps
 from registrum.plans import queries as Q
 from registrum.sources import files
 
@@ -190,3 +190,12 @@ def test_words_of_a_long_line(spark):
             want.append((k, w, at * layout.CHAR_W))
         at += len(w) + 1
     assert [(r.pos, r.text, r.x) for r in rows] == want
+
+
+def test_identifiers_of_any_length(spark):
+    texts = ["1234567/3", "12-1234567", "K12345678A"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.plot_id(F.col("t")).alias("id")).collect()
+    assert {r.t: r.id for r in rows} == {"1234567/3": "1234567/3", "12-1234567": "12-1234567", "K12345678A": "K12345678A"}
+    table = [(1, 0, 0, "Survey No.", 0.9), (1, 1, 0, "1234567/3", 0.8)]
+    found = cells.cell_fields(spark.createDataFrame(table, "doc_id long, row int, col int, text string, conf double")).collect()
+    assert [(r.field, r.value) for r in found] == [("survey_number", "1234567/3")]
