@@ -41,6 +41,7 @@ DATE_D_MONTH = r"\b(\d{1,2})\s*(?:st|nd|rd|th)?[\s\-,]+([A-Za-z]{3,9})[\s\-,]+(\
 DATE_MONTH_D = r"\b([A-Za-z]{3,9})[\s\-,]+(\d{1,2})(?:st|nd|rd|th)?[\s\-,]+(\d{2,4})\b"
 PLOT = r"\b(?:[A-Za-z]{1,4}[-/])?\d+[A-Za-z]{0,2}(?:\s*[/-]\s*\d+[A-Za-z]{0,2}|\s*[/-]\s*[A-Za-z]{1,2}\b){0,3}"
 PIN = r"\b([1-9]\d{2}\s?\d{3})\b"
+PIN_ALONE = rf"(?<!\d/){PIN}(?!\s*/\s*\d)"
 JUNK = r"(?i)^(?:n/?a|nil|none|-+|not\s*available|value|particulars|details)$"
 HEADING = r"(?i)government\s+of|department\s+of|office\s+of|revenue\s+code|form\s+no|prescribed|record\s+of\s+rights|extract|certificate"
 NAME_TOKEN = r"^[A-Za-zऀ-෿‌‍][A-Za-zऀ-෿‌‍.'’\-]*$"
@@ -110,9 +111,10 @@ def plot_id(x: Column) -> Column:
     return F.nullif(parse_plot_id(x)["value"], F.lit(""))
 
 
-def pin_code(x: Column) -> Column:
-    """Six digits, the first not 0, with or without a space in the middle; else null."""
-    return F.nullif(F.regexp_replace(F.regexp_extract(text_or_empty(x), PIN, 1), " ", ""), F.lit(""))
+def pin_code(x: Column, pattern: str = PIN) -> Column:
+    """Six digits, the first not 0, with or without a space in the middle; else null. By PIN_ALONE not those that a stroke ties
+    to another number, as in an identifier."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(text_or_empty(x), pattern, 1), " ", ""), F.lit(""))
 
 
 def area_unit(x: Column) -> Column:

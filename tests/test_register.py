@@ -199,3 +199,10 @@ def test_identifiers_of_any_length(spark):
     table = [(1, 0, 0, "Survey No.", 0.9), (1, 1, 0, "1234567/3", 0.8)]
     found = cells.cell_fields(spark.createDataFrame(table, "doc_id long, row int, col int, text string, conf double")).collect()
     assert [(r.field, r.value) for r in found] == [("survey_number", "1234567/3")]
+
+
+def test_an_identifier_is_no_pin_code(spark):
+    """Six digits before or after a stroke belong to an identifier; alone they are a PIN code without its label."""
+    docs = spark.createDataFrame([(1, "Survey No : 164999/7"), (2, "Survey No : 7/164999"), (3, "Rampur 600 100"), (4, "Rampur-600100")], "doc_id long, text string")
+    found = {(r.doc_id, r.field_name): r.value for r in extract.extract_text(docs).where("value <> ''").collect()}
+    assert found == {(1, "survey_number"): "164999/7", (2, "survey_number"): "7/164999", (3, "pincode"): "600100", (4, "pincode"): "600100"}
