@@ -5,6 +5,7 @@ value of quality 0."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -33,6 +34,18 @@ UNIT_PATTERNS = {
     "ground": r"grounds?\b",
     "are": r"\bares?\b|आर",
 }
+
+
+def _any_unit(parts: list[str]) -> str:
+    """One pattern for all units; a look at the first letter spares most places of a text the list of names."""
+    latin, others = [p for p in parts if p.isascii()], [p for p in parts if not p.isascii()]
+    firsts = "".join(sorted({p.removeprefix(r"\b")[0] for p in latin}))
+    return rf"(?i)(?=[{firsts}])(?:{'|'.join(latin)})|(?=[\x{{0900}}-\x{{0DFF}}])(?:{'|'.join(others)})"
+
+
+_UNIT_NAMES = [p for pattern in UNIT_PATTERNS.values() for p in re.split(r"\|(?![^(]*\))", pattern)]
+#: Any unit, and any unit whatever stands beside it: without the second no part of a text holds the first.
+ANY_UNIT, ANY_UNIT_LETTERS = _any_unit(_UNIT_NAMES), _any_unit([p.replace(r"\b", "") for p in _UNIT_NAMES])
 #: Patterns of the typed values, words that no value is, and hints.
 NUMBER = r"\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 DATE_DMY = r"\b(\d{1,2})\s*[/\-.]\s*(\d{1,2})\s*[/\-.]\s*(\d{2,4})\b"
@@ -89,9 +102,8 @@ def smart_case(x: Column) -> Column:
 
 def found(value: Column, quality: Column | float, unit: Column | None = None) -> Column:
     """What each parser returns: value string, quality double, unit string."""
-    value = text_or_empty(value)
-    quality = F.when(value == "", 0.0).otherwise(quality if isinstance(quality, Column) else F.lit(quality))
-    return F.struct(value.alias("value"), quality.cast("double").alias("quality"), (F.lit("") if unit is None else text_or_empty(unit)).alias("unit"))
+    quality = quality if isinstance(quality, Column) else F.lit(quality)
+    return let(text_or_empty(value), lambda v: F.struct(v.alias("value"), F.when(v == "", 0.0).otherwise(quality).cast("double").alias("quality"), (F.lit("") if unit is None else text_or_empty(unit)).alias("unit")))
 
 
 def parse_plot_id(x: Column) -> Column:
@@ -122,14 +134,12 @@ def area_unit(x: Column) -> Column:
     low, out = F.lower(text_or_empty(x)), F.lit(None).cast("string")
     for unit, pattern in reversed(UNIT_PATTERNS.items()):
         out = F.when(low.rlike(pattern), unit).otherwise(out)
-    return out
+    return F.when(low.rlike(ANY_UNIT), out)
 
 
 def parse_area(x: Column, require_unit: bool = False) -> Column:
     """(value double, unit, quality) of the first number above 0 and below 1e8, null without one. Its unit stands in the
     24 characters after it, or in those of the 16 before it that follow the number before. '1 25 acre' is 1.25."""
-    any_unit = "(?i)" + "|".join(UNIT_PATTERNS.values())
-
     def parse(t: Column) -> Column:
         parts = F.arrays_zip(F.regexp_extract_all(t, F.lit(rf"({NUMBER})"), F.lit(1)).alias("number"), F.regexp_extract_all(t, F.lit(rf"(?:{NUMBER})(?=([\s\S]{{0,24}}))"), F.lit(1)).alias("after"), F.split(t, NUMBER).alias("before"))
         rows = F.transform(parts, lambda p: F.struct(F.regexp_replace(p["number"], ",", "").cast("double").alias("value"), F.coalesce(area_unit(p["after"]), area_unit(F.right(p["before"], F.lit(16))), F.lit("")).alias("unit")))
@@ -137,7 +147,8 @@ def parse_area(x: Column, require_unit: bool = False) -> Column:
         return let(F.get(fits, F.lit(0)), lambda r: F.when(r.isNotNull(), F.struct(r["value"].alias("value"), r["unit"].alias("unit"), F.when(r["unit"] != "", 1.0).otherwise(0.6).alias("quality"))))
 
     t = text_or_empty(x)
-    return let(F.when(t.rlike(any_unit), F.regexp_replace(t, r"\b(\d{1,3})\s+(\d{2})\s*(?=[A-Za-zऀ-෿])", "$1.$2 ")).otherwise(t), parse)
+    got = let(F.when(t.rlike(ANY_UNIT), F.regexp_replace(t, r"\b(\d{1,3})\s+(\d{2})\s*(?=[A-Za-zऀ-෿])", "$1.$2 ")).otherwise(t), parse)
+    return F.when(t.rlike(ANY_UNIT_LETTERS), got) if require_unit else got
 
 
 def area_value(x: Column) -> Column:
@@ -176,12 +187,16 @@ def parse_date(x: Column) -> Column:
     def parse(t: Column) -> Column:
         number = lambda p, g: F.nullif(F.regexp_extract(t, p, g), F.lit("")).cast("int")
         month = lambda p, g: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(t, p, g), 1, 3))), F.lit(0)).cast("int")
-        iso = _day(number(DATE_YMD, 3), number(DATE_YMD, 2), number(DATE_YMD, 1))
-        d, m, y = (number(DATE_DMY, g) for g in (1, 2, 3))
-        swapped = F.when(d.between(1, 12), _day(m, d, y))
-        named = _day(number(DATE_D_MONTH, 1), month(DATE_D_MONTH, 2), number(DATE_D_MONTH, 3))
-        american = _day(number(DATE_MONTH_D, 2), month(DATE_MONTH_D, 1), number(DATE_MONTH_D, 3))
-        return F.coalesce(iso, _day(d, m, y), swapped, named, american, F.lit(""))
+
+        def of(d: Column, m: Column, y: Column, swaps: bool = False) -> Column:  # the three numbers are read once
+            day = lambda p: F.coalesce(_day(p["d"], p["m"], p["y"]), F.when(p["d"].between(1, 12), _day(p["m"], p["d"], p["y"]))) if swaps else _day(p["d"], p["m"], p["y"])
+            return let(F.struct(d.alias("d"), m.alias("m"), y.alias("y")), day)
+
+        iso = of(number(DATE_YMD, 3), number(DATE_YMD, 2), number(DATE_YMD, 1))
+        plain = of(*(number(DATE_DMY, g) for g in (1, 2, 3)), swaps=True)
+        named = of(number(DATE_D_MONTH, 1), month(DATE_D_MONTH, 2), number(DATE_D_MONTH, 3))
+        american = of(number(DATE_MONTH_D, 2), month(DATE_MONTH_D, 1), number(DATE_MONTH_D, 3))
+        return F.when(t.rlike(r"\d"), F.coalesce(iso, plain, named, american, F.lit(""))).otherwise("")
 
     return let(text_or_empty(x), parse)
 
@@ -206,11 +221,15 @@ def parse_name(x: Column, most: int = 5) -> Column:
     def take(ws: Column) -> Column:
         one = F.array_position(F.transform(ws, lambda w: F.length(w)), 1)
         bad = lambda w, i: ~w.rlike(NAME_TOKEN) | F.lower(w).isin(STOP_VALUES) | ((F.length(w) == 1) & (i + 1 > one))
-        stop = F.coalesce(F.array_min(F.transform(ws, lambda w, i: F.when(bad(w, i), i))), F.lit(1 << 30))
-        kept = F.least(stop, F.size(ws), F.lit(most))
-        value = F.array_join(F.slice(ws, F.lit(1), kept), " ")
-        quality = F.when(stop < most, 0.7).otherwise(1.0) * F.when(kept > 4, 0.8).otherwise(1.0)
-        return found(F.when(F.length(F.regexp_replace(value, r"[^\p{L}]", "")) >= 3, F.substring(smart_case(value), 1, 120)), quality)
+        first_bad = F.coalesce(F.array_min(F.transform(ws, lambda w, i: F.when(bad(w, i), i))), F.lit(1 << 30))
+
+        def until(stop: Column) -> Column:
+            kept = F.least(stop, F.size(ws), F.lit(most))
+            quality = F.when(stop < most, 0.7).otherwise(1.0) * F.when(kept > 4, 0.8).otherwise(1.0)
+            named = let(F.array_join(F.slice(ws, F.lit(1), kept), " "), lambda v: F.when(F.length(F.regexp_replace(v, r"[^\p{L}]", "")) >= 3, F.substring(smart_case(v), 1, 120)))
+            return found(named, quality)
+
+        return let(first_bad, until)
 
     return let(let(F.trim(t), tokens), take)
 

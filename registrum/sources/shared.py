@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder; survives lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same as a compressed table by columns: several times smaller than a checkpoint, and only what is asked for is read."""
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/kept/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

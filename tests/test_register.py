@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from registrum.functions import text as X
 from registrum.operators import cells, extract, layout, memory, rules, stamps
 from registrum.plans import queries as Q
-from registrum.sources import files
+from registrum.sources import files, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -206,3 +206,28 @@ def test_an_identifier_is_no_pin_code(spark):
     docs = spark.createDataFrame([(1, "Survey No : 164999/7"), (2, "Survey No : 7/164999"), (3, "Rampur 600 100"), (4, "Rampur-600100")], "doc_id long, text string")
     found = {(r.doc_id, r.field_name): r.value for r in extract.extract_text(docs).where("value <> ''").collect()}
     assert found == {(1, "survey_number"): "164999/7", (2, "survey_number"): "7/164999", (3, "pincode"): "600100", (4, "pincode"): "600100"}
+
+
+def test_any_unit_is_the_list_of_units(spark):
+    """The quick pattern finds what the list of patterns finds, and no part of a text holds a unit that its letters deny."""
+    r = random.Random(4)
+    parts = ["12", "acre", "acreage", "Ha", "ha", "hazel", "share", "are", "sq. ft", "sqmtr", "एकड़", "आर", "வர்க்", "சதுர அடி", " ", "-", "x"]
+    texts = ["".join(r.choices(parts, k=r.randrange(1, 6))) for _ in range(500)]
+    plain = "(?i)" + "|".join(X.UNIT_PATTERNS.values())
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(t.rlike(plain).alias("plain"), t.rlike(X.ANY_UNIT).alias("quick"), F.substring(t, 1, 7).rlike(plain).alias("of_part"), t.rlike(X.ANY_UNIT_LETTERS).alias("letters")).collect()
+    assert all(r.plain == r.quick and (r.letters or not r.of_part) for r in rows)
+
+
+def test_windows_are_kept_compressed(spark):
+    """What the label search keeps takes less room than the checkpoint it was before."""
+    texts = [(k, f"SurveyNo:{k}/7\nRegistration No : REG-{k}") for k in range(3000)]
+    found = extract.windows(extract.lines_of(extract.words_of_text(spark.createDataFrame(texts, "doc_id long, text string"))), 30)
+    size = lambda folder: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    folder = shared.shared_folder(spark).removeprefix("file:")
+    begin = size(folder)
+    table = shared.kept(found)
+    columns = size(folder) - begin
+    held = shared.cut(found)
+    assert sorted(map(str, table.collect())) == sorted(map(str, held.collect()))
+    assert 3 * columns < size(folder) - begin - columns
