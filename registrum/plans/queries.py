@@ -528,8 +528,7 @@ def uploads_once(spark, d):
 @_query(with_views(_ISSUES + _issues_sql("1995-01-01", "iss2") + " SELECT * FROM iss UNION SELECT * FROM iss2"))
 def merged_issues(spark, d):
     """The issues of one day, and those of an earlier one that it lacks."""
-    r = R.records(spark, d)
-    return rules.merged_issues(rules.issues(r, AS_OF), rules.issues(r, "1995-01-01"))
+    return rules.issues_of_days(R.records(spark, d), [AS_OF, "1995-01-01"])
 
 
 @_query(with_views("SELECT record_id, original_name, state_name, overall_confidence FROM recs JOIN docs ON document_id = record_id"))

@@ -3,6 +3,7 @@
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -146,3 +147,29 @@ def test_five_rounds_of_corrections(spark):
         ids = sorted((r.id, r.raw_value) for r in known.collect())
     assert ids == [(40, "rampvr")] + [(41 + 3 * n + i, f"rampu{n}{x}") for n in range(5) for i, x in enumerate("abc")]
     assert memory.record_corrections(known, batch.limit(0), ("village",)).count() == 16
+
+
+def test_issues_of_days_equal_their_merge(spark):
+    rows = [(k, "o" if k % 2 else "", f"{k}//3" if k % 3 else "7", "", 1.0, "acre", "v", "d", "600100", f"0{1 + k % 9}/02/{1985 + k}", f"0{1 + k % 4}/02/{1985 + k}" if k % 4 else None) for k in range(40)]
+    r = spark.createDataFrame(rows, "record_id long, owner_name string, survey_number string, khasra_number string, plot_area double, area_unit string, village string, district string, pincode string, mutation_date string, registration_date string")
+    days = ["2005-01-01", "1995-01-01"]
+    want = rules.merged_issues(rules.issues(r, days[0]), rules.issues(r, days[1]))
+    found = rules.issues_of_days(r, days)
+    key = lambda x: (x.record_id, x.rule_code, x.message)
+    assert sorted(map(key, found.collect())) == sorted(map(key, want.collect()))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_correction_is_compared_once(spark, monkeypatch):
+    """Rows of one text are one before their likeness is computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        seen.add(len(a))
+        return pd.Series([1.0] * len(a))
+
+    monkeypatch.setattr(memory, "ratio", counted)
+    rows = spark.range(2000).selectExpr("'village' AS field_name", "'r0mpur' AS raw_value", "'Rampur' AS corrected_value")
+    assert memory.learnable(rows, ("village",)).count() == 1
+    assert seen.value == 1
