@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normal
-from ..sources.shared import cut
+from ..sources.shared import cut, kept
 
 #: Least similarity of a suggestion and of a correction worth learning, least length of both texts.
 SUGGEST_FROM, LEARN_FROM, SHORTEST = 0.88, 0.55, 3
@@ -76,9 +76,11 @@ def bump(memory: DataFrame, used: DataFrame) -> DataFrame:
 def learnable(corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """corrections: field_name, raw_value, corrected_value. Those worth remembering: of a learnable field, both long
     enough, different, and alike enough to be a misreading rather than other data."""
-    c = corrections.where(F.col("field_name").isin(*fields)).select("field_name", normal(F.col("raw_value")).alias("raw_value"), F.trim(F.regexp_replace(F.coalesce("corrected_value", F.lit("")), r"\s+", " ")).alias("corrected_value"))
+    c = corrections.where(F.col("field_name").isin(*fields)).select("field_name", "raw_value", "corrected_value").distinct()
+    c = c.select("field_name", normal(F.col("raw_value")).alias("raw_value"), F.trim(F.regexp_replace(F.coalesce("corrected_value", F.lit("")), r"\s+", " ")).alias("corrected_value"))
     c = c.where((F.length("raw_value") >= SHORTEST) & (F.length("corrected_value") >= SHORTEST) & (F.col("raw_value") != normal(F.col("corrected_value")))).distinct()
-    return c.where(ratio("raw_value", normal(F.col("corrected_value"))) >= LEARN_FROM)
+    # kept, as the filter would else go below the distinct and compare the texts of every row
+    return kept(c).where(ratio("raw_value", normal(F.col("corrected_value"))) >= LEARN_FROM)
 
 
 def record_corrections(memory: DataFrame, corrections: DataFrame, fields: tuple[str, ...]) -> DataFrame:
