@@ -2,8 +2,8 @@
 
 The document is parsed once to VARIANT. A frontier of nodes goes down level by level: of a node the first container that
 is not empty (``CONTAINERS``) is entered, a list is taken apart with each item's place, and a node without containers is
-a word if it has a text. The walk ends when no node is left to enter, so its rounds are as many as the levels of the deepest
-document, and all documents go down together. A word's place is the path of list positions that led to it, which is the
+a word if it has a text. ``LEVELS`` levels are entered inside of a row, then the nodes are dealt to rows; the walk ends when none
+is left to enter, so its rounds are the levels of the deepest document by ``LEVELS``, and all documents go down together. A word's place is the path of list positions that led to it, which is the
 order of a walk depth first.
 """
 
@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .shared import cut
+from .shared import kept
 
 #: Keys of a response that hold other nodes, a node's text, its certainty and its box, in the order they are looked at.
 CONTAINERS = ("regions", "tokens", "words", "lines")
 TEXTS, CONFIDENCES, BOXES, POINTS = ("source", "text", "target"), ("confidence", "conf"), ("boundingBox", "bbox"), ("vertices", "points")
 #: Certainty of a word without one.
 UNSURE = 0.9
+#: How many levels are entered inside of a row before what is left is kept and looked at.
+LEVELS = 6
 
 
 MEMBERS, ITEMS = "map<string,variant>", "array<variant>"
@@ -88,17 +90,34 @@ def words_of_json(responses: DataFrame, id_column: str = "doc_id", body: str = "
     nodes = responses.select(F.col(id_column), F.array().cast("array<int>").alias("path"), _root(body).alias("node"))
     found = None
     while True:
-        level = nodes.select(id_column, "path", _as(F.col("node"), ITEMS).alias("items"), _as(F.col("node"), MEMBERS).alias("m")).where("items IS NOT NULL OR m IS NOT NULL")
-        level = cut(level.withColumn("inner", _first("m", CONTAINERS)))
-        words = _words(level.where("items IS NULL AND inner IS NULL"), id_column, scale)
+        rows = nodes.select(id_column, F.explode(_below(F.array(F.struct("path", "node")), LEVELS)).alias("p")).select(id_column, "p.path", "p.node")
+        level = kept(rows.withColumn("enters", _inner(F.col("node")).isNotNull()))
+        words = _words(level.where("NOT enters").withColumn("m", _as(F.col("node"), MEMBERS)).where("m IS NOT NULL"), id_column, scale)
         found = words if found is None else found.unionByName(words)
-        inside = level.where("items IS NOT NULL OR inner IS NOT NULL")
-        if inside.isEmpty():
+        nodes = level.where("enters").select(id_column, "path", "node")
+        if nodes.isEmpty():
             return found
-        # a container is entered and, where it is a list, taken apart at once
-        inside = inside.withColumn("items", F.coalesce("items", _as(F.col("inner"), ITEMS)))
-        parts = F.when(F.col("items").isNull(), F.array(F.struct(F.col("path"), F.col("inner").alias("node")))).otherwise(F.transform("items", lambda x, i: F.struct(F.array_append("path", i).alias("path"), x.alias("node"))))
-        nodes = inside.select(id_column, F.explode(parts).alias("p")).select(id_column, "p.path", "p.node")
+
+
+def _inner(node: Column) -> Column:
+    """What is entered of a node: a list itself, an object's first filled container; null for a word or a plain value."""
+    names = [X.let(F.try_variant_get(node, f"$.{k}", "variant"), lambda v: F.when(_filled(v), v)) for k in CONTAINERS]
+    return F.when(_as(node, ITEMS).isNotNull(), node).otherwise(F.coalesce(*names))
+
+
+def _below(nodes: Column, levels: int) -> Column:
+    """An array of nodes, each that can be entered replaced by what it holds, so many times."""
+
+    def enter(n: Column) -> Column:
+        def parts(inner: Column) -> Column:
+            taken = lambda items: F.when(items.isNull(), F.array(F.struct(n["path"].alias("path"), inner.alias("node")))).otherwise(F.transform(items, lambda x, i: F.struct(F.array_append(n["path"], i).alias("path"), x.alias("node"))))
+            return F.when(inner.isNull(), F.array(n)).otherwise(X.let(_as(inner, ITEMS), taken))
+
+        return X.let(_inner(n["node"]), parts)
+
+    for _ in range(levels):
+        nodes = F.flatten(F.transform(nodes, enter))
+    return nodes
 
 
 def _words(nodes: DataFrame, id_column: str, scale: float) -> DataFrame:

@@ -1,5 +1,6 @@
 """Finding things: words in nested JSON, substring search, deep pages, the dashboard."""
 
+import functools
 import json
 import random
 
@@ -166,3 +167,18 @@ def test_dashboard_scans_each_table_once(spark, tmp_path):
     assert found["month", "2024-05", "n"] == 50 and ("state", "", "n") not in found
     none = {(r.series, r.measure): r.value for r in dashboard.documents(spark.read.parquet(path).limit(0)).collect()}
     assert none == {("total", "documents"): 0.0, ("total", "processed"): 0.0, ("total", "failed"): 0.0, ("total", "processed_pct"): 0.0}
+
+
+def test_levels_are_entered_inside_of_a_row(spark, monkeypatch):
+    """As many levels as LEVELS take one round (a round each before); deeper documents are walked to their end."""
+    rounds, kept = [], json_walk.kept
+    monkeypatch.setattr(json_walk, "kept", lambda df: rounds.append(1) or kept(df))
+
+    def nested(depth):
+        return json.dumps(functools.reduce(lambda inner, _: {"lines": [inner]}, range(depth), {"text": "a"}))
+
+    for depth, most in ((1, 1), (3, 1), (2 * json_walk.LEVELS + 1, 3)):
+        rounds.clear()
+        words = json_walk.words_of_json(spark.createDataFrame([(1, nested(depth))], "doc_id long, body string")).collect()
+        assert [w.text for w in words] == ["a"]
+        assert len(rounds) <= most, depth
