@@ -90,8 +90,8 @@ def words_of_json(responses: DataFrame, id_column: str = "doc_id", body: str = "
     nodes = responses.select(F.col(id_column), F.array().cast("array<int>").alias("path"), _root(body).alias("node"))
     found = None
     while True:
-        rows = nodes.select(id_column, F.explode(_below(F.array(F.struct("path", "node")), LEVELS)).alias("p")).select(id_column, "p.path", "p.node")
-        level = kept(rows.withColumn("enters", _inner(F.col("node")).isNotNull()))
+        rows = nodes.select(id_column, F.explode(_below(F.array(F.struct("path", "node", F.lit(False).alias("done"))), LEVELS)).alias("p")).select(id_column, "p.*")
+        level = kept(rows.select(id_column, "path", "node", (~F.col("done") & _inner(F.col("node")).isNotNull()).alias("enters")))
         words = _words(level.where("NOT enters").withColumn("m", _as(F.col("node"), MEMBERS)).where("m IS NOT NULL"), id_column, scale)
         found = words if found is None else found.unionByName(words)
         nodes = level.where("enters").select(id_column, "path", "node")
@@ -106,14 +106,14 @@ def _inner(node: Column) -> Column:
 
 
 def _below(nodes: Column, levels: int) -> Column:
-    """An array of nodes, each that can be entered replaced by what it holds, so many times."""
+    """An array of nodes, each that can be entered replaced by what it holds, so many times. done: looked at, and nothing to enter."""
 
     def enter(n: Column) -> Column:
         def parts(inner: Column) -> Column:
-            taken = lambda items: F.when(items.isNull(), F.array(F.struct(n["path"].alias("path"), inner.alias("node")))).otherwise(F.transform(items, lambda x, i: F.struct(F.array_append(n["path"], i).alias("path"), x.alias("node"))))
-            return F.when(inner.isNull(), F.array(n)).otherwise(X.let(_as(inner, ITEMS), taken))
+            taken = lambda items: F.when(items.isNull(), F.array(F.struct(n["path"].alias("path"), inner.alias("node"), F.lit(False).alias("done")))).otherwise(F.transform(items, lambda x, i: F.struct(F.array_append(n["path"], i).alias("path"), x.alias("node"), F.lit(False).alias("done"))))
+            return F.when(inner.isNull(), F.array(F.struct(n["path"].alias("path"), n["node"].alias("node"), F.lit(True).alias("done")))).otherwise(X.let(_as(inner, ITEMS), taken))
 
-        return X.let(_inner(n["node"]), parts)
+        return F.when(n["done"], F.array(n)).otherwise(X.let(_inner(n["node"]), parts))
 
     for _ in range(levels):
         nodes = F.flatten(F.transform(nodes, enter))
