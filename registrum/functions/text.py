@@ -208,7 +208,7 @@ def date_parts(x: Column) -> Column:
     t = F.trim(text_or_empty(x))
     y = F.nullif(F.regexp_extract(t, form, 3), F.lit("")).cast("int")
     year = F.when(y < 50, y + 2000).when(y < 100, y + 1900).otherwise(y)
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(F.regexp_extract(t, form, 2), 2, "0"), F.lpad(F.regexp_extract(t, form, 1), 2, "0")), "yyyy-MM-dd")
+    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(F.regexp_extract(t, form, 2), 2, "0"), F.lpad(F.regexp_extract(t, form, 1), 2, "0")).try_cast("date")
 
 
 def parse_name(x: Column, most: int = 5) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import memory, rules
 from ..sources import register as R
 from ..sources.keyed import KeyedTable
-from ..sources.shared import shared_folder
+from ..sources.shared import kept, shared_folder
 from .queries import AS_OF, _issues_sql, _query, with_views
 
 #: The duplicates of the records in a table, as the rules state them: every pair, then a message from the first five.
@@ -42,6 +42,11 @@ _EDITED_ISSUES = _EDITED + _issues_sql(AS_OF, "ed_iss").replace("FROM recs", "FR
  UNION ALL SELECT record_id, 'STATE_DISTRICT', 'district', 'warning', district || ' is not listed under ' || state FROM ed WHERE lower(state) IN (SELECT lower(r_name) FROM pl) AND NOT EXISTS (SELECT 1 FROM pl WHERE lower(r_name) = lower(state) AND lower(n_name) = lower(district)))"""
 
 
+def _kept_records(spark, d):
+    """The records, joined once for all that reads them."""
+    return kept(R.records(spark, d).drop("overall_confidence", "created_at"))
+
+
 def _listed(spark, d):
     return R.places(spark, d).select(F.col("r_name").alias("state"), F.col("n_name").alias("district"))
 
@@ -49,7 +54,7 @@ def _listed(spark, d):
 @_query(with_views(_EDITED_ISSUES + " SELECT * FROM all_ed"))
 def incremental_revalidation(spark, d):
     """The issues after edits, from those before them: only what the edits touch is validated again."""
-    before = R.records(spark, d)
+    before = _kept_records(spark, d)
     found = rules.revalidated(before, AS_OF, _listed(spark, d))
     return rules.revalidated_changes(before, _edited(before), before.where(_CHANGED), found, AS_OF, _listed(spark, d))
 

@@ -2,13 +2,16 @@
 
 import os
 import random
+from datetime import date
 
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from registrum.functions import text as X
 from registrum.operators import memory, rules
+from registrum.plans.queries import changes
 from registrum.sources.keyed import KeyedTable
 
 RECORD = "record_id long, owner_name string, survey_number string, khasra_number string, plot_area double, area_unit string, village string, district string, state string, pincode string, mutation_date string, status string"
@@ -75,6 +78,26 @@ def test_issues_after_random_edits(spark, seed):
     assert all_of(rules.revalidated_changes(one, one, ids.limit(0), found, "2000-01-01", gazetteer)) == all_of(found)
 
 
+def test_records_are_joined_once(spark):
+    """What follows reads the kept records, not the tables that they are joined from."""
+    files = changes.incremental_revalidation(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "orders.parquet" in f or "customer.parquet" in f]
+
+
+def test_days_are_read_as_before(spark):
+    days = [f"{d}/{m}/{y}" for d in (0, 1, 9, 28, 29, 30, 31, 32) for m in (0, 1, 2, 4, 12, 13) for y in ("00", "49", "50", "99", "100", "1900", "2000", "2023", "99999", "x", "")] + ["", "1/1", None]
+    df = spark.createDataFrame([(x,) for x in days], "x string")
+
+    def want(x):
+        try:
+            d, m, y = map(int, x.split("/"))
+            return date(y + 2000 if y < 50 else y + 1900 if y < 100 else y, m, d) if y < 99999 else None
+        except (AttributeError, ValueError):
+            return None
+
+    assert [r.d for r in df.select(X.date_parts(F.col("x")).alias("d")).collect()] == [want(x) for x in days]
+
+
 def table(spark, path, n=200, buckets=8):
     store = KeyedTable(spark, str(path), ["k"], "k long, v string", buckets)
     store.create(spark.range(n).select(F.col("id").alias("k"), F.lit("old").alias("v")))
