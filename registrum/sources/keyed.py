@@ -3,11 +3,13 @@ its keys only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import kept
 
 
 class KeyedTable:
@@ -68,21 +70,28 @@ class KeyedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._log())
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def replace(self, keys: DataFrame, rows: DataFrame, batch_id: int | None = None) -> list[int]:
-        """Rows in place of all those of the keys; gives the partitions that were written. Keys without rows lose theirs."""
+    def rewrite(self, keys: DataFrame, change: Callable[[DataFrame], DataFrame], batch_id: int | None = None) -> list[int]:
+        """The partitions of some keys anew: change is given all their rows and gives what goes in, which may differ in the rows
+        of these keys only; gives the partitions that were written. Made twice, a change must give what once gives."""
         if batch_id is not None and self.applied(batch_id):
             return []
-        keys = cut(keys.select(*self.key).distinct())
         touched = self._touched(keys)
         if touched:
-            old = self._all().where(F.col("bucket").isin(touched) & F.col(self.key[0]).isNotNull()).join(keys, self.key, "left_anti").select(*self.columns)
-            # the partitions are read before they are overwritten: what goes in is kept apart first
-            self._write(cut(old.unionByName(rows.join(keys, self.key, "left_semi").select(*self.columns))), touched)
+            # a dynamic overwrite stages its files and takes the old ones away when all are written, so they are read meanwhile
+            self._write(change(self._all().where(F.col("bucket").isin(touched) & F.col(self.key[0]).isNotNull()).select(*self.columns)), touched)
         if batch_id is not None:
             self.spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(self._log())
         return touched
 
+    def replace(self, keys: DataFrame, rows: DataFrame, batch_id: int | None = None) -> list[int]:
+        """Rows in place of all those of the keys; gives the partitions that were written. Keys without rows lose theirs."""
+        if batch_id is not None and self.applied(batch_id):
+            return []
+        keys = kept(keys.select(*self.key).distinct())
+        new = rows.join(keys, self.key, "left_semi").select(*self.columns)
+        return self.rewrite(keys, lambda old: old.join(keys, self.key, "left_anti").select(*self.columns).unionByName(new), batch_id)
+
     def upsert(self, rows: DataFrame, batch_id: int | None = None) -> list[int]:
         """Rows in place of those of the same keys."""
-        rows = cut(self._no_null(rows.select(*self.columns)))
+        rows = kept(self._no_null(rows.select(*self.columns)))
         return self.replace(rows, rows, batch_id)

@@ -98,6 +98,20 @@ def test_days_are_read_as_before(spark):
     assert [r.d for r in df.select(X.date_parts(F.col("x")).alias("d")).collect()] == [want(x) for x in days]
 
 
+def test_an_applied_batch_is_not_looked_at_again(spark, tmp_path, monkeypatch):
+    before, r = register(5), random.Random(5)
+    after = [record(r, x[0]) if x[0] % 3 == 0 else x for x in before]
+    one, two = (spark.createDataFrame(x, RECORD) for x in (before, after))
+    store = KeyedTable(spark, str(tmp_path / "issues"), ["record_id"], changes.ISSUE, 4)
+    store.create(rules.revalidated(one, "2000-01-01"))
+    rules.revalidate_store(store, one, two, one.where("record_id % 3 = 0"), "2000-01-01", batch_id=1)
+    assert all_of(store.read()) == all_of(rules.revalidated(two, "2000-01-01"))
+    seen = []
+    monkeypatch.setattr(rules, "concerned", lambda *a: seen.append(a))
+    rules.revalidate_store(store, one, two, one.where("record_id % 3 = 0"), "2000-01-01", batch_id=1)
+    assert not seen
+
+
 def table(spark, path, n=200, buckets=8):
     store = KeyedTable(spark, str(path), ["k"], "k long, v string", buckets)
     store.create(spark.range(n).select(F.col("id").alias("k"), F.lit("old").alias("v")))
