@@ -131,10 +131,14 @@ def pin_code(x: Column, pattern: str = PIN) -> Column:
 
 def area_unit(x: Column) -> Column:
     """The first unit, in the order of the list, that the text names; else null."""
-    low, out = F.lower(text_or_empty(x)), F.lit(None).cast("string")
-    for unit, pattern in reversed(UNIT_PATTERNS.items()):
-        out = F.when(low.rlike(pattern), unit).otherwise(out)
-    return F.when(low.rlike(ANY_UNIT), out)
+
+    def of(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for unit, pattern in reversed(UNIT_PATTERNS.items()):
+            out = F.when(low.rlike(pattern), unit).otherwise(out)
+        return F.when(low.rlike(ANY_UNIT), out)
+
+    return let(F.lower(text_or_empty(x)), of)
 
 
 def parse_area(x: Column, require_unit: bool = False) -> Column:

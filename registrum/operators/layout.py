@@ -11,9 +11,9 @@ CHAR_W, LINE_STEP, FIRST_Y, HEIGHT = 10, 38, 40, 26
 SCRIPTS = {"hin": r"[\x{0900}-\x{097F}]", "ben": r"[\x{0980}-\x{09FF}]", "pan": r"[\x{0A00}-\x{0A7F}]", "guj": r"[\x{0A80}-\x{0AFF}]", "tam": r"[\x{0B80}-\x{0BFF}]", "tel": r"[\x{0C00}-\x{0C7F}]", "kan": r"[\x{0C80}-\x{0CFF}]", "mal": r"[\x{0D00}-\x{0D7F}]"}
 
 
-def begins_of_words(raw: str, marks: tuple[str, ...] = (" ",)) -> Column:
+def begins_of_words(raw: str | Column, marks: tuple[str, ...] = (" ",)) -> Column:
     """Where the words of a line begin, cut at each mark (one character): from the marks' places, one step for each character."""
-    after = F.transform(F.split(F.col(raw), ""), lambda c, i: F.when(c.isin(*marks), i + 1))
+    after = F.transform(F.split(raw, ""), lambda c, i: F.when(c.isin(*marks), i + 1))
     return F.concat(F.array(F.lit(0)), F.filter(after, lambda i: i.isNotNull()))
 
 

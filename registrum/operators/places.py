@@ -14,7 +14,9 @@ from pyspark.sql import types as T
 
 #: States that a gazetteer may have; they are looked for one by one in each line.
 MOST_STATES = 1000
-_WORD = r"(?U)\w+"
+#: Fixed value: names that are looked for inside of a line's row, one by one; more are joined.
+MOST_FEW = 100
+_WORD, _ENDS = r"(?U)\w+", r"(?U)^\w(.*\w)?$"
 PLACES = "place long, state string, district string"
 
 
@@ -27,12 +29,25 @@ def _first(names: DataFrame) -> DataFrame:
     return names.where("name <> ''").groupBy("name").agg(F.min("place").alias("place"))
 
 
+def few(gazetteer: DataFrame) -> tuple[list, list] | None:
+    """States and districts, (place, name, lower-case name) by rank, where there are at most MOST_FEW of each; else None. Both as
+    states_named and districts_named take them."""
+    out = []
+    for kind, fits in (("state", F.lit(True)), ("district", F.col("low").rlike(_ENDS))):
+        names = _first(gazetteer.select(F.col(kind).alias("name"), "place")).withColumn("low", F.lower("name")).where(fits)
+        rows = names.orderBy("place", "name").limit(MOST_FEW + 1).collect()
+        if len(rows) > MOST_FEW:
+            return None
+        out.append([(r["place"], r["name"], r["low"]) for r in rows])
+    return out[0], out[1]
+
+
 def districts_named(lines: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """lines: doc_id, page, line, low (lower case). doc_id, page, line, place, name: the first district that each line names, as words
     of their own. Names are taken that begin and end with a letter or digit."""
     names = _first(gazetteer.select(F.col("district").alias("name"), "place")).withColumn("low_name", F.lower("name"))
     words = F.regexp_extract_all("low_name", F.lit(_WORD), F.lit(0))
-    names = names.withColumn("key", F.array_join(words, " ")).withColumn("n", F.size(words)).where(F.col("low_name").rlike(r"(?U)^\w(.*\w)?$"))
+    names = names.withColumn("key", F.array_join(words, " ")).withColumn("n", F.size(words)).where(F.col("low_name").rlike(_ENDS))
     longest = names.agg(F.max("n")).first()[0] or 0
     if not longest:
         return lines.select("doc_id", "page", "line", F.lit(0).cast("long").alias("place"), F.lit("").alias("name")).limit(0)
